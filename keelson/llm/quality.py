@@ -33,52 +33,63 @@ BUCKETS, DIM, GRAMS = 1 << 17, 16, (3, 4, 5)
 #: Labelled rows that training may use; the first by a hash of the id.
 MAX_TRAIN = 3000
 #: Gradient steps: rows are repeated until there are so many.
-STEPS = 15_000
+STEPS = 12_000
 THRESHOLD = 0.3
 HELD_OUT = 5
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams."""
-    raw, crc = f"<{word}>".encode("utf-32-le", "surrogatepass"), zlib.crc32
-    size = len(raw)
-    return [crc(raw) % BUCKETS] + [crc(raw[i : i + 4 * n]) % BUCKETS for n in GRAMS for i in range(0, size - 4 * n + 1, 4)]
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.concatenate([[1], np.full(63, _PRIME)]).astype(np.uint64), dtype=np.uint64)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values, so that any of their bits can choose a bucket."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some words: a hash of each, and (number of the word, bucket) of the words and their character n-grams."""
+    chars = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(chars)) - start[owner]
+    whole = mix(np.add.reduceat((chars + np.uint64(1)) * _POWERS[place & 63] * (np.uint64(2) * (place >> 6).astype(np.uint64) + np.uint64(1)), start))
+    owners, hashes = [np.arange(len(words))], [whole]
+    for n in GRAMS:
+        h = np.zeros(max(len(chars) - n + 1, 0), np.uint64)
+        for i in range(n):
+            h = h * _PRIME + chars[i : i + len(h)]
+        inside = place[: len(h)] + n <= size[owner[: len(h)]]
+        owners.append(owner[: len(h)][inside])
+        hashes.append(mix(h[inside] + np.uint64(n)))
+    return whole, np.concatenate(owners), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class Words:
-    """The distinct words of a task: numbers, hashes and features."""
+    """The distinct words of a task: numbers, hashes, sums of weights and counts of features."""
 
-    def __init__(self, weights: np.ndarray | None):
+    def __init__(self, weights: np.ndarray):
         self.number, self.weights = {}, weights
-        self.hash, self.value, self.n, self.features = [], [], [], []
+        self.hash, self.value, self.n = np.empty(1024, np.uint64), np.empty(1024), np.empty(1024)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        get = self.number.get
-        found = [get(w, -1) for w in words]
-        if -1 in found:
-            for i, x in enumerate(found):
-                if x < 0:
-                    found[i] = self.add(words[i])
-        return np.array(found, np.int64)
-
-    def add(self, word: str) -> int:
-        if (k := self.number.get(word, -1)) >= 0:
-            return k
-        ids = subwords(word)
-        k = self.number[word] = len(self.hash)
-        self.hash.append(zlib.crc32(word.encode("utf-8", "surrogatepass")))
-        self.n.append(len(ids))
-        if self.weights is None:
-            self.features.append(np.array(ids, np.int32))
-        else:
-            self.value.append(float(self.weights[ids].sum()))
-        return k
+        number = self.number
+        if new := [w for w in dict.fromkeys(words) if w not in number]:
+            at, end = len(number), len(number) + len(new)
+            number.update(zip(new, range(at, end), strict=True))
+            while end > len(self.hash):
+                self.hash, self.value, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.value, self.n))
+            self.hash[at:end], owner, bucket = subwords(new)
+            self.value[at:end] = np.bincount(owner, self.weights[bucket], len(new))
+            self.n[at:end] = np.bincount(owner, minlength=len(new))
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
 def pair_buckets(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Buckets of word pairs from the words' hashes."""
-    mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.where(first == second, 1, (mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.where(first == second, 1, mix(first * _PRIME + second) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def flatten(group: list[tuple[int, str]]) -> tuple[list[str], np.ndarray]:
@@ -100,17 +111,17 @@ def featurizer(id_col: str):
             ids, texts, labels = (batch.column(c) for c in (id_col, "_text", "_label"))
             out = []
             for text in texts.to_pylist():
-                table, total = Words(None), np.zeros(BUCKETS, np.int32)
+                total = np.zeros(BUCKETS, np.int64)
                 for group in batches([text or ""]):
                     words, _ = flatten(group)
                     if words:
-                        k = table.numbers(words)
-                        h = np.array(table.hash, np.uint32)[k]
-                        total += np.bincount(pair_buckets(h[:-1], h[1:]), minlength=BUCKETS).astype(np.int32)
-                        for i, n in zip(*np.unique(k, return_counts=True), strict=True):
-                            np.add.at(total, table.features[i], n)
+                        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                        k = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                        h, owner, bucket = subwords(list(number))
+                        total += np.bincount(bucket, np.bincount(k)[owner], BUCKETS).astype(np.int64)
+                        total += np.bincount(pair_buckets(h[k[:-1]], h[k[1:]]), minlength=BUCKETS)
                 at = np.flatnonzero(total).astype(np.int32)
-                out.append(zlib.compress(np.concatenate([at, total[at]]).tobytes(), 1))
+                out.append(zlib.compress(np.concatenate([at, total[at].astype(np.int32)]).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([ids, labels, pa.array(out, pa.binary())], names=[id_col, "_label", "features"])
 
     return run
@@ -161,9 +172,9 @@ def scorer(id_col: str, weights: bytes, bias: float):
                 if len(table.number) > 1_000_000:
                     table = Words(w)
                 k = table.numbers(words)
-                total += np.bincount(owner, np.array(table.value)[k], len(texts))
-                n += np.bincount(owner, np.array(table.n)[k], len(texts))
-                h, same = np.array(table.hash, np.uint32)[k], owner[1:] == owner[:-1]
+                total += np.bincount(owner, table.value[k], len(texts))
+                n += np.bincount(owner, table.n[k], len(texts))
+                h, same = table.hash[k], owner[1:] == owner[:-1]
                 pairs = pair_buckets(h[:-1], h[1:])[same]
                 total += np.bincount(owner[1:][same], w[pairs], len(texts))
                 n += np.bincount(owner[1:][same], minlength=len(texts))
