@@ -39,7 +39,7 @@ HELD_OUT = 5
 
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.concatenate([[1], np.full(63, _PRIME)]).astype(np.uint64), dtype=np.uint64)
+_POWERS = np.cumprod(np.full(64, _PRIME), dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
