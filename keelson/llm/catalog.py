@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm, quality, suffix_dedup
+from . import exact_dedup, lm, piece_codec, quality, suffix_dedup, token_counts
+
+#: The vocabulary that operators 7 and 9 use by default.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +28,20 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_suffix_array_dedup, op6_quality_classifier, op8_exact_dedup)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_exact_dedup, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
