@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm, piece_codec, quality, suffix_dedup, token_counts
+from . import chosen_path, exact_dedup, lm, piece_codec, quality, suffix_dedup, token_counts
 
 #: The vocabulary that operators 7 and 9 use by default.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_scoring, op3_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_exact_dedup, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_exact_dedup, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
