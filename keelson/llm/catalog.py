@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, exact_dedup, lm, piece_codec, quality, suffix_dedup, token_counts
+from . import chosen_path, decontaminate, exact_dedup, lm, piece_codec, quality, suffix_dedup, token_counts
 
 #: The vocabulary that operators 7 and 9 use by default.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,8 +44,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABU
     return piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_exact_dedup, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_suffix_array_dedup, op6_quality_classifier, op7_token_counts, op8_exact_dedup, op9_sentencepiece, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

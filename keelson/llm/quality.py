@@ -156,48 +156,75 @@ def train(rows: list[tuple[int, bytes]], steps: int = STEPS, seed: int = 7) -> t
     return emb @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
+def scores(texts: list[str | None], table: Words, bias: float) -> np.ndarray:
+    """The score of each text."""
+    w, total, n = table.weights, np.zeros(len(texts)), np.zeros(len(texts))
+    for group in batches(t or "" for t in texts):
+        words, owner = flatten(group)
+        if not words:
+            continue
+        if len(table.number) > 1_000_000:
+            table.number.clear()
+        k = table.numbers(words)
+        total += np.bincount(owner, table.value[k], len(texts))
+        n += np.bincount(owner, table.n[k], len(texts))
+        h, same = table.hash[k], owner[1:] == owner[:-1]
+        pairs = pair_buckets(h[:-1], h[1:])[same]
+        total += np.bincount(owner[1:][same], w[pairs], len(texts))
+        n += np.bincount(owner[1:][same], minlength=len(texts))
+    return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -50, 50)))
+
+
 def scorer(id_col: str, weights: bytes, bias: float):
     """Arrow function: the score of each document."""
 
     def run(rows):
-        w = np.frombuffer(zlib.decompress(weights), np.float32)
-        table = Words(w)
+        table = Words(np.frombuffer(zlib.decompress(weights), np.float32))
         for batch in rows:
-            texts = batch.column("_text").to_pylist()
-            total, n = np.zeros(len(texts)), np.zeros(len(texts))
-            for group in batches(t or "" for t in texts):
-                words, owner = flatten(group)
-                if not words:
-                    continue
-                if len(table.number) > 1_000_000:
-                    table = Words(w)
-                k = table.numbers(words)
-                total += np.bincount(owner, table.value[k], len(texts))
-                n += np.bincount(owner, table.n[k], len(texts))
-                h, same = table.hash[k], owner[1:] == owner[:-1]
-                pairs = pair_buckets(h[:-1], h[1:])[same]
-                total += np.bincount(owner[1:][same], w[pairs], len(texts))
-                n += np.bincount(owner[1:][same], minlength=len(texts))
-            score = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -50, 50)))
+            score = scores(batch.column("_text").to_pylist(), table, bias)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(score)], names=["doc_id", "score"])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, steps: int = STEPS) -> DataFrame:
-    """Per row of `docs`: doc_id, held_out, score, predicted.
+def sieve(text_col: str, weights: bytes, bias: float):
+    """Arrow function: the rows whose score reaches the threshold, with all their columns."""
 
-    `labels` has the id column and `label_col` (0 or 1).  Rows whose crc32 of the
-    id modulo 5 is 0 are held out from training.
-    """
+    def run(rows):
+        table = Words(np.frombuffer(zlib.decompress(weights), np.float32))
+        for batch in rows:
+            yield batch.filter(pa.array(scores(batch.column(text_col).to_pylist(), table, bias) >= THRESHOLD))
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, steps: int = STEPS) -> tuple[bytes, float]:
+    """The model: weights (compressed) and bias.  Learns from at most `max_train` rows that are not held out."""
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("doc_id").agg(F.max("_label").alias("_label"))
     sample = known.where(F.col("_label").isin(0, 1) & (crc_mod(F.col("doc_id"), HELD_OUT) != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train rows of two numbers: the bound holds at any size.
     rows = base.join(F.broadcast(sample), "doc_id").select("doc_id", "_text", "_label").mapInArrow(featurizer("doc_id"), f"doc_id {kind}, _label int, features binary").collect()
     rows.sort(key=lambda r: (str(r.doc_id), r.features))
     weights, bias = train([(r["_label"], r.features) for r in rows], steps)
-    scored = base.mapInArrow(scorer("doc_id", zlib.compress(weights.astype(np.float32).tobytes(), 1), bias), f"doc_id {kind}, score double")
+    return zlib.compress(weights.astype(np.float32).tobytes(), 1), bias
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, steps: int = STEPS) -> DataFrame:
+    """Per row of `docs`: doc_id, held_out, score, predicted.
+
+    `labels` has the id column and `label_col` (0 or 1).  Rows whose crc32 of the
+    id modulo 5 is 0 are held out from training.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    weights, bias = fit(docs, labels, id_col, text_col, label_col, max_train, steps)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    scored = base.mapInArrow(scorer("doc_id", weights, bias), f"doc_id {kind}, score double")
     held = F.coalesce(crc_mod(F.col("doc_id"), HELD_OUT) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of `docs` that the classifier does not reject; no shuffle of texts."""
+    return docs.mapInArrow(sieve(text_col, *fit(docs, labels, id_col, text_col, label_col)), docs.schema)
