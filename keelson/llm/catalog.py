@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, exact_dedup, licenses, lm, piece_codec, quality, suffix_dedup, token_counts
+from . import chosen_path, decontaminate, exact_dedup, licenses, line_dedup, lm, piece_codec, quality, suffix_dedup, token_counts
 
 #: The vocabulary that operators 7 and 9 use by default.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +29,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def with_paths(docs: DataFrame) -> DataFrame:
     """Documents as files: source/language/hundred/id, where the first of ten documents is its directory's LICENSE."""
     name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
@@ -61,7 +65,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_suffix_array_dedup, op5_license_scan, op6_quality_classifier, op7_token_counts, op8_exact_dedup, op9_sentencepiece, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_suffix_array_dedup, op4_line_dedup, op5_license_scan, op6_quality_classifier, op7_token_counts, op8_exact_dedup, op9_sentencepiece, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

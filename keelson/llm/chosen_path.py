@@ -219,33 +219,36 @@ def blocked(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
     return rows.withColumn("bucket", F.concat_ws(" ", F.col(key).cast("string") if key == "key" else F.hex(key), F.least("side", "_other"), F.greatest("side", "_other"))).drop("_k", "_other")
 
 
-def verify(group: pa.Table, threshold: float) -> tuple[list, np.ndarray, list]:
-    """Nodes of a block pair, the documents that each links to, and a spanning forest of links."""
-    rows = sorted(zip(*(group.column(c).to_pylist() for c in ("node", "side", "copies", "shingles")), strict=True))
-    rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
-    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+def link_matrix(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of some sets have Jaccard similarity `threshold` or more.  Where there are two sides, only pairs across count."""
     size = np.array([len(s) for s in sets])
-    side = np.array([r[1] for r in rows])
-    copies = np.array([r[2] for r in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
-    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
-    place = (np.cumsum(shared) - 1)[place][keep] if (keep := shared[place]).any() else np.zeros(0, np.int64)
-    owner = owner[keep] if len(place) else np.zeros(0, np.int64)
-    both = np.zeros((len(rows), len(rows)), np.float32)
+    keep = shared[place]
+    place, owner = (np.cumsum(shared) - 1)[place][keep], owner[keep]
+    both = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     total = int(shared.sum())
     for at in range(0, total, 4096):
         s, e = np.searchsorted(place, [at, at + 4096])
-        dense = np.zeros((len(rows), min(4096, total - at)), np.float32)
-        dense[owner[s:e], place[s:e] - at] = 1
-        own = np.unique(owner[s:e])
-        both[np.ix_(own, own)] += dense[own] @ dense[own].T
+        own, row = np.unique(owner[s:e], return_inverse=True)
+        dense = np.zeros((len(own), min(4096, total - at)), np.float32)
+        dense[row, place[s:e] - at] = 1
+        both[np.ix_(own, own)] += dense @ dense.T
     link = both >= threshold / (1 + threshold) * (size[:, None] + size[None, :]) - 1e-3
     np.fill_diagonal(link, False)
     if len(np.unique(side)) > 1:  # links within a block are found where the block meets itself
         link &= side[:, None] != side[None, :]
+    return link
+
+
+def verify(group: pa.Table, threshold: float) -> tuple[list, np.ndarray, list]:
+    """Nodes of a block pair, the documents that each links to, and a spanning forest of links."""
+    rows = sorted(zip(*(group.column(c).to_pylist() for c in ("node", "side", "copies", "shingles")), strict=True))
+    rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
+    link = link_matrix([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[1] for r in rows]), threshold)
     left, out = np.arange(len(rows)), []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -255,7 +258,7 @@ def verify(group: pa.Table, threshold: float) -> tuple[list, np.ndarray, list]:
             out += [(rows[i][0], rows[j][0]) for j in hit]
             queue += hit.tolist()
             left = left[~link[i][left]]
-    return [r[0] for r in rows], link.astype(np.int64) @ copies, out
+    return [r[0] for r in rows], link.astype(np.int64) @ np.array([r[2] for r in rows]), out
 
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
