@@ -282,7 +282,10 @@ def set_builder(n: int):
         shingles = Shingler(n)
         for batch in rows:
             sets = [shingles(t).tobytes() for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "copies", "root", "members")] + [pa.array(sets, pa.binary())], names=["node", "copies", "root", "members", "shingles"])
+            # Of rows that repeat an id with other texts, only that of the node itself.
+            own = [hashlib.blake2b(s, digest_size=16).digest() == n for s, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "copies", "root", "members")] + [pa.array(sets, pa.binary())], names=["node", "copies", "root", "members", "shingles"])
+            yield out.filter(pa.array(own, pa.bool_()))
 
     return run
 

@@ -39,7 +39,7 @@ ITEM_BLOCK = 500_000
 #: Alignments in one numpy pass.
 LANES = 256
 WORD = re.compile(r"\w+")
-HITS = "doc_id {kind}, row bigint, item_id bigint, score double, word_start int, word_end int"
+HITS = "doc_id {kind}, item_id bigint, score double, word_start int, word_end int"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -135,21 +135,21 @@ def aligner(items: list[tuple[int, list[str]]], seeds: list[tuple[tuple[str, ...
 
         def flush(pending):
             out = []
-            pending.sort(key=lambda p: (len(numbers[p[2]]), len(p[3])))
+            pending.sort(key=lambda p: (len(numbers[p[1]]), len(p[2])))
             for s in range(0, len(pending), LANES):
                 part = pending[s : s + LANES]
-                item_n, passage_n = (np.array(x) for x in zip(*((len(numbers[p[2]]), len(p[3])) for p in part), strict=True))
+                item_n, passage_n = (np.array(x) for x in zip(*((len(numbers[p[1]]), len(p[2])) for p in part), strict=True))
                 a, b = np.full((len(part), item_n.max()), -2), np.full((len(part), passage_n.max()), -3)
                 for i, p in enumerate(part):
-                    a[i, : item_n[i]], b[i, : passage_n[i]] = numbers[p[2]], p[3]
+                    a[i, : item_n[i]], b[i, : passage_n[i]] = numbers[p[1]], p[2]
                 best, start, end = align(a, item_n, b, passage_n)
                 ok = best >= threshold * item_n
-                out += [(p[0], p[1], items[p[2]][0], float(x / n), int(p[4] + f), int(p[4] + t)) for p, x, n, f, t, good in zip(part, best, item_n, start, end, ok, strict=True) if good]
+                out += [(p[0], items[p[1]][0], float(x / n), int(p[3] + f), int(p[3] + t)) for p, x, n, f, t, good in zip(part, best, item_n, start, end, ok, strict=True) if good]
             return out
 
         for batch in rows:
             pending, out = [], []
-            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "_text")), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 ids, hits = finder(text)
                 spans = defaultdict(list)
                 for place, k in hits:
@@ -161,15 +161,15 @@ def aligner(items: list[tuple[int, list[str]]], seeds: list[tuple[tuple[str, ...
                     reach = -1
                     for s, e in found:
                         if e > reach:  # a window inside the one before it brings nothing new
-                            pending.append((doc_id, row, item, ids[s:e], s))
+                            pending.append((doc_id, item, ids[s:e], s))
                             reach = e
                 if len(pending) >= 4 * LANES:
                     out += flush(pending)
                     pending = []
             out += flush(pending)
-            kinds = (batch.column("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            kinds = (batch.column("doc_id").type, pa.int64(), pa.float64(), pa.int32(), pa.int32())
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "item_id", "score", "word_start", "word_end"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "word_start", "word_end"])
 
     return run
 
@@ -201,14 +201,10 @@ def choose_seeds(items, frequency: dict[tuple[str, ...], int]):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document, item and passage above the threshold: doc_id, row, item_id, score, word_start, word_end.
-
-    `row` is null where `docs` has no column of that name (see contaminated()).
-    """
+    """Per document, item and passage that reach the threshold: doc_id, item_id, score, word_start, word_end."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    row = F.col("_row") if "_row" in docs.columns else F.lit(None).cast("bigint")
-    base = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("_text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     found = None
     for items in blocks_of(benchmark, item_col, "text"):
         wanted = sorted({g for _, words in items for g in grams(words)})

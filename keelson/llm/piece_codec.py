@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .unigram import Vocabulary, char_bytes, load_vocabulary, segment
+from .unigram import BulkSegmenter, Vocabulary, char_bytes, load_vocabulary, segment
 
 CHUNK = 1 << 16
 #: Characters that one numpy pass takes, and distinct pre-tokens that a task remembers.
@@ -54,12 +54,12 @@ class Encoder:
     """Remembers the segmentation of pre-tokens."""
 
     def __init__(self, voc: Vocabulary):
-        self.voc, self.split = voc, voc.splitter().findall
+        self.voc, self.split, self.bulk = voc, voc.splitter().findall, BulkSegmenter(voc)
         self.forget()
 
     def forget(self):
-        self.number, self.pool, self.seen = {}, [], {}
-        self.size, self.score = [], []
+        self.number, self.seen = {}, {}
+        self.pool, self.size, self.score = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and of each text its number of ids and its score."""
@@ -70,22 +70,20 @@ class Encoder:
             got = self.split(" " + text) if text else []
             words += got
             counts.append(len(got))
-        for w in dict.fromkeys(words):
-            if w not in number:
-                score, ids = segment(w, self.voc)
-                number[w] = len(self.size)
-                self.pool += ids
-                self.size.append(len(ids))
-                self.score.append(score)
+        if new := [w for w in dict.fromkeys(words) if w not in number]:
+            score, size, ids = self.bulk(new)
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            self.score, self.size, self.pool = np.concatenate([self.score, score]), np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
         k = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        size, score, pool = np.array(self.size, np.int64), np.array(self.score, np.int64), np.array(self.pool, np.int32)
+        size, score, pool = self.size, self.score, self.pool
         start = np.cumsum(size) - size
         own = size[k]
         ids = pool[np.repeat(start[k] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
         owner = np.repeat(np.arange(len(texts)), counts)
         n = np.bincount(owner, own, len(texts)).astype(np.int64)
-        total = np.zeros(len(texts), np.int64)
-        np.add.at(total, owner, score[k])
+        run = np.concatenate([[0], np.cumsum(score[k])])
+        ends = np.cumsum([0, *counts])
+        total = run[ends[1:]] - run[ends[:-1]]
         return ids, n, total
 
     def between(self, text: str, a: int, b: int) -> tuple[int, list[int]]:
