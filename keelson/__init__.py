@@ -1 +1,11 @@
-"""Spark-native analytics over ordered, versioned key-value change logs."""
+"""Spark-native analytics over ordered, versioned key-value change logs.
+
+Functions that run on executors are shipped by value, so executors need no copy
+of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -53,8 +53,9 @@ def route(rows: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
     lo, hi, n = ranges.agg(F.min("lower"), F.max("upper"), F.count("*")).first()
     width = max(1, (hi - lo) // n)
     bins = ranges.select("id", "lower", "upper", F.explode(F.sequence(F.floor(F.col("lower") / width), F.floor((F.col("upper") - 1) / width))).alias("_b"))
-    hit = rows.withColumn("_b", F.floor(F.col(key) / width)).join(bins, (F.col(key) >= F.col("lower")) & (F.col(key) < F.col("upper")) & (bins["_b"] == F.col("_b")), "left")
-    return hit.withColumn("range_id", F.col("id")).drop("id", "lower", "upper", "_b")
+    bins = bins.select(F.col("id").alias("range_id"), F.col("lower").alias("_lower"), F.col("upper").alias("_upper"), "_b")
+    hit = rows.withColumn("_kb", F.floor(F.col(key) / width)).join(bins, (F.col("_kb") == F.col("_b")) & (F.col(key) >= F.col("_lower")) & (F.col(key) < F.col("_upper")), "left")
+    return hit.drop("_lower", "_upper", "_b", "_kb")
 
 
 def salted(rows: DataFrame, duplicates: Column, by: str = "seq") -> DataFrame:

@@ -14,7 +14,7 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     the first line doesn't begin an epoch.  The file is metadata and read as one
     partition, which keeps its lines in order.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     lines = lines.withColumn("text", F.trim("text")).where("text <> ''")
     head = F.col("text").startswith("config")
     first = lines.orderBy("line").limit(1).select(head).first()

@@ -37,7 +37,7 @@ def zeta(n: int, theta: float) -> float:
 
 
 def zipfian(u: Column, items: int, theta: float = 0.99, base: int = 0) -> Column:
-    """The item of a uniform number in [0, 1), by Gray's inverse.  As known, the first two items leave `base` out."""
+    """The item of a column of uniform numbers in [0, 1), by Gray's inverse.  As known, the first two items leave `base` out."""
     zn, z2 = zeta(items, theta), zeta(2, theta)
     alpha, eta = 1 / (1 - theta), (1 - (2 / items) ** (1 - theta)) / (1 - z2 / zn)
     uz = u * zn
@@ -45,7 +45,9 @@ def zipfian(u: Column, items: int, theta: float = 0.99, base: int = 0) -> Column
 
 
 def zipf_keys(spark: SparkSession, n: int, items: int, theta: float = 0.99, seed: int = 1) -> DataFrame:
-    return spark.range(n).select("id", zipfian(F.rand(seed), items, theta).alias("k"))
+    # A column of its own, since an expression that uses rand() twice draws twice.
+    drawn = spark.range(n).withColumn("u", F.rand(seed))
+    return drawn.select("id", zipfian(F.col("u"), items, theta).alias("k"))
 
 
 def scrambled_zipf_keys(spark: SparkSession, n: int, items: int, theta: float = 0.99, seed: int = 1) -> DataFrame:
