@@ -120,7 +120,7 @@ class Model:
         self.word = np.zeros((HEAD, HIDDEN), np.float32)
         # The start is the unigram model; places of the head without a word can't be drawn.
         mass = np.concatenate([head.reshape(-1, PER_CLASS).sum(1), tail_total])
-        self.cls_b = np.log(np.maximum(mass, 0.5) / mass.sum()).astype(np.float32)
+        self.cls_b = np.log(np.maximum(mass, 0.5) / max(mass.sum(), 1)).astype(np.float32)
         self.word_b = np.where(head > 0, np.log(np.maximum(head, 1)), -30).astype(np.float32)
         self.word_b -= np.repeat(self.word_b.reshape(-1, PER_CLASS).max(1), PER_CLASS)
 
