@@ -1,7 +1,7 @@
 """Every query of the catalogue against its SQL, and properties of those without."""
 
 import pytest
-from conftest import same
+from support import same
 
 from keelson.plans import catalog
 
