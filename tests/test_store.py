@@ -224,3 +224,14 @@ def test_parity_restores_a_fragment(spark):
     got = parity_of(spark.createDataFrame([(1, p) for p in parts], "s int, d binary"), ["s"], "d").orderBy("pos").collect()
     xor = bytes(r.parity for r in got)
     assert len(xor) == 8 and bytes(a ^ b ^ c for a, b, c in zip(xor, parts[1].ljust(8, b"\0"), parts[2], strict=True)).rstrip(b"\0") == parts[0]
+
+
+def test_benchmark_phases(spark, tmp_path):
+    from keelson.plans.db_bench import Bench
+
+    b = Bench(spark, str(tmp_path / "s"), 2000)
+    got = b.run(("fillseq", "readseq", "readrandom", "readmissing", "readhot", "seekrandom", "stats", "sstables", "compact", "deleteseq"))
+    assert got["fillseq"][0] == 2000 and all(t > 0 for _, t in got.values())
+    assert b.store.scan().count() == 0
+    b.fill100k()
+    assert b.store.scan().selectExpr("length(v) as n").first().n == 100_000
