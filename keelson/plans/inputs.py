@@ -43,9 +43,10 @@ class Inputs:
         return lines.join(days, "day").select(F.col("l_orderkey").alias("k"), seq.alias("seq"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("op"), F.col("l_extendedprice").alias("v"))
 
     def files_o(self) -> DataFrame:
-        """Key intervals of sorted runs."""
-        o = self.table("orders").where("o_orderkey % 10 = 0")
-        return o.select(F.col("o_orderkey").alias("f"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + (F.col("o_custkey") * 7919) % 25).alias("hi"), F.col("o_custkey"))
+        """Key intervals of sorted runs, one run for each ten order keys."""
+        o = self.table("orders").groupBy(F.expr("o_orderkey div 10 * 10").alias("f"))
+        o = o.agg(F.min("o_orderkey").alias("lo"), F.sum("o_custkey").cast("bigint").alias("o_custkey"))
+        return o.select("f", "lo", (F.col("lo") + (F.col("o_custkey") * 7919) % 25).alias("hi"), "o_custkey")
 
     def files_meta(self) -> DataFrame:
         """Runs with a level and a size."""
@@ -79,7 +80,8 @@ class Inputs:
 LOG_E = "log_e AS (SELECT user_id AS k, event_id AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS op, value AS v FROM events)"
 LOG_L = """log_l AS (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq,
   CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS op, l_extendedprice AS v FROM lineitem)"""
-FILES_O = "files_o AS (SELECT o_orderkey AS f, o_orderkey AS lo, o_orderkey + (o_custkey * 7919) % 25 AS hi, o_custkey FROM orders WHERE o_orderkey % 10 = 0)"
+FILES_O = """runs AS (SELECT o_orderkey // 10 * 10 AS f, min(o_orderkey) AS lo, CAST(sum(o_custkey) AS BIGINT) AS o_custkey FROM orders GROUP BY 1),
+files_o AS (SELECT f, lo, lo + (o_custkey * 7919) % 25 AS hi, o_custkey FROM runs)"""
 FILES_META = FILES_O + ", files_meta AS (SELECT f, lo, hi, CAST((f // 10) % 3 AS INTEGER) AS level, 1 + (o_custkey * 1048576) % 67108864 AS file_size, f AS number FROM files_o)"
 FRAGMENTS = f"""frag AS (SELECT CAST(i AS INTEGER) AS id, i * n // {PARTS} AS lower, (i + 1) * n // {PARTS} AS upper
   FROM range({PARTS}) r(i), (SELECT count(*) AS n FROM orders) c)"""
