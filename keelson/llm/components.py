@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); root is the least node of its component.
+#: So many edges at most are solved in one task; they take some 100 MB there.
+ONE_TASK = 500_000
+
+
+def union_find(rows):
+    """Arrow function over all edges in one task: (node, root)."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in rows:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, root) for every node of the edges (a, b; binary); root is the least node of its component.
 
     Large stars and small stars alternate until nothing changes.  Each half round
-    is one shuffle of the edges, and its result goes to the shared folder.
+    is one shuffle of the edges, and its result goes to the shared folder.  A
+    table of at most `one_task` edges, as counted, takes one task instead, with
+    the same result.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if now.count() <= one_task:
+        return now.coalesce(1).mapInArrow(union_find, "node binary, root binary")
     sums = None
     for _ in range(rounds):
         # Large star: the greater neighbours of a node go to its least neighbour (or itself).

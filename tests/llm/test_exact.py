@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from keelson.llm import chosen_path, exact_dedup, line_dedup, suffix_dedup
+from keelson.llm.components import connected_components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -114,6 +115,15 @@ def test_similarity_classes(spark, docs, corpus, nothing, monkeypatch):
     assert sorted(tuple(r) for r in chosen_path.similarity_classes(twice).collect()) == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (9, 1, 1)]
 
 
+def test_components(spark):
+    edges = [(f"{i}".encode(), f"{i + 1}".encode()) for i in range(100, 140) if i != 120] + [(b"7", b"7"), (b"x", b"a"), (b"a", b"x")]
+    rows = spark.createDataFrame(edges, "a binary, b binary").repartition(4)
+    want = {str(i).encode(): b"100" if i <= 120 else b"121" for i in range(100, 141)} | {b"a": b"a", b"x": b"a"}
+    for one_task in (0, 1000):
+        assert {bytes(r.node): bytes(r.root) for r in connected_components(rows, one_task=one_task).collect()} == want
+    assert connected_components(rows.limit(0)).collect() == []
+
+
 def test_runs_reach_the_target():
     assert chosen_path.runs_needed(0.8) == 7 and chosen_path.runs_needed(0.8, 0.9) < 4
 
