@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize
+from .common import batches, materialize, perhaps_in, without
 from .components import connected_components
 
 N, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
@@ -326,7 +326,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 3. Verification of all pairs in a group.
     at_hand = signed.join(grouped, "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "node", "copies", "root", "members").dropDuplicates(["node"])
-    texts = at_hand.join(base, at_hand["doc_id"].eqNullSafe(base["doc_id"])).select("node", "copies", "root", "members", "_text")
+    at_hand = materialize(at_hand.withColumnRenamed("doc_id", "_id"), "at-hand")
+    wanted = perhaps_in(base, "doc_id", at_hand, "_id").where("_kl_perhaps")
+    texts = at_hand.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "copies", "root", "members", "_text")
     sets = texts.mapInArrow(set_builder(n), "node binary, copies bigint, root binary, members bigint, shingles binary")
     pairs = blocked(sets, "root", "members", BLOCK).select("bucket", "side", "node", "copies", "shingles")
     verified = materialize(pairs.groupBy("bucket").applyInArrow(verifier(threshold), "a binary, b binary, links bigint"), "links")
@@ -349,5 +351,4 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class: that with the least id."""
-    gone = similarity_classes(docs, id_col, text_col).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, id_col, similarity_classes(docs, id_col, text_col).where(F.col("doc_id") != F.col("class_id")).select("doc_id"))

@@ -46,6 +46,36 @@ def discard(*tables: DataFrame) -> None:
                 folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bits of a bitmap of ids: as words of 64 bits, 4 MB at most, whatever the number of ids.
+BITMAP = 1 << 24
+
+
+def bitmap(ids: DataFrame, column: str) -> DataFrame:
+    """The ids as a bitmap of their hashes: (word, bits), at most BITMAP / 64 rows."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP))
+    return ids.select(F.expr("1L").alias("one"), bit.alias("bit")).groupBy(F.expr("bit div 64").alias("_kl_word")).agg(F.expr("bit_or(shiftleft(one, cast(bit % 64 as int)))").alias("_kl_bits"))
+
+
+def perhaps_in(rows: DataFrame, column: str, ids: DataFrame, ids_column: str) -> DataFrame:
+    """`rows` with a column `_kl_perhaps`: false only if `ids` lacks the row's id.
+
+    It spares most rows a shuffle where few are wanted.  What is broadcast has a
+    fixed bound; as the bitmap fills up, more rows pass in vain.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP))
+    cut = rows.withColumn("_kl_bit", bit).withColumn("_kl_word", F.expr("_kl_bit div 64"))
+    hit = F.expr("coalesce(getbit(_kl_bits, cast(_kl_bit % 64 as int)), 0) = 1")
+    return cut.join(F.broadcast(bitmap(ids, ids_column)), "_kl_word", "left").withColumn("_kl_perhaps", hit).drop("_kl_word", "_kl_bits", "_kl_bit")
+
+
+def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """`rows` without those whose id is among `gone` (one column).  Most rows that stay are not shuffled."""
+    gone = materialize(gone.toDF("_kl_gone").distinct(), "gone")
+    marked = perhaps_in(rows, column, gone, "_kl_gone")
+    rest = marked.where("_kl_perhaps").join(gone, F.col(column).eqNullSafe(F.col("_kl_gone")), "left_anti")
+    return marked.where("not _kl_perhaps").unionByName(rest).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the column as text, modulo n."""
     return F.crc32(column.cast("string")) % F.lit(n)

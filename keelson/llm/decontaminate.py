@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
+from .common import materialize, pieces, without
 
 N, STRETCH, MARGIN, THRESHOLD = 3, 4, 12, 0.4
 ITEM_BLOCK = 500_000
@@ -227,5 +227,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that leak no test item."""
-    bad = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    return without(docs, id_col, leaks(docs, benchmark, id_col, text_col).select("doc_id"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, materialize
+from .common import WHITESPACE, materialize, without
 
 #: At most so many groups are hot, which bounds what is broadcast.
 HOT_GROUPS = 1000
@@ -66,8 +66,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that exact_groups() does not keep.  Rows alike in id stay or go together."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, id_col, exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"))
 
 
 ORACLE = r"""

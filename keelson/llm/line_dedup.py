@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chosen_path import BLOCK, Shingler, blocked, link_matrix
-from .common import materialize
+from .common import materialize, perhaps_in
 from .components import connected_components
 
 THRESHOLD = 0.8
@@ -273,8 +273,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = groups.groupBy("root").agg(F.count("*").alias("members"))
     signed = lambda at: F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
     placed = groups.join(members, "root").select(signed(1).alias("id"), signed(9).alias("th"), F.struct(F.conv(F.hex(F.substring("node", 17, 4)), 16, 10).cast("int").alias("line"), "root", "members").alias("w"))
-    wanted = placed.groupBy("id", "th").agg(F.collect_list("w").alias("wanted"))
-    texts = (base.dropDuplicates(["id", "th"]) if again else base).join(wanted, ["id", "th"]).select("id", "th", "_text", "wanted")
+    wanted = materialize(placed.groupBy("id", "th").agg(F.collect_list("w").alias("wanted")), "wanted")
+    likely = perhaps_in(base, "id", wanted, "id").where("_kl_perhaps").drop("_kl_perhaps")
+    texts = (likely.dropDuplicates(["id", "th"]) if again else likely).join(wanted, ["id", "th"]).select("id", "th", "_text", "wanted")
     sets = texts.mapInArrow(fetcher, "node binary, root binary, members bigint, words binary")
     pairs = blocked(sets, "root", "members", BLOCK).select("bucket", "side", "node", "words")
     flagged = materialize(pairs.groupBy("bucket").applyInArrow(verifier(threshold), "node binary").distinct(), "similar")
