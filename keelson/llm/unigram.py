@@ -151,10 +151,15 @@ class BulkSegmenter:
 
     def sums(self, chars):
         out = np.zeros(len(chars) + 1, np.uint64)
-        c = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        np.cumsum((c ^ (c >> np.uint64(32))) * self.power[: len(chars)], out=out[1:])
+        np.cumsum(self.spread(chars) * self.power[: len(chars)], out=out[1:])
         return out
 
+    @staticmethod
+    def spread(chars):
+        """A 64-bit value for each character."""
+        c = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        return c ^ (c >> np.uint64(32))
+
     def lookup(self, h):
         """(id or -1, score) of hashes."""
         ids, scores = np.full(len(h), -1, np.int32), np.zeros(len(h), np.int64)
