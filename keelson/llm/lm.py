@@ -273,7 +273,7 @@ class Model:
         given[first] = end
         fresh = np.zeros(len(target), bool)
         fresh[first] = True
-        owner = np.repeat(np.array(order), size)
+        owner = np.repeat(np.array(order, np.int32), size)
         length = np.array([sum(len(documents[d]) for d in q) for q in queue])
         begin = np.cumsum(length) - length
         # z and r come from exp(-x), n from exp(-2x), so the signs are folded into the weights.
@@ -322,7 +322,7 @@ def scorer(known: tuple[bytes, bytes], model: bytes, tail_total: bytes, total: i
         counts = np.frombuffer(zlib.decompress(known[1]), np.int64)
         number = {w: i for i, w in enumerate(vocabulary)}
         head = min(HEAD, len(vocabulary))
-        token = np.array([i if i < head else HEAD + tail_class(w) for i, w in enumerate(vocabulary)], np.int64)
+        token = np.array([i if i < head else HEAD + tail_class(w) for i, w in enumerate(vocabulary)], np.int32)
         base = np.log10((counts + 1) / (total + distinct + 1))
         local = np.where(token < HEAD, 0.0, np.log10((counts + 1) / np.frombuffer(tail_total, np.float64)[np.maximum(token - HEAD, 0)]))
         end = number[END]
@@ -341,7 +341,7 @@ def scorer(known: tuple[bytes, bytes], model: bytes, tail_total: bytes, total: i
                         at = np.array([-1 if k is None else k for k in got], np.int64)
                         t = token[at]
                         miss = at < 0
-                        t[miss] = np.fromiter(cls, np.int64, len(own))
+                        t[miss] = np.fromiter(cls, np.int32, len(own))
                         at = at[~miss]
                     else:
                         at = np.array(got, np.int64)
