@@ -1,31 +1,31 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: shared word pairs and Smith-Waterman alignment.
 
 Words are runs of letters, digits and underscores in lower case.
 
-1. Rarity.  How many documents hold each n-gram of the test items is counted over
-   the whole corpus.
-2. Seeds.  An item is cut into stretches of `STRETCH` words; the rarest n-gram that
-   starts in each is a seed.  Every stretch has one however common its n-grams
-   are, so that an item which leaked into many documents keeps its seeds.
-3. Alignment.  Where a document holds a seed, the passage around it, as long as
-   the item and `MARGIN` words more on either side, is aligned with the item
-   word by word (match 1, mismatch and gap -1).  The score is the best local
-   alignment over the item's number of words: 1 for a verbatim copy, and above
-   `THRESHOLD` for an edited one.
+1. Score.  A document and an item are aligned word by word (match 1, mismatch and
+   gap -1).  The score is the best local alignment over the item's number of
+   words: 1 for a verbatim copy, and `THRESHOLD` or more for an edited one.
+2. Candidates.  An alignment of score s has a run of matched words between any two
+   edits, so that it has at least s - 1 places where two words of the document
+   follow each other as in the item, and it spans at most 2n - s words for an
+   item of n.  Only stretches of a document with so many such places are aligned.
+   No pair that reaches the threshold is lost, whatever its words' frequencies.
+3. Alignment.  Such a stretch is aligned in passages that hold every alignment
+   which begins in it.
 
 Test items are taken in blocks of at most `ITEM_BLOCK` words, so that what is sent
 to the executors is bounded; a benchmark of several blocks takes several passes
 over the documents, and all items are searched.
 
-Defined cases: null and empty texts are clean; an item under `N` words is a seed as
-a whole; an item without words is left out; an empty benchmark finds nothing;
+Defined cases: null and empty texts are clean; an item under `N` words has to
+occur as a whole; an item without words is left out; an empty benchmark finds nothing;
 ids may be null or repeat, and each row has its own result.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pieces, without
 
-N, STRETCH, MARGIN, THRESHOLD = 3, 4, 12, 0.4
+N, THRESHOLD = 3, 0.4
 ITEM_BLOCK = 500_000
 #: Alignments in one numpy pass.
 LANES = 256
+#: Pairs of a place and an item that are looked at in one numpy pass.
+PLACES = 2_000_000
 WORD = re.compile(r"\w+")
 HITS = "doc_id {kind}, item_id bigint, score double, word_start int, word_end int"
 
@@ -46,47 +48,85 @@ def words_of(text: str | None) -> list[str]:
     return [w for piece in pieces((text or "").lower()) for w in WORD.findall(piece)]
 
 
-def grams(words: list[str]) -> list[tuple[str, ...]]:
-    n = min(N, len(words))
-    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-
-
 class Finder:
-    """Finds the places of given n-grams in a text."""
-
-    def __init__(self, wanted):
-        self.vocabulary = {w: i for i, w in enumerate({w for g in wanted for w in g})}
-        self.by_size = defaultdict(dict)
-        for k, g in enumerate(wanted):
-            self.by_size[len(g)][tuple(self.vocabulary[w] for w in g)] = k
-
-    def __call__(self, text: str | None):
-        """The text's words as numbers (-1: in no n-gram), and (place, n-gram) of each hit."""
-        get = self.vocabulary.get
-        got = [get(w, -1) for w in words_of(text)]
-        ids = np.array(got, np.int64)
-        hits = []
-        for n, known in self.by_size.items():
-            if len(ids) < n:
+    """Finds the stretches of documents that may reach the threshold with an item."""
+
+    def __init__(self, items: list[list[str]], threshold: float):
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for words in items for w in words}))}
+        self.numbers = [np.array([self.vocabulary[w] for w in words], np.int64) for words in items]
+        n = np.array([len(words) for words in items])
+        least = np.array([math.ceil(threshold * k) for k in n])
+        # Where one matched word is enough, or the item has only one, single words are looked for.
+        single = (n == 1) | ((least < 2) & (n >= N))
+        self.need = np.where(single, 1, np.maximum(least - 1, 1))
+        self.span = np.maximum(2 * n - least, 1)
+        self.tables = [self.postings([(i, x) for i, x in enumerate(self.numbers) if single[i]], 1), self.postings([(i, x) for i, x in enumerate(self.numbers) if not single[i]], 2)]
+
+    def codes(self, ids: np.ndarray, size: int) -> np.ndarray:
+        """A number for what begins at each place: -1 if it has a word that no item holds."""
+        if size == 1 or not len(ids):
+            return ids
+        after = np.append(ids[1:], -1)
+        return np.where((ids >= 0) & (after >= 0), ids * len(self.vocabulary) + after, -1)
+
+    def postings(self, items, size: int):
+        """(code, first posting of each, items): the distinct items by code."""
+        pairs = [np.empty((0, 2), np.int64)]
+        for i, x in items:
+            own = np.unique(self.codes(x, size)[: len(x) - size + 1])
+            pairs.append(np.stack([own, np.full(len(own), i)], 1))
+        pairs = np.concatenate(pairs)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        code, first = np.unique(pairs[:, 0], return_index=True)
+        return code, np.append(first, len(pairs)), pairs[:, 1]
+
+    def __call__(self, ids: np.ndarray):
+        """(item, start, end) of passages of `ids` (-1: in no item) that hold all alignments which reach the threshold."""
+        out = []
+        for size, (code, first, owners) in enumerate(self.tables, 1):
+            if not len(code):
                 continue
-            ok = ids[: len(ids) - n + 1] >= 0
-            for i in range(1, n):
-                ok &= ids[i : len(ids) - n + 1 + i] >= 0
-            hits += [(i, k) for i in np.flatnonzero(ok).tolist() if (k := known.get(tuple(got[i : i + n]))) is not None]
-        return ids, hits
-
-
-def frequency_counter(wanted):
-    """Arrow function: (k, documents) for n-grams of the items that a task's documents hold."""
-
-    def run(rows):
-        finder, total = Finder(wanted), Counter()
-        for batch in rows:
-            for text in batch.column(0).to_pylist():
-                total.update({k for _, k in finder(text)[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["k", "df"])
-
-    return run
+            own = self.codes(ids, size)
+            k = np.minimum(np.searchsorted(code, own), len(code) - 1)
+            place = np.flatnonzero((own >= 0) & (code[k] == own))
+            k = k[place]
+            total = np.cumsum(first[k + 1] - first[k])
+            reach = int(self.span.max())
+            s = 0
+            while s < len(place):
+                e = int(np.searchsorted(total, (total[s - 1] if s else 0) + PLACES, "right"))
+                # Parts overlap by the longest span, so that every alignment is whole in one.
+                e = max(e, int(np.searchsorted(place, place[s] + 2 * reach)))
+                out += self.stretches(place[s:e], k[s:e], first, owners)
+                if e >= len(place):
+                    break
+                s = int(np.searchsorted(place, place[e] - reach))
+        return out
+
+    def stretches(self, place, k, first, owners):
+        count = first[k + 1] - first[k]
+        at = np.repeat(place, count)
+        item = owners[np.repeat(first[k] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        often = np.bincount(item, minlength=len(self.need)) >= self.need
+        keep = often[item]
+        at, item = at[keep], item[keep]
+        order = np.argsort(item, kind="stable")
+        at, item = at[order], item[order]
+        # The last of the places that a stretch needs, counted from each.
+        last = np.arange(len(at)) + self.need[item] - 1
+        ok = last < len(at)
+        last = np.minimum(last, len(at) - 1)
+        ok &= (item[last] == item) & (at[last] - at < self.span[item])
+        out, own, upto = [], -1, 0
+        for i, s, e in zip(item[ok].tolist(), at[ok].tolist(), at[last[ok]].tolist(), strict=True):
+            span = int(self.span[i])
+            if i != own:
+                own, upto = i, -1
+            if s > upto:  # alignments that begin up to `upto` are whole in the passage before
+                begin = max(e - span, upto + 1)
+                out.append((i, begin, begin + 2 * span + 1))
+                upto = begin + span
+        return out
 
 
 def align(items: np.ndarray, item_n: np.ndarray, passages: np.ndarray, passage_n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,16 +162,12 @@ def align(items: np.ndarray, item_n: np.ndarray, passages: np.ndarray, passage_n
     return best, start, end
 
 
-def aligner(items: list[tuple[int, list[str]]], seeds: list[tuple[tuple[str, ...], list[tuple[int, int]]]], threshold: float):
+def aligner(items: list[tuple[int, list[str]]], threshold: float):
     """Arrow function: the items that each document leaks."""
 
     def run(rows):
-        finder = Finder([g for g, _ in seeds] + [tuple([w]) for w in sorted({w for _, ws in items for w in ws})])
-        at_seeds = len(seeds)
-        # One-word entries only give every item word a number.
-        finder.by_size = {n: {g: k for g, k in known.items() if k < at_seeds} for n, known in finder.by_size.items()}
-        finder.by_size = {n: known for n, known in finder.by_size.items() if known}
-        numbers = [np.array([finder.vocabulary[w] for w in ws], np.int64) for _, ws in items]
+        finder = Finder([words for _, words in items], threshold)
+        numbers, get = finder.numbers, finder.vocabulary.get
 
         def flush(pending):
             out = []
@@ -150,19 +186,10 @@ def aligner(items: list[tuple[int, list[str]]], seeds: list[tuple[tuple[str, ...
         for batch in rows:
             pending, out = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                ids, hits = finder(text)
-                spans = defaultdict(list)
-                for place, k in hits:
-                    for item, offset in seeds[k][1]:
-                        n = len(numbers[item])
-                        spans[item].append((max(0, place - offset - MARGIN), min(len(ids), place - offset + n + MARGIN)))
-                for item, found in spans.items():
-                    found.sort()
-                    reach = -1
-                    for s, e in found:
-                        if e > reach:  # a window inside the one before it brings nothing new
-                            pending.append((doc_id, item, ids[s:e], s))
-                            reach = e
+                ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
+                for item, s, e in finder(ids):
+                    s, e = max(s, 0), min(e, len(ids))
+                    pending.append((doc_id, item, ids[s:e], s))
                 if len(pending) >= 4 * LANES:
                     out += flush(pending)
                     pending = []
@@ -189,17 +216,6 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
         yield block
 
 
-def choose_seeds(items, frequency: dict[tuple[str, ...], int]):
-    """(n-gram, [(item, place in it)]): the rarest that starts in each stretch."""
-    out = defaultdict(list)
-    for item, (_, words) in enumerate(items):
-        own = grams(words)
-        for s in range(0, len(own), STRETCH):
-            _, place = min((frequency.get(g, 0), s + i) for i, g in enumerate(own[s : s + STRETCH]))
-            out[own[place]].append((item, place))
-    return list(out.items())
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """Per document, item and passage that reach the threshold: doc_id, item_id, score, word_start, word_end."""
     spark = docs.sparkSession
@@ -207,10 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     found = None
     for items in blocks_of(benchmark, item_col, "text"):
-        wanted = sorted({g for _, words in items for g in grams(words)})
-        df = {r.k: r.n for r in base.select("_text").mapInArrow(frequency_counter(wanted), "k bigint, df bigint").groupBy("k").agg(F.sum("df").alias("n")).collect()}
-        seeds = choose_seeds(items, {wanted[k]: n for k, n in df.items()})
-        hits = base.mapInArrow(aligner(items, seeds, threshold), HITS.format(kind=kind))
+        hits = base.mapInArrow(aligner(items, threshold), HITS.format(kind=kind))
         found = hits if found is None else found.unionByName(hits)
     return spark.createDataFrame([], HITS.format(kind=kind)) if found is None else found
 

@@ -161,6 +161,35 @@ def test_decontamination(spark, docs, corpus, nothing, monkeypatch):
     assert not any(r.contaminated for r in decontaminate.contaminated(docs, benchmark.limit(0)).collect())
 
 
+def test_decontamination_equals_plain_alignment(spark, monkeypatch):
+    """Every pair of a document and an item, with an edit every two to six words, against Smith-Waterman."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (3, 4, 7, 12, 15, 20, 30, 40)]
+    rows, texts = [], {}
+    for item in items:
+        for every in (2, 3, 4, 5, 6, 99):
+            for kind in ("swap", "add", "drop"):
+                copy, at = [], rng.randrange(every)
+                for i, w in enumerate(item):
+                    if (i + at) % every:
+                        copy.append(w)
+                    else:
+                        copy += [["zz"], [w, "zz"], []][("swap", "add", "drop").index(kind)]
+                around = [[rng.choice(vocabulary) for _ in range(rng.randrange(40))] for _ in range(2)]
+                texts[len(texts)] = around[0] + copy + around[1]
+    texts[len(texts)] = items[5]  # verbatim, so that intact word sequences are the more frequent ones
+    rows = [(i, " ".join(ws)) for i, ws in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(items)], "item_id bigint, text string")
+    want = {i: [k for k, item in enumerate(items) if smith_waterman(item, ws) >= decontaminate.THRESHOLD * len(item)] for i, ws in texts.items()}
+    best = {i: max([0.0] + [smith_waterman(items[k], ws) / len(items[k]) for k in want[i]]) for i, ws in texts.items()}
+    for places in (decontaminate.PLACES, 50):
+        monkeypatch.setattr(decontaminate, "PLACES", places)
+        got = {r.doc_id: r for r in decontaminate.contaminated(docs, benchmark).collect()}
+        assert {i: r["items"] for i, r in got.items()} == want and {i: r.score for i, r in got.items()} == best
+
+
 def test_catalog_and_pipeline(spark, data, duck):
     import corpus_pipeline
 
