@@ -77,12 +77,12 @@ def split_equi_load(rates: DataFrame, n: int) -> DataFrame:
 
 
 def construct_ranges(rates: pd.DataFrame, n: int) -> pd.DataFrame:
-    """The adaptive equi-load split of a sampled key histogram (k, rate), in key order.
+    """The adaptive equi-load split of a key histogram (k, rate) in memory, in key order.
 
     A range closes when the next key would take it over its share; the share is
     what is left over the ranges left.  A key with a fair share or more alone is a
     point range with ceil(rate / fair) duplicates.  Returns id, lower, upper
-    (inclusive), rate, duplicates.  The histogram is a bounded sample.
+    (inclusive), rate, duplicates.
     """
     rows = sorted(zip(rates["k"].tolist(), rates["rate"].tolist(), strict=True))
     total = float(sum(r for _, r in rows))
@@ -118,6 +118,43 @@ def construct_ranges(rates: pd.DataFrame, n: int) -> pd.DataFrame:
     return pd.DataFrame([[i, *r] for i, r in enumerate(out)], columns=["id", "lower", "upper", "rate", "duplicates"])
 
 
+def split_adaptive(rates: DataFrame, n: int) -> DataFrame:
+    """construct_ranges() of a histogram (k, rate) of any size, with the same result.
+
+    Running sums stand in for the walk over the keys: the end of each range is one
+    aggregate, and there are at most 2n + 1 ranges.  What reaches the driver is
+    one row a range.
+    """
+    spark, kinds = rates.sparkSession, "id bigint, lower bigint, upper bigint, rate double, duplicates bigint"
+    rates = rates.where("k is not null").persist()
+    cum = ordered.running(rates, "k", F.col("rate"), "before", before=True).withColumn("before", F.coalesce("before", F.lit(0))).persist()
+    total = float(cum.agg(F.sum("rate")).first()[0] or 0)
+    fair, left_rate, left_ranges = total / max(n, 1), total, n
+    first = lambda rows: rows.agg(F.min(F.struct("k", "before", "rate"))).first()[0]
+    starts, at = [], first(cum) if n > 0 else None
+    while at:
+        starts.append(at.k)
+        rest = cum.where(F.col("k") > at.k)
+        if at.rate >= fair:
+            left_rate -= at.rate
+            left_ranges -= math.ceil(at.rate / fair)
+            at = first(rest)
+            continue
+        ends = F.col("rate") >= fair
+        if left_ranges > 1:
+            ends |= F.col("before") + F.col("rate") - at.before > left_rate / left_ranges
+        after = first(rest.where(ends))
+        left_rate -= (after.before if after else total) - at.before
+        left_ranges -= 1
+        at = after
+    place = search(F.col("k"), starts) if starts else F.lit(0)
+    found = cum.groupBy((place - 1).cast("bigint").alias("id")).agg(F.min("k").alias("lower"), F.max("k").alias("upper"), F.sum("rate").cast("double").alias("rate"))
+    rows = [(r.id, r.lower, r.upper, r.rate, math.ceil(r.rate / fair) if r.lower == r.upper and r.rate >= fair else 1) for r in found.orderBy("id").collect()] if starts else []
+    cum.unpersist()
+    rates.unpersist()
+    return spark.createDataFrame(rows, kinds)
+
+
 def hot_keys(rates: DataFrame, n: int, total: int) -> DataFrame:
     """Keys with a fair share of the load or more, and their numbers of duplicates."""
     fair = F.lit(total) / F.lit(n)

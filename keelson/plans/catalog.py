@@ -300,9 +300,8 @@ def range_validate(i: Inputs):
 
 @query()
 def construct_ranges(i: Inputs):
-    """The adaptive split of a histogram sampled by key, which has at most 10,000 keys."""
-    rates = ranges.key_rates(i.table("lineitem").select(F.col("l_orderkey").alias("k"))).orderBy(F.xxhash64("k")).limit(10_000)
-    return rates.groupBy().applyInPandas(lambda p: ranges.construct_ranges(p, PARTS), "id bigint, lower bigint, upper bigint, rate double, duplicates bigint")
+    """The adaptive split of the histogram of all keys."""
+    return ranges.split_adaptive(ranges.key_rates(i.table("lineitem").select(F.col("l_orderkey").alias("k"))), PARTS)
 
 
 # File metadata.

@@ -205,6 +205,17 @@ def test_adaptive_split_duplicates_hot_keys():
     assert ranges.construct_ranges(rates.head(0), 4).empty
 
 
+def test_adaptive_split_takes_every_key(spark):
+    """More keys than the 10,000 of the former sample, and hot keys, against the walk over all of them."""
+    import pandas as pd
+
+    rng = random.Random(12)
+    rates = pd.DataFrame({"k": [3 * k for k in range(12_000)], "rate": [40_000 if k in (5, 6, 9_000) else rng.randrange(1, 9) for k in range(12_000)]})
+    for some, n in ((rates, 16), (rates, 3), (rates.iloc[:7], 16), (rates.iloc[:1], 4), (rates.iloc[:0], 4)):
+        got = sorted(map(tuple, ranges.split_adaptive(spark.createDataFrame(some.values.tolist(), "k bigint, rate bigint"), n).collect()))
+        assert got == [tuple(r) for r in ranges.construct_ranges(some, n).values.tolist()]
+
+
 def test_routing_of_many_ranges(spark):
     many = ranges.split_uniform(spark, 0, 10_000, 2000)
     got = ranges.route(spark.range(-5, 10_005).withColumnRenamed("id", "k"), "k", many)
