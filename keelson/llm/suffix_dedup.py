@@ -318,6 +318,11 @@ def suffixes(length: int):
         size = before.astype(np.int64) - after + length
         start = np.cumsum(size) - size
         order = np.lexsort((at, ths, ids, key))
+        # Rows that repeat id and text bring the same phrases, and are one document.
+        same = np.ones(len(order) - 1, bool)
+        for c in (key, ids, ths, at):
+            same &= c[order][1:] == c[order][:-1]
+        order = order[np.concatenate([[True], ~same])]
         cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         out, s = [], 0
         while s < len(order):

@@ -75,6 +75,17 @@ def test_suffix_dedup_repeated_rows(spark):
     assert got == [(1, 0), (1, 0), (2, len(text)), (3, 398)]
 
 
+def test_suffix_dedup_near_copy_of_a_repeated_row(spark):
+    shared = " ".join(f"w{i}" for i in range(38))
+    one, two = shared + "".join(f" x{i * 7}" for i in range(50)), shared + "".join(f" y{i * 5}" for i in range(50))
+    for first in (1, None):
+        rows = [(first, one), (first, one), (2, two)] if first else [(2, two), (None, one), (None, one)]
+        got = sorted(r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+        # One repeat, in the later document alone; a separate run without the second copy says how long it is.
+        alone = sorted(r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame([r for k, r in enumerate(rows) if r not in rows[:k]], "doc_id bigint, text string")).collect())
+        assert alone[0] == 0 and alone[1] >= len(shared) and got == ([0, 0, alone[1]] if first else [0, alone[1], alone[1]])
+
+
 def shingles(t, n=5):
     w = (t or "").lower().split()
     return {tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else set()
