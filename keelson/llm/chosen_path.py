@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, perhaps_in, without
+from .common import batches, materialize, perhaps_in, row_key, without
 from .components import connected_components
 
 N, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
@@ -350,5 +350,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class: that with the least id."""
-    return without(docs, id_col, similarity_classes(docs, id_col, text_col).where(F.col("doc_id") != F.col("class_id")).select("doc_id"))
+    """One row of each class: that with the least id, whatever ids are null or repeat.  Rows that repeat id and text are one document."""
+    key = row_key(id_col, text_col)
+    classes = materialize(similarity_classes(docs.select(key.alias("_kl_row"), F.col(text_col)), "_kl_row", text_col).select("doc_id", "class_id"), "verdicts")
+    kept = F.col("doc_id") == F.col("class_id")
+    repeated = classes.where(kept).groupBy("doc_id").count().where("count > 1")
+    return without(docs, key, classes.where(~kept).select("doc_id"), repeated.select("doc_id"))

@@ -68,12 +68,28 @@ def perhaps_in(rows: DataFrame, column: str, ids: DataFrame, ids_column: str) ->
     return cut.join(F.broadcast(bitmap(ids, ids_column)), "_kl_word", "left").withColumn("_kl_perhaps", hit).drop("_kl_word", "_kl_bits", "_kl_bit")
 
 
-def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """`rows` without those whose id is among `gone` (one column).  Most rows that stay are not shuffled."""
-    gone = materialize(gone.toDF("_kl_gone").distinct(), "gone")
-    marked = perhaps_in(rows, column, gone, "_kl_gone")
-    rest = marked.where("_kl_perhaps").join(gone, F.col(column).eqNullSafe(F.col("_kl_gone")), "left_anti")
-    return marked.where("not _kl_perhaps").unionByName(rest).select(*(F.col(f"`{c}`") for c in rows.columns))
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's identity: its id and a 128-bit hash of its text.  In order of ids; a null id comes last."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("hash"))
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """`rows` without those whose key is among `gone` (one column), and with one row of each key among `repeated`.  Most rows that stay are not shuffled."""
+
+    def split(rows: DataFrame, keys: DataFrame):
+        marked = perhaps_in(rows, "_kl_key", keys, "_kl_of")
+        own = F.col("_kl_key").eqNullSafe(F.col("_kl_of"))
+        maybe = marked.where("_kl_perhaps").drop("_kl_perhaps")
+        return marked.where("not _kl_perhaps").drop("_kl_perhaps").unionByName(maybe.join(keys, own, "left_anti")), maybe.join(keys, own, "left_semi")
+
+    left = split(rows.withColumn("_kl_key", key), materialize(gone.toDF("_kl_of").distinct(), "gone"))[0]
+    if repeated is not None:
+        repeated = materialize(repeated.toDF("_kl_of").distinct(), "repeated")
+        if not repeated.isEmpty():
+            once, again = split(left, repeated)
+            left = once.unionByName(again.dropDuplicates(["_kl_key"]))
+    return left.select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
 def crc_mod(column: Column, n: int) -> Column:

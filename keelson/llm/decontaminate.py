@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, without
+from .common import materialize, pieces, row_key, without
 
 N, THRESHOLD = 3, 0.4
 ITEM_BLOCK = 500_000
@@ -239,5 +239,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that leak no test item."""
-    return without(docs, id_col, leaks(docs, benchmark, id_col, text_col).select("doc_id"))
+    """The rows of `docs` that leak no test item: each row is judged by its own text, whatever ids are null or repeat."""
+    key = row_key(id_col, text_col).getField("hash")
+    return without(docs, key, leaks(docs.select(key.alias("_kl_row"), F.col(text_col)), benchmark, "_kl_row", text_col).select("doc_id"))

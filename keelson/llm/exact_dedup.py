@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, materialize, without
+from .common import WHITESPACE, materialize, row_key, without
 
 #: At most so many groups are hot, which bounds what is broadcast.
 HOT_GROUPS = 1000
@@ -65,8 +65,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that exact_groups() does not keep.  Rows alike in id stay or go together."""
-    return without(docs, id_col, exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"))
+    """One row of each group of exact_groups(), whatever ids are null or repeat: of equal candidates by size and id, that with the least hash of its text."""
+    key = row_key(id_col, text_col)
+    verdict = materialize(exact_groups(docs.select(key.alias("_kl_row"), F.col(text_col)), "_kl_row", text_col).select("doc_id", "kept", "group_size"), "verdicts")
+    repeated = verdict.where("kept and group_size > 1").groupBy("doc_id").count().where("count > 1")
+    return without(docs, key, verdict.where(~F.col("kept")).select("doc_id"), repeated.select("doc_id"))
 
 
 ORACLE = r"""

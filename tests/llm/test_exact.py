@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from keelson.llm import chosen_path, exact_dedup, line_dedup, suffix_dedup
+from keelson.llm import chosen_path, decontaminate, exact_dedup, line_dedup, suffix_dedup
 from keelson.llm.components import connected_components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -86,6 +86,23 @@ def test_suffix_dedup_near_copy_of_a_repeated_row(spark):
         assert alone[0] == 0 and alone[1] >= len(shared) and got == ([0, 0, alone[1]] if first else [0, alone[1], alone[1]])
 
 
+def test_stages_decide_by_row(spark):
+    """Ids that are null or repeat: neither do clean rows go with others, nor do copies stay."""
+    schema = "doc_id bigint, text string, extra map<string,int>"
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, "copy one"), (None, "unique text here"), (4, "copy one"), (4, "another unique"), (4, "another unique"), (7, "copy  one"), (None, None), (3, "")]
+    make = lambda rows: spark.createDataFrame([(i, t, {"a": 1}) for i, t in rows], schema)
+    got = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_copies(make(rows)).collect()), key=repr)
+    assert got == sorted([(None, "unique text here"), (4, "another unique"), (7, "copy  one"), (3, "")], key=repr)
+    rows = [(1, near), (1, "no such words are in any other text of these"), (2, near + " zz"), (2, "quite alone by itself it stands"), (None, near + " yy"), (None, "null and alone among the others"), (5, "said twice but one document only"), (5, "said twice but one document only")]
+    got = sorted(((r.doc_id, r.text) for r in chosen_path.keep_one(make(rows)).collect()), key=repr)
+    assert got == sorted([rows[k] for k in (0, 1, 3, 5, 6)], key=repr)
+    benchmark = spark.createDataFrame([(1, near)], "item_id bigint, text string")
+    rows = [(None, near), (None, "null and clean"), (2, "so " + near), (2, "clean"), (3, None)]
+    got = sorted(((r.doc_id, r.text) for r in decontaminate.keep_clean(make(rows), benchmark).collect()), key=repr)
+    assert got == sorted([rows[k] for k in (1, 3, 4)], key=repr)
+
+
 def shingles(t, n=5):
     w = (t or "").lower().split()
     return {tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else set()
