@@ -12,12 +12,15 @@ head words, a softmax over its words; in a tail class the add-one share
 (c + 1) / (sum of (c + 1) in the class + 1), where the last 1 is for words that
 never occurred.
 
-Learning runs on the driver in numpy: truncated backpropagation over windows of
-`WINDOW` tokens, state carried from window to window.  It sees about
-`TRAIN_TOKENS` tokens, which is the documented bound of that sample: documents
-are drawn by a hash of the id, and of a text over `LONG` tokens stretches of
-`STRETCH` tokens by a hash of their place.  Scoring steps many documents side by
-side on the executors.
+Learning is truncated backpropagation in numpy over windows of `WINDOW` tokens,
+state carried from window to window.  A first model learns on the driver from
+about `TRAIN_TOKENS` tokens: documents drawn by a hash of the id, and of a text
+over `LONG` tokens stretches of `STRETCH` tokens by a hash of their place.  From
+this start each task on the executors learns from all of its training documents,
+`CHUNK` tokens at a time, and the weights are averaged by the tokens behind them.
+So every training token is learned from, in bounded memory; the state starts anew
+where a chunk or a lane begins.  Scoring steps many documents side by side on the
+executors.
 
 What goes to executors is bounded: the model, and the counts of the `KNOWN` most
 frequent tokens.  The counts of rarer tokens come by a shuffled join, one row
@@ -45,6 +48,8 @@ from .common import crc_mod, materialize, pieces
 HIDDEN, HEAD, PER_CLASS, TAIL = 32, 4096, 64, 64
 KNOWN = 200_000
 TRAIN_TOKENS, WINDOW, LANES, LONG, STRETCH = 1_200_000, 32, 64, 16_384, 2_048
+#: Tokens that a task learns from at a time, its rate, and weights in a row of the shuffle that averages them.
+CHUNK, TASK_RATE, SLICE = 1 << 18, 0.02, 4096
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Stands for the end token; no word holds a space.
 END = b" "
@@ -165,8 +170,16 @@ class Model:
             out[at] -= np.log(logits.sum(1))
         return out
 
-    def train(self, sequences: list[np.ndarray], end: int, bound: int, least_steps: int = 300, rate: float = 0.02) -> None:
-        """Truncated backpropagation; each sequence starts from the zero state."""
+    def fresh_sums(self) -> dict[str, np.ndarray]:
+        """Sums of squared gradients before the first step."""
+        return {name: np.full_like(getattr(self, name), 1e-6) for name in self.NAMES}
+
+    def train(self, sequences: list[np.ndarray], end: int, bound: int, least_steps: int = 300, rate: float = 0.02, seen: dict[str, np.ndarray] | None = None, once: bool = False) -> None:
+        """Truncated backpropagation; each sequence starts from the zero state.
+
+        `seen` are the sums of squared gradients, which go on from call to call;
+        `once` is one pass at a constant rate.
+        """
         if not sequences:
             return
         lanes = LANES if sum(map(len, sequences)) >= LANES * WINDOW * 4 else 8
@@ -179,13 +192,13 @@ class Model:
         fill = lanes * n - len(target)
         target, given, start = (np.concatenate([x, x[:fill]] if fill <= len(x) else [np.resize(x, lanes * n)]).reshape(lanes, n) for x in (target, given, start))
         steps_per = -(-n // WINDOW)
-        epochs = min(20, max(2, -(-least_steps // steps_per)))
-        seen = {name: np.full_like(getattr(self, name), 1e-6) for name in self.NAMES}
+        epochs = 1 if once else min(20, max(2, -(-least_steps // steps_per)))
+        seen = self.fresh_sums() if seen is None else seen
         total, done = epochs * steps_per, 0
 
         def update(name, grad, rows=None):
             w, s = getattr(self, name), seen[name]
-            r = np.float32(rate * max(0.1, 1 - done / total))
+            r = np.float32(rate if once else rate * max(0.1, 1 - done / total))
             if rows is None:
                 s += grad * grad
                 w -= r * grad / np.sqrt(s)
@@ -312,6 +325,60 @@ class Model:
         return out
 
 
+def trainer(head: list[bytes], end: int, weights: dict[str, np.ndarray], seen: dict[str, np.ndarray]):
+    """Arrow function: the weights after learning from all of a task's texts, in slices, times the number of tokens."""
+
+    def run(rows):
+        number = {w: i for i, w in enumerate(head)}
+        net = Model.__new__(Model)
+        net.classes = HEAD // PER_CLASS + TAIL
+        for name, w in weights.items():
+            setattr(net, name, w.copy())
+        sums = {name: x.copy() for name, x in seen.items()}
+        sequences, size, total = [], 0, 0
+        for batch in rows:
+            for text in batch.column(0).to_pylist():
+                parts = []
+                for words in (*words_of(text), [END]):
+                    parts.append(np.array([number[w] if w in number else HEAD + tail_class(w) for w in words], np.int32))
+                    size += len(words)
+                    if size >= CHUNK:
+                        net.train([*sequences, np.concatenate(parts)], end, 0, rate=TASK_RATE, seen=sums, once=True)
+                        sequences, parts, total, size = [], [], total + size, 0
+                if parts:
+                    sequences.append(np.concatenate(parts))
+        sequences = [x for x in sequences if len(x)]
+        if sequences:
+            net.train(sequences, end, 0, rate=TASK_RATE, seen=sums, once=True)
+            total += size
+        if total:
+            flat = np.concatenate([getattr(net, n).reshape(-1) for n in Model.NAMES]).astype(np.float64) * total
+            cut = [flat[k : k + SLICE].tobytes() for k in range(0, len(flat), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([total] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=["slice", "n", "w"])
+
+    return run
+
+
+def add_slices(group: pa.Table) -> pa.Table:
+    """The sum of one slice over the tasks."""
+    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("w"))
+    n = sum(group.column("n").to_pylist())
+    return pa.Table.from_arrays([group.column("slice")[:1], pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n", "w"])
+
+
+def learn_all(model: Model, texts: DataFrame, head: list[bytes], seen: dict[str, np.ndarray]) -> None:
+    """One pass over all `texts` from the weights of `model`, which become the tasks' average."""
+    schema = "slice int, n bigint, w binary"
+    learned = texts.mapInArrow(trainer(head, head.index(END), {n: getattr(model, n) for n in Model.NAMES}, seen), schema)
+    rows = sorted(learned.groupBy("slice").applyInArrow(add_slices, schema).collect())
+    if rows:
+        flat, at = np.concatenate([np.frombuffer(r.w, np.float64) / r.n for r in rows]).astype(np.float32), 0
+        for name in Model.NAMES:
+            w = getattr(model, name)
+            setattr(model, name, flat[at : at + w.size].reshape(w.shape).copy())
+            at += w.size
+
+
 def scorer(known: tuple[bytes, bytes], model: bytes, tail_total: bytes, total: int, distinct: int):
     """Arrow function: per document n_tokens, n_known, base, score and its rare words with their numbers of occurrences."""
 
@@ -380,7 +447,7 @@ def most_frequent(counts: DataFrame, bound: int) -> int:
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_tokens: int = TRAIN_TOKENS, known: int = KNOWN) -> DataFrame:
     """Per distinct (id, text) of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from rows whose crc32 of the id modulo 7 is not 2.
+    Learns from all rows whose crc32 of the id modulo 7 is not 2; `train_tokens` bounds the sample that the first model learns from.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     held = F.coalesce(crc_mod(F.col("id"), HELD_OUT_MOD) == HELD_OUT, F.lit(False))
@@ -407,8 +474,10 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = drawn.mapInArrow(encoder(head, LONG), "id bigint, tokens binary").collect()
     rows.sort(key=lambda r: (r.id * 0x9E3779B97F4A7C15 % (1 << 64), bytes(r.tokens)))
     model = Model(np.array([c for c, _ in top[:HEAD]]), tail_total - 1)
-    model.train([np.frombuffer(r.tokens, np.int32) for r in rows], head.index(END), train_tokens)
+    seen = model.fresh_sums()
+    model.train([np.frombuffer(r.tokens, np.int32) for r in rows], head.index(END), train_tokens, seen=seen)
     del rows
+    learn_all(model, training.select("_text"), head, seen)
 
     packed = (zlib.compress(b"\n".join(w for _, w in top), 1), zlib.compress(np.array([c for c, _ in top], np.int64).tobytes(), 1))
     repeated = base.groupBy("id").count().agg(F.max("count")).first()[0] or 0

@@ -35,6 +35,15 @@ def test_language_model(spark, docs, corpus, nothing):
     assert sorted((r.doc_id, r.n_tokens) for r in lm.language_model(twice).collect()) == [(1, 2), (1, 3), (3, 1)]
 
 
+def test_all_training_rows_are_learned_from(spark, monkeypatch):
+    """With next to nothing in the first sample, what follows a word is still learned."""
+    monkeypatch.setattr(lm, "CHUNK", 4096)
+    text = " ".join(f"w{k}" for k in range(20)) + " "
+    docs = spark.createDataFrame([(i, text * 20) for i in range(300)], "doc_id bigint, text string").repartition(2)
+    rows = [r for r in lm.language_model(docs, train_tokens=1).collect() if r.held_out]
+    assert rows and sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows)
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 
