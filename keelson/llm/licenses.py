@@ -5,7 +5,8 @@
    ln((N + 1) / (df + 1)) + 1.  Any other word weighs as much as one that occurs
    nowhere.
 2. Every line of every file is a passage; a long line is looked at through windows
-   of each template's length.  A passage belongs to the template with the highest
+   of each template's length.  So is the whole text, in which line ends and comment
+   marks are not words, so that a header may run over several lines.  A passage belongs to the template with the highest
    cosine, if that reaches `THRESHOLD`.  Passages without any of the templates'
    strong words are passed over: strong words are as many of the heaviest as it
    takes for the others alone to stay below the threshold with every template.
@@ -27,6 +28,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,10 @@ class Matcher:
             if all(sum(x * x for u, x in v.items() if u not in self.strong) < threshold**2 for _, _, v in self.parts):
                 break
             self.strong.add(w)
+        # Weights by number of a word, and each template's share in the cosine; 0: any other word.
+        self.number = {w: i for i, w in enumerate(sorted(self.weight), 1)}
+        self.weights = np.array([self.other] + [self.weight[w] for w in sorted(self.weight)])
+        self.shares = [np.array([0.0] + [self.weight[w] * v.get(w, 0.0) for w in sorted(self.weight)]) for _, _, v in self.parts]
 
     def cosine(self, words: list[str], v: dict[str, float]) -> float:
         x = {w: c * self.weight.get(w, self.other) for w, c in Counter(words).items()}
@@ -93,6 +99,26 @@ class Matcher:
         return best
 
 
+    def anywhere(self, words: list[str]) -> tuple[str, float] | None:
+        """Best template and cosine among all windows of the templates' lengths, if it reaches the threshold.
+
+        A window's product with a template is a sum over its places, and its norm at
+        least that of its words taken one by one: only windows that may reach the
+        threshold by these sums are compared.
+        """
+        ids = np.array([self.number.get(w, 0) for w in words], np.int64)
+        norms = np.append(0.0, np.cumsum(self.weights[ids] ** 2))
+        best = None
+        for (name, size, v), share in zip(self.parts, self.shares, strict=True):
+            size = min(size, len(words))
+            products = np.append(0.0, np.cumsum(share[ids]))
+            may = products[size:] - products[:-size] >= self.threshold * np.sqrt(norms[size:] - norms[:-size]) - 1e-6 if size else np.empty(0, bool)
+            score = max((self.cosine(words[s : s + size], v) for s in np.flatnonzero(may).tolist()), default=0.0)
+            if score >= self.threshold and (best is None or score > best[1] + 1e-12):
+                best = (name, score)
+        return best
+
+
 def frequencies(vocabulary: set[str]):
     """Arrow function: (word, documents) for the templates' words."""
 
@@ -122,7 +148,10 @@ def scanner(templates, df, n: int, threshold: float):
                     for line in lower.split("\n"):
                         if keyword.search(line) and (hit := match.passage(WORD.findall(line))) and (best is None or hit[1] > best[1]):
                             best = hit
-                    if is_file and (hit := match.passage(WORD.findall(lower), whole=True)) and (best is None or hit[1] > best[1]):
+                    words = WORD.findall(lower)
+                    if (hit := match.anywhere(words)) and (best is None or hit[1] > best[1] + 1e-12):
+                        best = hit
+                    if is_file and (hit := match.passage(words, whole=True)) and (best is None or hit[1] > best[1]):
                         best = hit
                 found.append(best and best[0])
                 scores.append(best and best[1])

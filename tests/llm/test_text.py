@@ -104,6 +104,28 @@ def test_licenses(spark, nothing):
     assert licenses.licenses(catalog.with_paths(nothing.withColumn("source", nothing.text).withColumn("lang", nothing.text))).collect() == []
 
 
+def test_licenses_over_line_ends(spark):
+    """Headers wrapped as comments of 30 and 80 columns, and the windows against all windows."""
+    import textwrap
+
+    prose = "some words before the header and some after it, of no licence at all. " * 3
+    files, want = [], []
+    for mark in ("// ", " * ", "# "):
+        for width in (30, 80):
+            for name in sorted(licenses.TEMPLATES):
+                for template in licenses.TEMPLATES[name]:
+                    wrapped = "\n".join(mark + x for x in textwrap.wrap(template, width))
+                    files.append((len(files), f"d{len(files)}/x.py", f"{prose}\n{wrapped}\n{prose}"))
+                    want.append(name)
+    got = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(files, "doc_id int, path string, text string")).collect()}
+    assert [got[i].license for i in range(len(want))] == want and all(r.score > 0.999 and r.how == "header" for r in got.values())
+    match = licenses.Matcher(licenses.TEMPLATES, {"the": 50, "license": 9}, 60, licenses.THRESHOLD)
+    for _, _, text in files[::5]:
+        words = licenses.words_of(text)
+        plain = max(match.cosine(words[s : s + n], v) for _, n, v in match.parts for s in range(len(words) - n + 1))
+        assert match.anywhere(words)[1] == plain
+
+
 def test_license_prefilter_loses_nothing(spark):
     """The scan by strong words finds what a scan of all lines finds."""
     docs = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
