@@ -11,10 +11,10 @@ the recall of the runs.
    it has there.  A bucket with at most `LIMIT` sets is searched whole; a larger one
    is split again, down to `DEPTH`.  At similarity t, a run of depth 1, 2, 3 finds a
    pair with probability 0.84, 0.73, 0.64 (t = 0.8); `runs` are repeated until the
-   worst of these reaches the target recall (0.999: 7 runs).
-   A search compares min-hashes; a pair goes on if at least
-   `threshold` - 0.25 of them agree, which a pair at the threshold misses about
-   once in a million.  Of each bucket a spanning forest is kept, never all pairs.
+   worst of these reaches the target recall (0.999: 7 runs), and `MORE_RUNS` times more.
+   A search compares four bits of each min-hash, which is all that is shuffled of a
+   set; a pair goes on if so many agree as a pair at the threshold reaches but for
+   about three in a million.  Of each bucket a spanning forest is kept, never all pairs.
 2. Groups.  The forests' connected components hold every candidate pair.
 3. Verification.  Shingle sets are built again for the documents in groups, and
    all pairs in a group are verified exactly: intersections by matrix products.
@@ -39,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, perhaps_in, row_key, without
+from .common import batches, map_arrow, materialize, perhaps_in, row_key, without
 from .components import connected_components
 
 N, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
-COORDINATES, DEPTH, LIMIT, BIG, BLOCK = 64, 3, 256, 4096, 1024
+COORDINATES, DEPTH, LIMIT, BIG, BLOCK = 64, 3, 256, 4096, 2048
+#: Beyond what independent runs would need: runs share the min-hashes.
+MORE_RUNS = 2
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
 
@@ -63,20 +65,26 @@ def runs_needed(threshold: float, target: float = TARGET_RECALL, depth: int = DE
     return math.ceil(math.log(1 - target) / math.log(1 - found))
 
 
+class Hashes(dict):
+    """64-bit hashes of words, made as they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
 class Shingler:
     """Shingle sets of texts, as sorted 64-bit hashes."""
 
+    REMEMBER = 400_000
+
     def __init__(self, n: int = N):
-        self.n, self.known = n, {}
+        self.n, self.known = n, Hashes()
 
     def word_hashes(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > self.REMEMBER:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: str | None) -> np.ndarray:
         parts = [self.word_hashes(p.split()) for group in batches([(text or "").lower()]) for _, p in group]
@@ -145,8 +153,18 @@ def drawn(path: int, threshold: float) -> list[int]:
     return [one]
 
 
+ROWS = pa.schema([("key", pa.int64()), ("parent", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("short", pa.binary())])
+ROWS_DDL = "key bigint, parent bigint, node binary, n int, short binary"
+
+
+def shorten(values: np.ndarray) -> bytes:
+    """Four bits of each min-hash, two in a byte."""
+    low = (values & 15).astype(np.uint8)
+    return (low[0::2] | low[1::2] << 4).tobytes()
+
+
 def paths(runs: int, depth: int, threshold: float):
-    """Arrow function: (key, parent) of every set's tree nodes at a depth, with the set's size and min-hashes."""
+    """Arrow function: (key, parent) of every set's tree nodes at a depth, with the set's size and shortened min-hashes."""
 
     def child(key: int, i: int, value: int) -> int:
         return int.from_bytes(hashlib.blake2b(b"%d %d %d" % (key, i, value), digest_size=8).digest(), "little") >> 1
@@ -156,20 +174,27 @@ def paths(runs: int, depth: int, threshold: float):
             out = []
             for node, n, sig in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "sig")), strict=True):
                 values = np.frombuffer(sig, np.uint32)
-                short = (values & 0xFFFF).astype(np.uint16).tobytes()
+                short = shorten(values)
                 values = values.tolist()
                 level = [(0, r) for r in range(runs)]
                 for _ in range(depth):
                     level = [(key, child(key, i, values[i])) for _, key in level for i in drawn(key, threshold)]
-                out += [(key, parent, node, n, short) for parent, key in dict((k, (p, k)) for p, k in level).values()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["key", "parent", "node", "n", "short"]) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())], names=["key", "parent", "node", "n", "short"])
+                out += [(key, parent, node, n, short) for key, parent in {k: p for p, k in level}.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, ROWS, strict=True)], schema=ROWS)
 
     return run
 
 
+def least_agreeing(threshold: float) -> int:
+    """How many shortened min-hashes of a pair at the threshold agree at least, but for about three pairs in a million."""
+    p = threshold + (1 - threshold) / 16
+    return int(COORDINATES * p - 4.5 * math.sqrt(COORDINATES * p * (1 - p)))
+
+
 def forest(nodes: list[bytes], n: np.ndarray, short: np.ndarray, threshold: float) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the pairs that pass the size and min-hash filters."""
-    least = int((threshold - 0.25) * COORDINATES)
+    least = least_agreeing(threshold)
+    short = np.stack([short & 15, short >> 4], 2).reshape(len(nodes), -1)
     left, out = np.arange(len(nodes)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
@@ -183,27 +208,29 @@ def forest(nodes: list[bytes], n: np.ndarray, short: np.ndarray, threshold: floa
     return out
 
 
-def searcher(threshold: float):
-    """Arrow function over rows ordered by bucket: edges (a, b)."""
+def searcher(threshold: float, limit: int | None):
+    """Arrow function over rows ordered by bucket: edges (a, b).  Buckets over `limit` sets are left to the next depth."""
 
-    def search(key, rows):
+    def search(rows):
         nodes, n, short = zip(*{r[0]: r for r in rows}.values(), strict=True)
-        return forest(list(nodes), np.array(n), np.frombuffer(b"".join(short), np.uint16).reshape(len(nodes), -1), threshold)
+        return forest(list(nodes), np.array(n), np.frombuffer(b"".join(short), np.uint8).reshape(len(nodes), -1), threshold)
 
     def run(batches_):
-        last, rows, out = None, [], []
+        last, rows, size, out = None, [], 0, []
         for batch in batches_:
             for key, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "n", "short")), strict=True):
                 if key != last:
-                    if len(rows) > 1:
-                        out += search(last, rows)
-                    last, rows = key, []
-                rows.append(row)
+                    if len(rows) > 1 and (limit is None or size <= limit):
+                        out += search(rows)
+                    last, rows, size = key, [], 0
+                size += 1
+                if limit is None or size <= limit:
+                    rows.append(row)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
-        if len(rows) > 1:
-            out += search(last, rows)
+        if len(rows) > 1 and (limit is None or size <= limit):
+            out += search(rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
@@ -294,24 +321,26 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row of `docs`: doc_id, class_id (the least id of its class), n_links (other documents at the threshold or above)."""
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = materialize(base.mapInArrow(signer(n), f"doc_id {kind}, n int, node binary, sig binary"), "signatures")
+    signed = materialize(map_arrow(base, signer(n), f"doc_id {kind}, n int, node binary, sig binary"), "signatures")
     full = signed.where("n > 0")
     nodes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
 
-    # 1. Candidates, level by level; a level's rows are those whose parent is too large.
-    runs, edges, large = runs_needed(threshold, target_recall), [], None
-    schema = "key bigint, parent bigint, node binary, n int, short binary"
+    # 1. Candidates, level by level.  Joins whose sides grow with the corpus are shuffled at any size.
+    runs, edges, large = runs_needed(threshold, target_recall) + MORE_RUNS, [], None
     for depth in range(1, DEPTH + 1):
-        rows = (nodes if large is None else nodes.join(open_nodes, "node", "left_semi")).mapInArrow(paths(runs, depth, threshold), schema)
+        last = depth == DEPTH
+        rows = map_arrow(nodes if large is None else nodes.hint("merge").join(open_nodes, "node", "left_semi"), paths(runs, depth, threshold), ROWS_DDL)
         if large is not None:
             rows = rows.join(large.select(F.col("key").alias("parent")), "parent", "left_semi")
-        sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-        last = depth == DEPTH
-        chosen = rows.join(sizes if last else sizes.where(F.col("size") <= LIMIT), "key")
-        bucketed = blocked(chosen, "key", "size", BIG) if last else chosen.withColumn("bucket", F.col("key").cast("string"))
-        found = bucketed.select("bucket", "node", "n", "short").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(searcher(threshold), "a binary, b binary")
+        sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > (BIG if last else LIMIT)), "buckets")
+        # Buckets with over a thousandth of all rows are at most 1000 and are broadcast: none of their rows goes to one task.
+        hot = F.broadcast(sizes.where(F.col("size") > max(LIMIT, nodes.count() * runs // 1000))) if not last else sizes
+        usual = rows.join(hot, "key", "left_anti").withColumn("bucket", F.col("key").cast("string" if last else "bigint"))
+        if last:
+            usual = usual.select("bucket", "node", "n", "short").unionByName(blocked(rows.join(sizes, "key"), "key", "size", BIG).select("bucket", "node", "n", "short"))
+        found = map_arrow(usual.select("bucket", "node", "n", "short").repartition("bucket").sortWithinPartitions("bucket"), searcher(threshold, None if last else LIMIT), "a binary, b binary")
         edges.append(materialize(found, "candidates"))
-        large = sizes.where(F.col("size") > LIMIT)
+        large = sizes
         if last or large.isEmpty():
             break
         open_nodes = materialize(rows.join(large, "key", "left_semi").select("node").distinct(), "open")
@@ -322,14 +351,13 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         candidates = candidates.unionByName(more)
     groups = materialize(connected_components(candidates), "groups")
     members = groups.groupBy("root").agg(F.count("*").alias("members"))
-    grouped = materialize(groups.join(members, "root").join(nodes.select("node", "first", "copies"), "node"), "grouped")
+    grouped = materialize(groups.join(members, "root").hint("merge").join(nodes.select("node", "first", "copies"), "node"), "grouped")
 
     # 3. Verification of all pairs in a group.
-    at_hand = signed.join(grouped, "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "node", "copies", "root", "members").dropDuplicates(["node"])
-    at_hand = materialize(at_hand.withColumnRenamed("doc_id", "_id"), "at-hand")
+    at_hand = grouped.withColumnRenamed("first", "_id")
     wanted = perhaps_in(base, "doc_id", at_hand, "_id").where("_kl_perhaps")
-    texts = at_hand.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "copies", "root", "members", "_text")
-    sets = texts.mapInArrow(set_builder(n), "node binary, copies bigint, root binary, members bigint, shingles binary")
+    texts = at_hand.hint("merge").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "copies", "root", "members", "_text")
+    sets = map_arrow(texts, set_builder(n), "node binary, copies bigint, root binary, members bigint, shingles binary")
     pairs = blocked(sets, "root", "members", BLOCK).select("bucket", "side", "node", "copies", "shingles")
     verified = materialize(pairs.groupBy("bucket").applyInArrow(verifier(threshold), "a binary, b binary, links bigint"), "links")
 
@@ -339,13 +367,13 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = classes.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_id"))
     known = classes.join(least, "root").join(links, "node").select("node", "class_id", "links")
     # Every node has one row here; a node's documents are counted with it, so that the join by node is not skewed by copies of which there are few kinds: hot nodes are broadcast.
-    summary = materialize(nodes.select("node", "first", "copies").join(known, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "summary")
+    summary = materialize(nodes.select("node", "first", "copies").hint("merge").join(known, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "summary")
     limit = max(1000, signed.count() // 1000)
     hot = F.broadcast(summary.where(F.col("copies") > limit).drop("copies"))
     cold = summary.where(F.col("copies") <= limit).drop("copies")
     ids = full.select("doc_id", "node")
     columns = ("doc_id", "class_id", "n_links")
-    out = ids.join(hot, "node").select(*columns).unionByName(ids.join(F.broadcast(hot.select("node")), "node", "left_anti").join(cold, "node").select(*columns))
+    out = ids.join(hot, "node").select(*columns).unionByName(ids.join(F.broadcast(hot.select("node")), "node", "left_anti").hint("merge").join(cold, "node").select(*columns))
     return out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,13 @@ _SPACE = re.compile(r"[ \t\n\x0b\f\r]")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what `spark.checkpoint.dir` names.  Only where that is unset (tests,
-    a single machine) a temporary folder takes its place.
+    It is what `spark.checkpoint.dir` names.  Only where that is unset on a single
+    machine (tests) a temporary folder takes its place.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="keelson-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -46,6 +50,27 @@ def discard(*tables: DataFrame) -> None:
                 folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; a worker lives on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow, after which a task's worker gives its memory back."""
+
+    def tidy(rows):
+        try:
+            yield from run(rows)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
 #: Bits of a bitmap of ids: as words of 64 bits, 4 MB at most, whatever the number of ids.
 BITMAP = 1 << 24
 
@@ -83,13 +108,15 @@ def without(rows: DataFrame, key: Column, gone: DataFrame, repeated: DataFrame |
         maybe = marked.where("_kl_perhaps").drop("_kl_perhaps")
         return marked.where("not _kl_perhaps").drop("_kl_perhaps").unionByName(maybe.join(keys, own, "left_anti")), maybe.join(keys, own, "left_semi")
 
-    left = split(rows.withColumn("_kl_key", key), materialize(gone.toDF("_kl_of").distinct(), "gone"))[0]
+    # The row's own columns are out of the way in a struct, whatever their names.
+    packed = rows.select(key.alias("_kl_key"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_kl_row"))
+    left = split(packed, materialize(gone.toDF("_kl_of").distinct(), "gone"))[0]
     if repeated is not None:
         repeated = materialize(repeated.toDF("_kl_of").distinct(), "repeated")
         if not repeated.isEmpty():
             once, again = split(left, repeated)
             left = once.unionByName(again.dropDuplicates(["_kl_key"]))
-    return left.select(*(F.col(f"`{c}`") for c in rows.columns))
+    return left.select("_kl_row.*")
 
 
 def crc_mod(column: Column, n: int) -> Column:

@@ -34,17 +34,19 @@ def union_find(rows):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], names=["node", "root"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of the edges (a, b; binary); root is the least node of its component.
 
     Large stars and small stars alternate until nothing changes.  Each half round
     is one shuffle of the edges, and its result goes to the shared folder.  A
     table of at most `one_task` edges, as counted, takes one task instead, with
-    the same result.
+    the same result.  A graph that does not settle in `rounds` is an error.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     if now.count() <= one_task:
         return now.coalesce(1).mapInArrow(union_find, "node binary, root binary")
+    # What a task holds of the graph first shrinks to a star for each of its parts.
+    now = materialize(now.mapInArrow(union_find, "node binary, root binary").where("node <> root").toDF("a", "b").distinct(), "edges")
     sums = None
     for _ in range(rounds):
         # Large star: the greater neighbours of a node go to its least neighbour (or itself).
@@ -61,5 +63,7 @@ def connected_components(edges: DataFrame, rounds: int = 40, one_task: int = ONE
         if sums == state:
             break
         sums = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
