@@ -8,8 +8,10 @@ A text over `chunk` characters is cut there, wherever that is.  The state at a
 cut is the number of characters by which the piece that crosses it reaches into
 the next chunk, which is below the longest piece's length.  Each chunk gives the
 matrix of best scores from entry state to exit state.  Matrices combine under
-(max, +), which is associative: a scan over them fixes the state at every cut,
-and each chunk is then backtraced on its own.
+(max, +), which is associative: those of `SEGMENT` chunks make one product, as a
+balanced tree, in a task each; a scan over the products fixes the states between
+segments, and a scan in each segment those between its chunks.  Each chunk is
+then backtraced on its own.
 
 Decoding joins the bytes of the ids and drops the space in front; decoding an
 encoded text gives the text.
@@ -25,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .unigram import BulkSegmenter, Vocabulary, char_bytes, load_vocabulary, segment
 
 CHUNK = 1 << 16
 #: Characters that one numpy pass takes, and distinct pre-tokens that a task remembers.
-GROUP, REMEMBER = 1 << 21, 400_000
+GROUP, REMEMBER = 1 << 19, 120_000
 NEVER = -(1 << 60)
+#: Chunks whose matrices one task combines.
+SEGMENT = 64
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 OUT_DDL = "doc_id bigint, n_chars bigint, n_tokens bigint, score bigint, ids array<int>, round_trip boolean"
 
@@ -120,13 +124,15 @@ def usual_encoder(voc: Vocabulary):
 
         for batch in rows:
             doc_ids, texts, size = [], [], 0
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                doc_ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size > GROUP:
-                    yield out(doc_ids, texts)
-                    doc_ids, texts, size = [], [], 0
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                for i, t in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist(), strict=True):
+                    doc_ids.append(i)
+                    texts.append(t)
+                    size += len(t)
+                    if size > GROUP:
+                        yield out(doc_ids, texts)
+                        doc_ids, texts, size = [], [], 0
             if texts:
                 yield out(doc_ids, texts)
 
@@ -215,17 +221,22 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(1), NEVER)
 
 
-def scan(matrices: list[np.ndarray]) -> tuple[int, list[int]]:
-    """Best score from state 0 to state 0, and the state at each cut."""
-    prefix, before = matrices[0][:1], [None]
-    rows = [prefix[0]]
-    for m in matrices[1:]:
-        before.append(rows[-1])
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The (max, +) product of matrices in a row, as a balanced tree."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def scan(matrices: list[np.ndarray], entry: int = 0, leave: int = 0) -> tuple[int, list[int]]:
+    """Best score from the state `entry` to `leave`, and the state at each cut."""
+    rows = [np.where(np.arange(len(matrices[0])) == entry, 0, NEVER)]
+    for m in matrices:
         rows.append(combine(rows[-1][None], m)[0])
-    states = [0]
-    for m, row in zip(matrices[:0:-1], before[:0:-1], strict=True):
+    states = [leave]
+    for m, row in zip(matrices[::-1], rows[-2::-1], strict=True):
         states.append(int(np.argmax(row + m[:, states[-1]])))
-    return int(rows[-1][0]), [0, *states[::-1]]
+    return int(rows[-1][leave]), states[::-1]
 
 
 def chunk_texts(chunk: int, longest: int):
@@ -251,12 +262,38 @@ def transfers(voc: Vocabulary):
     return run
 
 
+def matrices_of(rows: pa.Table, states: int) -> list[np.ndarray]:
+    return [np.frombuffer(m, np.int64).reshape(states, states) for m in rows.column("m").to_pylist()]
+
+
+def reducer(states: int):
+    """Function over a segment of a text: the product of its matrices."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k")
+        return pa.table({"row": rows.column("row")[:1], "seg": rows.column("seg")[:1], "m": pa.array([product(matrices_of(rows, states)).tobytes()], pa.binary())})
+
+    return run
+
+
 def scanner(states: int):
+    """Function over a text: entry and exit state of each segment, and the text's score."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seg")
+        score, cuts = scan(matrices_of(rows, states))
+        return pa.table({"row": rows.column("row"), "seg": rows.column("seg"), "entry": pa.array(cuts[:-1], pa.int32()), "leave": pa.array(cuts[1:], pa.int32()), "score": pa.array([score] * len(rows), pa.int64())})
+
+    return run
+
+
+def filler(states: int):
+    """Function over a segment whose entry and exit state are known: those of its chunks."""
+
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("k")
-        score, cuts = scan([np.frombuffer(m, np.int64).reshape(states, states) for m in rows.column("m").to_pylist()])
-        n = len(rows)
-        return pa.table({"row": rows.column("row"), "k": rows.column("k"), "entry": pa.array(cuts[:-1], pa.int32()), "leave": pa.array(cuts[1:], pa.int32()), "score": pa.array([score] * n, pa.int64())})
+        _, cuts = scan(matrices_of(rows, states), rows.column("entry")[0].as_py(), rows.column("leave")[0].as_py())
+        return pa.table({"row": rows.column("row"), "k": rows.column("k"), "entry": pa.array(cuts[:-1], pa.int32()), "leave": pa.array(cuts[1:], pa.int32()), "score": rows.column("score")})
 
     return run
 
@@ -289,18 +326,21 @@ def encode(docs: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc_id"
     """Per row of `docs`: doc_id, n_chars, n_tokens, score, ids, and round_trip (whether decoding gives the text)."""
     voc = load_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    usual = base.where(F.length("_text") <= chunk).mapInArrow(usual_encoder(voc), OUT_DDL)
+    usual = map_arrow(base.where(F.length("_text") <= chunk), usual_encoder(voc), OUT_DDL)
     # Written once: the numbers given to rows must stay what they are.
     giant = materialize(base.where(F.length("_text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giant")
     if giant.isEmpty():
         return usual
-    parts = giant.mapInArrow(chunk_texts(chunk, voc.longest), "row bigint, k int, length int, part string")
+    parts = map_arrow(giant, chunk_texts(chunk, voc.longest), "row bigint, k int, length int, part string")
     parts = materialize(parts.repartition("row", "k"), "chunks")
-    matrices = parts.mapInArrow(transfers(voc), "row bigint, k int, m binary")
-    cuts = matrices.groupBy("row").applyInArrow(scanner(voc.longest), "row bigint, k int, entry int, leave int, score bigint")
-    traced = parts.join(cuts, ["row", "k"]).select("row", "k", "length", "part", "entry", "leave", "score").mapInArrow(backtraces(voc), "row bigint, k int, score bigint, ids array<int>")
+    states = voc.longest
+    # Up: products of segments; across: states at the segments' ends; down: states at each cut.
+    matrices = materialize(map_arrow(parts, transfers(voc), "row bigint, k int, m binary").withColumn("seg", F.expr(f"k div {SEGMENT}")), "transfers")
+    ends = matrices.groupBy("row", "seg").applyInArrow(reducer(states), "row bigint, seg bigint, m binary").groupBy("row").applyInArrow(scanner(states), "row bigint, seg bigint, entry int, leave int, score bigint")
+    cuts = matrices.join(ends, ["row", "seg"]).groupBy("row", "seg").applyInArrow(filler(states), "row bigint, k int, entry int, leave int, score bigint")
+    traced = map_arrow(parts.join(cuts, ["row", "k"]).select("row", "k", "length", "part", "entry", "leave", "score"), backtraces(voc), "row bigint, k int, score bigint, ids array<int>")
     lists = traced.groupBy("row").agg(F.first("score").alias("score"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return usual.unionByName(giant.join(lists, "row").select("doc_id", "_text", "score", "ids").mapInArrow(joiner(voc), OUT_DDL))
+    return usual.unionByName(map_arrow(giant.join(lists, "row").select("doc_id", "_text", "score", "ids"), joiner(voc), OUT_DDL))
 
 
 def decode(encoded: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
