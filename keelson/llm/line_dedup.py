@@ -6,6 +6,7 @@ similarity `threshold` or more with it, whether that line stays or not.  Lines
 without words always stay.
 
 1. Lines with equal sets are found by a 128-bit digest; all but the first go.
+   What follows compares distinct sets, each by its first line.
 2. Words are ordered by rarity: by their counts in a table of `SLOTS` counters,
    which is of fixed size, and then by hash.  Any order common to all lines gives
    exact results; this one makes for short lists.
@@ -15,75 +16,153 @@ without words always stay.
    occur once are left out.  In the list of a word, pairs pass the length filter
    (the list is ordered by length), the positional filter (what can still be
    shared, given the word's places in both), and a bound on the words that differ
-   from 64-bit signatures.
-4. Of the pairs that pass, each list keeps a spanning forest.  Connected components
-   gather the lines that may be similar; their words are fetched, and all pairs of
-   a component are verified exactly, in pairs of blocks where it is large.
+   from signatures: a word flips one of 128 bits, so that at least as many words
+   differ as bits do.  The list of a word that may be over `BIG` long is dealt out
+   in pairs of blocks.
+4. Of a line's earlier partners in a list that pass, the two with the nearest
+   signatures and the earliest go on, so that a group of many near copies gives a
+   few pairs a line.  Their words are fetched, and Jaccard similarity is verified.
+   A line that has more partners, and none verified, gets all of them in a second
+   pass: nothing is lost.
 
 Defined cases: null and empty texts have one line without words; ids are whole
 numbers, and a null id comes last; rows that repeat an id with another text follow
-each other by the text's hash; rows that repeat id and text are one document and
-get one result; an empty table gives no rows.
+each other by the text's hash; rows that repeat id and text are one document, whose
+result each of them gets; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chosen_path import BLOCK, Shingler, blocked, link_matrix
-from .common import materialize, perhaps_in
-from .components import connected_components
+from .chosen_path import mix
+from .common import BITMAP, map_arrow, materialize, perhaps_in
 
 THRESHOLD = 0.8
 SLOTS, CHUNKS = 1 << 22, 64
 PER_BUCKET = 8 << 20
+#: Characters in one numpy pass, and entries in a word's list that one task compares with each other.
+GROUP, BIG = 1 << 21, 1 << 15
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
+_PRIME = _U(0x9E3779B97F4A7C15)
 #: Columns of an entry: word, set, id, hash of a repeated id's text, line, size, place of the word, signature.
-ENTRY = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint32, np.uint32, np.uint64)
-
-
-def line_sets(text: str, hasher: Shingler):
-    """(line number, sorted distinct word hashes) of the lines with words, and the number of lines."""
-    lines = text.lower().split("\n")
-    words = [line.split() for line in lines]
-    flat = hasher.word_hashes([w for ws in words for w in ws])
-    at, out = 0, []
-    for i, ws in enumerate(words):
-        if ws:
-            out.append((i, np.unique(flat[at : at + len(ws)])))
-            at += len(ws)
-    return out, len(lines)
+ENTRY = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint32, np.uint32, np.uint64, np.uint64)
+
+
+class Numbers(dict):
+    """Numbers of words in the order in which they are met, and their hashes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.hashes.append(int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+        return n
+
+
+class Lines:
+    """The distinct words of lines, for many lines at once; with `level` from the rarest, else in any order."""
+
+    REMEMBER = 400_000
+
+    def __init__(self, level: np.ndarray | None = None):
+        self.level, self.numbers = level, Numbers()
+        self.hash = self.order = self.rank = np.zeros(0, _U)
+
+    def grow(self):
+        if len(self.hash) < len(self.numbers):
+            self.hash = np.concatenate([self.hash, np.array(self.numbers.hashes[len(self.hash) :], _U)])
+            if self.level is not None:
+                # The order's first byte is the rarity.
+                self.order = (self.level[(self.hash % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(56)) | (self.hash >> _U(8))
+                self.by_rank = np.argsort(self.order, kind="stable")
+                self.rank = np.empty(len(self.hash), np.int64)
+                self.rank[self.by_rank] = np.arange(len(self.hash))
+
+    def __call__(self, pieces: list[tuple[int, int, str]]):
+        """Of pieces (document, number of the first line, text): document, line, start and size of the lines with words, and all their words' numbers."""
+        if len(self.numbers) > self.REMEMBER:
+            self.__init__(self.level)
+        total, words = [], []
+        for _, _, text in pieces:
+            lines = [line.split() for line in text.lower().split("\n")]
+            total.append(len(lines))
+            words += lines
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
+        self.grow()
+        key = np.sort((np.repeat(np.arange(len(count)), count) << 32) | (ids if self.level is None else self.rank[ids]))
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+        ids = key & 0xFFFFFFFF
+        line, start, size = np.unique(key >> 32, return_index=True, return_counts=True)
+        piece = np.repeat(np.arange(len(pieces)), total)[line]
+        first = np.array([p[1] for p in pieces], np.int64) - (np.cumsum(total) - total)
+        return np.array([p[0] for p in pieces], np.int64)[piece], first[piece] + line, start, size, ids if self.level is None else self.by_rank[ids]
+
+
+def groups_of(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """(document, number of the first line, piece) in lists of about GROUP characters; no line is cut."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        at = line = 0
+        while True:
+            end = text.find("\n", at + GROUP) if len(text) - at > GROUP else -1
+            piece = text[at:] if end < 0 else text[at:end]
+            group.append((i, line, piece))
+            size += len(piece)
+            if size >= GROUP:
+                yield group
+                group, size = [], 0
+            if end < 0:
+                break
+            at, line = end + 1, line + piece.count("\n") + 1
+    if group:
+        yield group
+
+
+def digests(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, whatever the order of its words."""
+    return tuple(np.add.reduceat(mix(hashes ^ _U(seed)), start) if len(start) else np.zeros(0, _U) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+
+
+LINES = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("chunk", pa.int32()), ("blob", pa.binary())])
+LINES_DDL = "id bigint, th bigint, line int, n int, d1 bigint, d2 bigint, chunk int, blob binary"
 
 
 def liner(rows):
-    """Arrow function: a row for each line with words (its digest), and one for each document (line -1; n: number of lines)."""
-    hasher = Shingler()
+    """Arrow function: a row for each line with words (its digest), for each document (line -1; n: number of lines), and for the counters of a task's words (line -2)."""
+    split, total = Lines(), np.zeros(SLOTS, np.uint32)
     for batch in rows:
-        out = []
-        for i, th, text in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "_text")), strict=True):
-            sets, n = line_sets(text, hasher)
-            out.append((i, th, -1, n, None))
-            out += [(i, th, k, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for k, s in sets]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=["id", "th", "line", "n", "digest"])
-
-
-def word_counter(rows):
-    """Arrow function: (chunk, counters) of the words of a task's lines, as zstd."""
-    hasher, total = Shingler(), np.zeros(SLOTS, np.uint32)
-    for batch in rows:
-        for text in batch.column("_text").to_pylist():
-            if sets := line_sets(text, hasher)[0]:
-                np.add.at(total, (np.concatenate([s for _, s in sets]) % _U(SLOTS)).astype(np.int64), 1)
+        ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
+        texts = batch.column("_text").to_pylist()
+        blank = lambda n, kind: pa.nulls(n, kind)
+        n = len(texts)
+        counts = pa.array([t.count("\n") + 1 for t in texts], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(np.full(n, -1, np.int32)), counts, blank(n, pa.int64()), blank(n, pa.int64()), blank(n, pa.int32()), blank(n, pa.binary())], schema=LINES)
+        for group in groups_of(texts):
+            doc, line, start, size, words = split(group)
+            if len(doc):
+                h = split.hash[words]
+                total += np.bincount((h % _U(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32) if len(h) > SLOTS // 8 else 0
+                if len(h) <= SLOTS // 8:
+                    np.add.at(total, (h % _U(SLOTS)).astype(np.int64), 1)
+                d1, d2 = digests(h, start)
+                m = len(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), blank(m, pa.int32()), blank(m, pa.binary())], schema=LINES)
     size = SLOTS // CHUNKS
-    yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([pa.compress(total[i * size : (i + 1) * size].tobytes(), codec="zstd", asbytes=True) for i in range(CHUNKS)], pa.binary())], names=["chunk", "blob"])
+    blobs = [pa.compress(total[i * size : (i + 1) * size].tobytes(), codec="zstd", asbytes=True) for i in range(CHUNKS)]
+    yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array([-2] * CHUNKS, pa.int32()), *(pa.nulls(CHUNKS, k) for k in (pa.int32(), pa.int64(), pa.int64())), pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], schema=LINES)
 
 
 def chunk_sum(rows: pa.Table) -> pa.Table:
@@ -96,13 +175,8 @@ def chunk_sum(rows: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "blob": pa.array([level.tobytes()], pa.binary())})
 
 
-def by_rarity(words: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Words with their rarity in the top byte, from the rarest."""
-    return np.sort((level[(words % _U(SLOTS)).astype(np.int64)].astype(np.uint64) << _U(56)) | (words >> _U(8)))
-
-
-def prefix_size(n: int, threshold: float) -> int:
-    return n - math.ceil(threshold * n - 1e-9) + 1
+def prefix_size(n, threshold: float):
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
 def pack(columns) -> bytes:
@@ -117,128 +191,221 @@ def unpack(blob: bytes, n: int, kinds=ENTRY):
     return out
 
 
-def poster(levels: bytes, buckets: int, threshold: float):
-    """Arrow function: entries by bucket of the word."""
+def levels_of(blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=SLOTS, codec="zstd", asbytes=True), np.uint8)
+
+
+def prefixes(split: Lines, start, size, words, mark, threshold: float):
+    """(line, word, place) of the prefix words of the lines in lists; a word whose list may be long stands for a pair of blocks."""
+    line = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(words)) - np.repeat(start, size)
+    least = math.ceil(threshold / (1 - threshold) - 1e-9)  # below this size a line can't be similar to one that differs
+    word = split.order[words]
+    keep = (place < np.repeat(prefix_size(size, threshold), size)) & (word >> _U(56) != 1) & np.repeat(size >= least, size)
+    line, place, word = line[keep], place[keep], word[keep]
+    blocks = np.maximum(1, np.ceil(2 ** (((word >> _U(56)).astype(np.float64) - 1) / 8) / BIG)).astype(np.int64)
+    if len(blocks) and blocks.max() > 1:
+        of = np.repeat(np.arange(len(blocks)), blocks)
+        other = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        line, place, word, k = line[of], place[of], word[of], blocks[of]
+        own = (mark[line] % k.astype(_U)).astype(np.int64)
+        pair = np.minimum(own, other) * k + np.maximum(own, other) + 1
+        word = np.where(k > 1, mix(word ^ (pair.astype(_U) * _PRIME)), word)
+    return line, word, place
 
-    def run(rows):
-        level, hasher = np.frombuffer(pa.decompress(levels, decompressed_size=SLOTS, codec="zstd", asbytes=True), np.uint8), Shingler()
-        # A line can't be similar to one that differs, below this size.
-        least = math.ceil(threshold / (1 - threshold) - 1e-9)
-        seen, found = set(), []
-
-        def flush():
-            columns = [np.concatenate(c).astype(k) for c, k in zip(zip(*found, strict=True), ENTRY, strict=True)]
-            part = (columns[0] % _U(buckets)).astype(np.int64)
-            order = np.lexsort((columns[4], columns[2], part))
-            columns, part = [c[order] for c in columns], part[order]
-            cut = np.searchsorted(part, np.arange(buckets + 1))
-            out = [(b, int(e - s), pack(c[s:e] for c in columns)) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
 
+def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted: bytes | None = None):
+    """Arrow function: entries by bucket of the word; with `wanted` (a bitmap) only of words in it."""
+
+    def run(rows):
+        split = Lines(levels_of(levels))
+        bits = None if wanted is None else np.frombuffer(pa.decompress(wanted, decompressed_size=BITMAP // 8, codec="zstd", asbytes=True), np.uint8)
         for batch in rows:
-            got = sorted(zip(*(batch.column(c).to_pylist() for c in ("id", "th", "_text")), strict=True))
-            n = 0
-            for i, th, text in got:
-                for k, words in line_sets(text, hasher)[0]:
-                    size = len(words)
-                    if size < least:
-                        continue
-                    mark = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little")
-                    # Of equal sets in a batch, the first is enough: it is the earliest there.
-                    if mark in seen:
-                        continue
-                    seen.add(mark)
-                    ordered = by_rarity(words, level)
-                    sign = np.bitwise_or.reduce(_U(1) << ((ordered >> _U(17)) & _U(63)))
-                    place = np.arange(prefix_size(size, threshold))
-                    prefix = ordered[place]
-                    place = place[prefix >> _U(56) != 1]
-                    m = len(place)
-                    if m:
-                        found.append((prefix[place], np.full(m, mark, np.uint64), np.full(m, i), np.full(m, th), np.full(m, k), np.full(m, size), place, np.full(m, sign)))
-                        n += m
-            if found:
-                yield flush()
-            seen.clear()
+            ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
+            order = np.lexsort((ths, ids))
+            texts = batch.column("_text").take(pa.array(order)).to_pylist()
+            ids, ths = ids[order], ths[order]
+            for group in groups_of(texts):
+                doc, number, start, size, words = split(group)
+                if not len(doc):
+                    continue
+                h = split.hash[words]
+                mark = digests(h, start)[0]
+                bit = h & _U(signature)
+                one = _U(1) << (bit & _U(63))
+                low, high = (np.bitwise_xor.reduceat(np.where((bit >> _U(6)) == k, one, _U(0)), start) for k in (0, 1))
+                line, word, place = prefixes(split, start, size, words, mark, threshold)
+                # Of equal sets in a group the first is enough: it is the earliest there.
+                first = np.zeros(len(mark), bool)
+                first[np.unique(mark, return_index=True)[1]] = True
+                keep = first[line]
+                if bits is not None:
+                    at = (word % _U(BITMAP)).astype(np.int64)
+                    keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                line, word, place = line[keep], word[keep], place[keep]
+                part = (word % _U(buckets)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                line, word, place, part = line[order], word[order], place[order], part[order]
+                columns = [c.astype(k) for c, k in zip((word, mark[line], ids[doc[line]], ths[doc[line]], number[line], size[line], place, low[line], high[line]), ENTRY, strict=True)]
+                cut = np.searchsorted(part, np.arange(buckets + 1))
+                out = [(b, int(cut[b + 1] - cut[b]), pack(c[cut[b] : cut[b + 1]] for c in columns)) for b in np.unique(part).tolist()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
 
     return run
 
 
-def node_of(i: int, th: int, line: int) -> bytes:
-    """Bytes whose order is the corpus order."""
-    return (int(i) + (1 << 63)).to_bytes(8, "big") + (int(th) + (1 << 63)).to_bytes(8, "big") + int(line).to_bytes(4, "big")
+def node_bytes(ids: np.ndarray, ths: np.ndarray, line: np.ndarray) -> pa.Array:
+    """20 bytes each, whose order is the corpus order."""
+    out = np.empty((len(ids), 20), np.uint8)
+    for at, c in ((0, ids), (8, ths)):
+        out[:, at : at + 8] = (c.astype(np.int64).view(_U) ^ _U(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 16:] = line.astype(">u4").view(np.uint8).reshape(-1, 4)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(20), len(ids), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
-EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+PAIRS = pa.schema([("later", pa.binary()), ("earlier", pa.binary()), ("more", pa.bool_())])
+PAIRS_DDL = "later binary, earlier binary, more boolean"
 
 
-def joiner(threshold: float):
-    """Function over one bucket: a spanning forest, for each word's list, of the pairs that pass the filters."""
+class Bucket:
+    """The lists of one bucket's words."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def __init__(self, rows: pa.Table):
         parts = [unpack(b, n) for b, n in zip(rows.column("blob").to_pylist(), rows.column("n").to_pylist(), strict=True)]
-        word, mark, ids, ths, line, n, place, sign = (np.concatenate(c) for c in zip(*parts, strict=True))
+        word, mark, ids, ths, line, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((line, ths, ids, mark, word))
-        new = np.ones(len(order), bool)
-        new[1:] = (word[order][1:] != word[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+        new = np.append(True, (word[order][1:] != word[order][:-1]) | (mark[order][1:] != mark[order][:-1]))[: len(order)]
         order = order[new]  # the first line of each set
+        n = rest[0]
         order = order[np.lexsort((mark[order], n[order], word[order]))]
-        word, ids, ths, line, n, place, sign = (c[order] for c in (word, ids, ths, line, n, place, sign))
-        n, place = n.astype(np.int64), place.astype(np.int64)
-        root, out = np.arange(len(word)), []
-        active, d = np.arange(len(word) - 1) if len(word) else np.zeros(0, np.int64), 1
+        self.word, self.mark, self.ids, self.ths, self.line, n, place, self.low, self.high = (c[order] for c in (word, mark, ids, ths, line, *rest))
+        self.n, self.place = n.astype(np.int64), place.astype(np.int64)
+        self.when = np.empty(len(order), np.int64)
+        self.when[np.lexsort((self.line, self.ths, self.ids))] = np.arange(len(order))
+
+    def pairs(self, threshold: float):
+        """Yield (later, earlier, differing bits) of pairs that pass the filters; a line is at most twice the later one in a step."""
+        word, n, place = self.word, self.n, self.place
+        active, d = np.arange(max(len(word) - 1, 0)), 1
         while len(active):
             active = active[active + d < len(word)]
             y = active + d
             # Lists are ordered by size: a pair too far apart in size is the end of a row.
-            ok = (word[y] == word[active]) & (n[active] >= threshold * n[y] - 1e-9)
-            active = active[ok]
+            active = active[(word[y] == word[active]) & (n[active] >= threshold * n[y] - 1e-9)]
             x, y = active, active + d
             both = n[x] + n[y]
             need = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-            can = 1 + np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
-            near = (can >= need) & (np.bitwise_count(sign[x] ^ sign[y]) <= both - 2 * need) & (root[x] != root[y])
-            merged = False
-            for a, b in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                ra, rb = a, b
-                while root[ra] != ra:
-                    ra = root[ra]
-                while root[rb] != rb:
-                    rb = root[rb]
-                if ra != rb:
-                    root[max(ra, rb)] = min(ra, rb)
-                    out.append((node_of(ids[a], ths[a], line[a]), node_of(ids[b], ths[b], line[b])))
-                    merged = True
-            while merged:
-                up = root[root]
-                merged = bool((up != root).any())
-                root = up
+            can = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
+            bits = (np.bitwise_count(self.low[x] ^ self.low[y]) + np.bitwise_count(self.high[x] ^ self.high[y])).astype(np.int64)
+            near = (can >= need) & (bits <= both - 2 * need) & (self.mark[x] != self.mark[y])
+            x, y, bits = x[near], y[near], bits[near]
+            forward = self.when[x] < self.when[y]
+            for later, earlier, ok in ((y, x, forward), (x, y, ~forward)):
+                if ok.any():
+                    yield later[ok], earlier[ok], bits[ok]
             d += 1
-        return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=EDGES) if out else EDGES.empty_table()
+
+    def table(self, later: np.ndarray, earlier: np.ndarray, more: np.ndarray) -> pa.Table:
+        nodes = [node_bytes(self.ids[k], self.ths[k], self.line[k]) for k in (later, earlier)]
+        return pa.Table.from_arrays([*nodes, pa.array(more, pa.bool_())], schema=PAIRS)
+
+
+def chooser(threshold: float):
+    """Function over one bucket: of each line's earlier partners in a word's list the two nearest and the earliest; `more` if there are others."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        b = Bucket(rows)
+        m = len(b.word)
+        far = 1 << 40
+        near, second, first = (np.full(m, far) for _ in range(3))
+        who = np.full((3, m), -1)
+        count = np.zeros(m, np.int64)
+        for later, earlier, bits in b.pairs(threshold):
+            count[later] += 1
+            closer = bits < near[later]
+            k = later[closer]
+            second[k], who[1, k], near[k], who[0, k] = near[k], who[0, k], bits[closer], earlier[closer]
+            next_ = ~closer & (bits < second[later])
+            k = later[next_]
+            second[k], who[1, k] = bits[next_], earlier[next_]
+            before = b.when[earlier] < first[later]
+            k = later[before]
+            first[k], who[2, k] = b.when[earlier[before]], earlier[before]
+        who[2] = np.where((who[2] == who[0]) | (who[2] == who[1]), -1, who[2])
+        more = count > (who >= 0).sum(0)
+        which, later = np.nonzero(who >= 0)
+        return b.table(later, who[which, later], more[later])
+
+    return run
+
+
+def completer(threshold: float):
+    """Function over one bucket and the sets in it that need all their partners: all pairs of these."""
+
+    def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
+        if not len(rows) or not len(sets):
+            return PAIRS.empty_table()
+        b = Bucket(rows)
+        chosen = np.isin(b.mark, sets.column("mark").to_numpy().view(_U))
+        out = [(later[c], earlier[c]) for later, earlier, _ in b.pairs(threshold) if (c := chosen[later]).any()]
+        if not out:
+            return PAIRS.empty_table()
+        later, earlier = (np.concatenate(x) for x in zip(*out, strict=True))
+        return b.table(later, earlier, np.zeros(len(later), bool))
+
+    return run
+
+
+def places_of(levels: bytes, buckets: int, threshold: float):
+    """Arrow function: bucket, mark and word of the list entries of given sets."""
+
+    def run(rows):
+        split = Lines(levels_of(levels))
+        for batch in rows:
+            hashes = [np.frombuffer(w, _U) for w in batch.column("words").to_pylist()]
+            out = []
+            for h in hashes:
+                order = np.sort((split.level[(h % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(56)) | (h >> _U(8)))
+                split.order = order
+                mark = digests(h, np.zeros(1, np.int64))[0]
+                _, word, _ = prefixes(split, np.zeros(1, np.int64), np.array([len(h)]), np.arange(len(h)), mark, threshold)
+                out.append((word, np.full(len(word), mark[0], _U)))
+            word, mark = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, _U), np.zeros(0, _U))
+            yield pa.RecordBatch.from_arrays([pa.array((word % _U(buckets)).astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(word.view(np.int64))], names=["part", "mark", "word"])
 
     return run
 
 
 def fetcher(rows):
     """Arrow function: the word sets of wanted lines."""
-    hasher = Shingler()
+    split = Lines()
     for batch in rows:
-        out = []
-        for i, th, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "_text", "wanted")), strict=True):
-            sets = dict(line_sets(text, hasher)[0])
-            out += [(node_of(i, th, w["line"]), w["root"], w["members"], sets[w["line"]].tobytes()) for w in wanted]
-        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=["node", "root", "members", "words"])
+        ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
+        wanted = batch.column("wanted").to_pylist()
+        for group in groups_of(batch.column("_text").to_pylist()):
+            doc, line, start, size, words = split(group)
+            asked = np.array([(i << 32) | k for i in dict.fromkeys(p[0] for p in group) for k in wanted[i]], np.int64)
+            got = np.flatnonzero(np.isin((doc << 32) | line, asked))
+            h = split.hash[words]
+            sets = [h[s : s + n].tobytes() for s, n in zip(start[got].tolist(), size[got].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([node_bytes(ids[doc[got]], ths[doc[got]], line[got]), pa.array(sets, pa.binary())], names=["node", "words"])
 
 
 def verifier(threshold: float):
-    """Function over one pair of blocks: the lines that have an earlier similar line there."""
+    """Arrow function over pairs with both sets: the later lines that are similar to the earlier one."""
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted({r[0]: r for r in zip(*(group.column(c).to_pylist() for c in ("node", "side", "words")), strict=True)}.values())
-        link = link_matrix([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), threshold)
-        return pa.table({"node": pa.array([r[0] for r, x in zip(rows, np.tril(link, -1).any(1), strict=True) if x], pa.binary())})
+    def run(rows):
+        for batch in rows:
+            if not len(batch):
+                continue
+            a, b = ([np.frombuffer(w, _U) for w in batch.column(c).to_pylist()] for c in ("wa", "wb"))
+            na, nb = (np.array([len(x) for x in side]) for side in (a, b))
+            flat = np.unique(np.concatenate([*a, *b]), return_inverse=True)[1].astype(np.int64)
+            key = np.sort((np.concatenate([np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)]) << 32) | flat)
+            both = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=len(a))
+            ok = both * (1 + threshold) >= threshold * (na + nb) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("later").filter(pa.array(ok))], names=["later"])
 
     return run
 
@@ -253,48 +420,68 @@ def remover(rows):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_lines"), batch.column("n_removed"), batch.column("removed"), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_removed", "removed", "kept"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, want_text: bool = False) -> DataFrame:
-    """Per distinct (id, text): doc_id, n_lines, n_removed, removed (sorted line numbers from 0); with `want_text` also kept."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, want_text: bool = False, signature: int = 127) -> DataFrame:
+    """Per row of `docs`: doc_id, n_lines, n_removed, removed (sorted line numbers from 0); with `want_text` also kept.  `signature` masks the signatures' bits, for tests."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), text.alias("_text"))
     total, repeated = base.groupBy("id").agg(F.sum(F.octet_length("_text")).alias("b"), F.count("*").alias("n")).agg(F.sum("b"), F.max("n")).first()
     again = (repeated or 0) > 1
     base = base.select("id", (F.xxhash64("_text") if again else F.lit(0).cast("bigint")).alias("th"), "_text")
     buckets = max(32, int(total or 0) // PER_BUCKET)
-    node = F.concat(*(F.unhex(F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")) for c in ("id", "th")), F.unhex(F.lpad(F.hex(F.col("line")), 8, "0")))
 
-    lines = materialize(base.mapInArrow(liner, "id bigint, th bigint, line int, n int, digest binary"), "lines")
-    levels = {r.chunk: bytes(r.blob) for r in base.select("_text").mapInArrow(word_counter, "chunk int, blob binary").groupBy("chunk").applyInArrow(chunk_sum, "chunk int, blob binary").collect()}
+    lines = materialize(map_arrow(base, liner, LINES_DDL), "lines")
+    # One row a chunk: the table of counters is of fixed size.
+    levels = {r.chunk: bytes(r.blob) for r in lines.where("line = -2").select("chunk", "blob").groupBy("chunk").applyInArrow(chunk_sum, "chunk int, blob binary").collect()}
     level = pa.compress(b"".join(levels.get(i, bytes(SLOTS // CHUNKS)) for i in range(CHUNKS)), codec="zstd", asbytes=True)
 
-    entries = base.mapInArrow(poster(level, buckets, threshold), "part int, n int, blob binary")
-    edges = materialize(entries.groupBy("part").applyInArrow(joiner(threshold), "a binary, b binary"), "line-edges")
-    groups = materialize(connected_components(edges), "line-groups")
-    members = groups.groupBy("root").agg(F.count("*").alias("members"))
-    signed = lambda at: F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
-    placed = groups.join(members, "root").select(signed(1).alias("id"), signed(9).alias("th"), F.struct(F.conv(F.hex(F.substring("node", 17, 4)), 16, 10).cast("int").alias("line"), "root", "members").alias("w"))
-    wanted = materialize(placed.groupBy("id", "th").agg(F.collect_list("w").alias("wanted")), "wanted")
-    likely = perhaps_in(base, "id", wanted, "id").where("_kl_perhaps").drop("_kl_perhaps")
-    texts = (likely.dropDuplicates(["id", "th"]) if again else likely).join(wanted, ["id", "th"]).select("id", "th", "_text", "wanted")
-    sets = texts.mapInArrow(fetcher, "node binary, root binary, members bigint, words binary")
-    pairs = blocked(sets, "root", "members", BLOCK).select("bucket", "side", "node", "words")
-    flagged = materialize(pairs.groupBy("bucket").applyInArrow(verifier(threshold), "node binary").distinct(), "similar")
+    def similar(pairs: DataFrame):
+        """The later lines of pairs that are similar, and the word sets that were fetched."""
+        nodes = pairs.select(F.col("later").alias("node")).unionByName(pairs.select(F.col("earlier").alias("node"))).distinct()
+        signed = lambda at: F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+        wanted = nodes.select(signed(1).alias("id"), signed(9).alias("th"), F.conv(F.hex(F.substring("node", 17, 4)), 16, 10).cast("int").alias("line"))
+        wanted = materialize(wanted.groupBy("id", "th").agg(F.collect_list("line").alias("wanted")), "wanted")
+        likely = perhaps_in(base, "id", wanted, "id").where("_kl_perhaps").drop("_kl_perhaps")
+        texts = (likely.dropDuplicates(["id", "th"]) if again else likely).hint("merge").join(wanted, ["id", "th"]).select("id", "th", "_text", "wanted")
+        sets = materialize(map_arrow(texts, fetcher, "node binary, words binary"), "line-words")
+        first = pairs.select("later", "earlier").hint("merge").join(sets.select(F.col("node").alias("earlier"), F.col("words").alias("wa")), "earlier").select("later", "wa")
+        both = first.hint("merge").join(sets.select(F.col("node").alias("later"), F.col("words").alias("wb")), "later").select("later", "wa", "wb")
+        return materialize(map_arrow(both, verifier(threshold), "later binary").distinct(), "similar"), sets
+
+    entries = "part int, n int, blob binary"
+    chosen = map_arrow(base, poster(level, buckets, threshold, signature), entries).groupBy("part").applyInArrow(chooser(threshold), PAIRS_DDL)
+    pairs = materialize(chosen.groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
+    found, sets = similar(pairs)
+    # Lines with further partners, none of the first being similar: all their pairs.
+    open_ = materialize(pairs.where("more").select("later").distinct().hint("merge").join(found, "later", "left_anti"), "open-lines")
+    if not open_.isEmpty():
+        at = materialize(map_arrow(sets.hint("merge").join(open_.withColumnRenamed("later", "node"), "node", "left_semi"), places_of(level, buckets, threshold), "part int, mark bigint, word bigint"), "open-places")
+        bit = F.expr(f"cast(conv(hex(word), 16, 10) as decimal(20,0)) % {BITMAP}").cast("bigint")
+        marked = np.zeros(BITMAP, bool)
+        for r in at.select(F.expr("1L").alias("one"), bit.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(one, cast(bit % 64 as int)))").alias("bits")).toLocalIterator():
+            marked[r.w * 64 : r.w * 64 + 64] = np.unpackbits(np.array([r.bits], np.int64).view(np.uint8), bitorder="little").astype(bool)
+        wanted_words = pa.compress(np.packbits(marked, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+        again_posted = map_arrow(base, poster(level, buckets, threshold, signature, wanted_words), entries)
+        rest = again_posted.groupBy("part").cogroup(at.select("part", "mark").distinct().groupBy("part")).applyInArrow(completer(threshold), PAIRS_DDL)
+        found = found.unionByName(similar(materialize(rest.select("later", "earlier").distinct(), "line-pairs"))[0]).distinct()
 
     # Equal sets: all lines but the first.  Classes over the limit are at most 1000, and are broadcast.
-    own = lines.where("line >= 0").select("id", "th", "line", "digest", node.alias("node"))
+    own = lines.where("line >= 0").select("id", "th", "line", "d1", "d2")
     if again:
         own = own.distinct()
-    classes = materialize(own.groupBy("digest").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1"), "classes")
+    at = F.struct("id", "th", "line")
+    classes = materialize(own.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(at).alias("first")).where("c > 1"), "classes")
     limit = max(1000, lines.count() // 1000)
     big, small = F.broadcast(classes.where(F.col("c") > limit)), classes.where(F.col("c") <= limit)
-    copies = [own.join(part, "digest").where("node <> first").select("id", "th", "line") for part in (big, small)]
-    near = own.join(flagged, "node", "left_semi").select("id", "th", "line")
-    gone = copies[0].unionByName(copies[1]).unionByName(near).distinct()
+    copies = [side.join(part, ["d1", "d2"]).where(at != F.col("first")).select("id", "th", "line") for side, part in ((own, big), (own.join(F.broadcast(classes.where(F.col("c") > limit)), ["d1", "d2"], "left_anti").hint("merge"), small))]
+    signed = lambda at: F.conv(F.hex(F.substring("later", at, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+    near = found.select(signed(1).alias("id"), signed(9).alias("th"), F.conv(F.hex(F.substring("later", 17, 4)), 16, 10).cast("int").alias("line"))
+    # A set's first line is no copy, and only first lines are near: none is here twice.
+    gone = copies[0].unionByName(copies[1]).unionByName(near)
     removed = gone.groupBy("id", "th").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    each = lines.where("line = -1").groupBy("id", "th").agg(F.first("n").cast("bigint").alias("n_lines"))
-    out = each.join(removed, ["id", "th"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    each = lines.where("line = -1").select("id", "th", F.col("n").cast("bigint").alias("n_lines"))
+    out = each.hint("merge").join(removed, ["id", "th"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     out = out.select("id", "th", F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
     if not want_text:
         return out.drop("id", "th")
     whole = out.join(base.dropDuplicates(["id", "th"]), ["id", "th"]).drop("id", "th")
-    return whole.mapInArrow(remover, "doc_id bigint, n_lines bigint, n_removed bigint, removed array<int>, kept string")
+    return map_arrow(whole, remover, "doc_id bigint, n_lines bigint, n_removed bigint, removed array<int>, kept string")

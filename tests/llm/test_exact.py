@@ -152,6 +152,31 @@ def test_components(spark):
     assert connected_components(rows.limit(0)).collect() == []
 
 
+def test_line_dedup_lists_in_blocks(spark, monkeypatch):
+    """Prefix words whose lists are dealt out in pairs of blocks meet all the same."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    lines = [sorted(rng.sample(words, rng.randrange(4, 9))) for _ in range(200)]
+    level = np.full(line_dedup.SLOTS, 1 + 8 * 17, np.uint8)  # as if every word occurred 2**17 times
+    split = line_dedup.Lines(level)
+    doc, number, start, size, ids = split([(0, 0, "\n".join(" ".join(x) for x in lines))])
+    mark = line_dedup.digests(split.hash[ids], start)[0]
+    line, word, _ = line_dedup.prefixes(split, start, size, ids, mark, 0.8)
+    lists = collections.defaultdict(set)
+    for a, w in zip(line.tolist(), word.tolist(), strict=True):
+        lists[w].add(a)
+    met = {(a, b) for x in lists.values() for a in x for b in x}
+    assert len(lists) > 12
+    for a in range(200):
+        for b in range(a):
+            x, y = set(lines[a]), set(lines[b])
+            assert len(x & y) < 0.8 * len(x | y) or (a, b) in met
+
+
 def test_runs_reach_the_target():
     assert chosen_path.runs_needed(0.8) == 7 and chosen_path.runs_needed(0.8, 0.9) < 4
 
@@ -167,9 +192,11 @@ def test_line_dedup(spark, docs, corpus, nothing):
                     gone.append(k)
                 seen.append(s)
         want[i] = (len(lines), len(gone), gone, "\n".join(x for k, x in enumerate(lines) if k not in gone))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed, r.kept) for r in line_dedup.dedup_lines(docs, want_text=True).collect()}
-    assert got == want and sum(w[1] for w in want.values()) > 100
+    assert sum(w[1] for w in want.values()) > 100
+    for signature in (127, 0):  # the second lets pairs pass that differ, so that lines need all their partners
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.removed, r.kept) for r in line_dedup.dedup_lines(docs, want_text=True, signature=signature).collect()}
+        assert got == want
     assert line_dedup.dedup_lines(nothing).collect() == []
     near = [(i, f"a b c d e f g h i {chr(110 + i)}") for i in range(4)] + [(9, "other words here"), (9, "other words here")]
     got = sorted((r.doc_id, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(near, "doc_id bigint, text string")).collect())
-    assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (9, 0)]
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (9, 0), (9, 0)]
