@@ -27,8 +27,9 @@ frequent tokens.  The counts of rarer tokens come by a shuffled join, one row
 for each document and distinct rare token.
 
 Defined cases: a null text is empty and has the end token only; ids are whole
-numbers; rows that repeat id and text give one row; a null id is a document
-that is not learned from, and is not held out; an empty table gives no rows.
+numbers; every row has a result, repeated rows too; a null id is a document that
+is not learned from, and is not held out; an empty table gives no rows, and without
+training rows nothing is known.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, pieces
+from .common import crc_mod, map_arrow, materialize, pieces
 
 HIDDEN, HEAD, PER_CLASS, TAIL = 32, 4096, 64, 64
 KNOWN = 200_000
@@ -369,7 +370,7 @@ def add_slices(group: pa.Table) -> pa.Table:
 def learn_all(model: Model, texts: DataFrame, head: list[bytes], seen: dict[str, np.ndarray]) -> None:
     """One pass over all `texts` from the weights of `model`, which become the tasks' average."""
     schema = "slice int, n bigint, w binary"
-    learned = texts.mapInArrow(trainer(head, head.index(END), {n: getattr(model, n) for n in Model.NAMES}, seen), schema)
+    learned = map_arrow(texts, trainer(head, head.index(END), {n: getattr(model, n) for n in Model.NAMES}, seen), schema)
     rows = sorted(learned.groupBy("slice").applyInArrow(add_slices, schema).collect())
     if rows:
         flat, at = np.concatenate([np.frombuffer(r.w, np.float64) / r.n for r in rows]).astype(np.float32), 0
@@ -397,7 +398,7 @@ def scorer(known: tuple[bytes, bytes], model: bytes, tail_total: bytes, total: i
             ids, ths, texts = (batch.column(c) for c in ("id", "th", "_text"))
             documents, sums, rare_words, rare_n, offsets = [], [], [], [], [0]
             for text in texts.to_pylist():
-                parts, rare, n, seen, b, s = [], Counter(), 1, 1, base[end], local[end]
+                parts, rare, n, seen, b, s = [], Counter(), 1, int(counts[end] > 0), base[end], local[end]
                 for words in words_of(text):
                     got = list(map(number.get, words))
                     n += len(got)
@@ -445,14 +446,14 @@ def most_frequent(counts: DataFrame, bound: int) -> int:
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_tokens: int = TRAIN_TOKENS, known: int = KNOWN) -> DataFrame:
-    """Per distinct (id, text) of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all rows whose crc32 of the id modulo 7 is not 2; `train_tokens` bounds the sample that the first model learns from.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     held = F.coalesce(crc_mod(F.col("id"), HELD_OUT_MOD) == HELD_OUT, F.lit(False))
     training = base.where(F.col("id").isNotNull() & ~held)
-    counts = materialize(training.select("_text").mapInArrow(counter, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    counts = materialize(map_arrow(training.select("_text"), counter, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     least = most_frequent(counts, known)
@@ -470,7 +471,8 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tail_total[tail_class(w)] -= c + 1 if c else 0
 
     share = min(1.0, train_tokens / max(total, 1))
-    drawn = training.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    # By row and without repeated rows, so that no frequent id or text brings more than its share.
+    drawn = training.where(F.pmod(F.xxhash64("id", "_text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["id", "_text"])
     rows = drawn.mapInArrow(encoder(head, LONG), "id bigint, tokens binary").collect()
     rows.sort(key=lambda r: (r.id * 0x9E3779B97F4A7C15 % (1 << 64), bytes(r.tokens)))
     model = Model(np.array([c for c, _ in top[:HEAD]]), tail_total - 1)
@@ -482,7 +484,8 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = (zlib.compress(b"\n".join(w for _, w in top), 1), zlib.compress(np.array([c for c, _ in top], np.int64).tobytes(), 1))
     repeated = base.groupBy("id").count().agg(F.max("count")).first()[0] or 0
     keyed = base.select("id", (F.xxhash64("_text") if repeated > 1 else F.lit(0).cast("bigint")).alias("th"), "_text")
-    scored = keyed.mapInArrow(
+    scored = map_arrow(
+        keyed,
         scorer(packed, model.pack(), tail_total.tobytes(), total, distinct),
         "id bigint, th bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word: binary, n: bigint>>",
     )
@@ -501,6 +504,8 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.sum(F.coalesce("sums.score", F.lit(0.0)) + F.col("n") * F.log10((c + 1) / weight)).alias("score"),
     )
     m = F.col("m")
+    if repeated > 1:  # rows that repeat id and text have a result each
+        out = out.withColumn("_again", F.explode(F.sequence(F.lit(1), m))).drop("_again")
     return out.select(
         F.col("id").alias("doc_id"),
         held.alias("held_out"),
