@@ -13,9 +13,9 @@ pair feature common to all words.
 
 Defined cases: a null text is empty; an empty text has the score of the bias;
 without any usable labels all scores are 0.5; labels with null quality are left
-out; of several labels of one document the largest counts; a text over two
-million characters is read in pieces cut at white space, and the pairs across
-these cuts are left out.
+out; of several labels of one document the largest counts; of rows that repeat an
+id the least text is learned from; a text over two million characters is read in
+pieces cut at white space, with the pairs across these cuts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, crc_mod
+from .common import batches, crc_mod, map_arrow
 
 BUCKETS, DIM, GRAMS = 1 << 17, 16, (3, 4, 5)
 #: Labelled rows that training may use; the first by a hash of the id.
@@ -36,6 +36,8 @@ MAX_TRAIN = 3000
 STEPS = 12_000
 THRESHOLD = 0.3
 HELD_OUT = 5
+#: Distinct words that a task remembers.
+REMEMBER = 400_000
 
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +113,7 @@ def featurizer(id_col: str):
             ids, texts, labels = (batch.column(c) for c in (id_col, "_text", "_label"))
             out = []
             for text in texts.to_pylist():
-                total = np.zeros(BUCKETS, np.int64)
+                total, last = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint64)
                 for group in batches([text or ""]):
                     words, _ = flatten(group)
                     if words:
@@ -119,7 +121,9 @@ def featurizer(id_col: str):
                         k = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
                         h, owner, bucket = subwords(list(number))
                         total += np.bincount(bucket, np.bincount(k)[owner], BUCKETS).astype(np.int64)
-                        total += np.bincount(pair_buckets(h[k[:-1]], h[k[1:]]), minlength=BUCKETS)
+                        h = np.concatenate([last, h[k]])
+                        total += np.bincount(pair_buckets(h[:-1], h[1:]), minlength=BUCKETS)
+                        last = h[-1:]
                 at = np.flatnonzero(total).astype(np.int32)
                 out.append(zlib.compress(np.concatenate([at, total[at].astype(np.int32)]).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([ids, labels, pa.array(out, pa.binary())], names=[id_col, "_label", "features"])
@@ -127,15 +131,15 @@ def featurizer(id_col: str):
     return run
 
 
-def train(rows: list[tuple[int, bytes]], steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Learn vectors and softmax; returns each bucket's weight for label 1, and the bias."""
+def learn(rows: list[tuple[int, bytes]], steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Learn vectors (one a bucket) and softmax (weights and bias of two classes)."""
     rng = np.random.default_rng(seed)
     data = [(y, np.frombuffer(zlib.decompress(x), np.int32)) for y, x in rows]
     data = [(y, x[: len(x) // 2], x[len(x) // 2 :].astype(np.float32)) for y, x in data if len(x)]
-    if len({y for y, *_ in data}) < 2:
-        return np.zeros(BUCKETS, np.float32), 0.0
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
+    if len({y for y, *_ in data}) < 2:
+        return emb, out, bias
     done, epochs = 0, -(-steps // len(data))
     for _ in range(epochs):
         for i in rng.permutation(len(data)):
@@ -153,25 +157,35 @@ def train(rows: list[tuple[int, bytes]], steps: int = STEPS, seed: int = 7) -> t
             out -= rate * np.outer(p, mean)
             bias -= rate * 0.1 * p
             emb[at] = vectors - (rate * share)[:, None] * back
+    return emb, out, bias
+
+
+def train(rows: list[tuple[int, bytes]], steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, float]:
+    """What learn() comes to: each bucket's weight for label 1, and the bias."""
+    emb, out, bias = learn(rows, steps, seed)
     return emb @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
 def scores(texts: list[str | None], table: Words, bias: float) -> np.ndarray:
     """The score of each text."""
     w, total, n = table.weights, np.zeros(len(texts)), np.zeros(len(texts))
+    # The last word of the texts so far: a text that is cut goes on in the next group.
+    last_owner, last_hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     for group in batches(t or "" for t in texts):
         words, owner = flatten(group)
         if not words:
             continue
-        if len(table.number) > 1_000_000:
+        if len(table.number) > REMEMBER:
             table.number.clear()
         k = table.numbers(words)
         total += np.bincount(owner, table.value[k], len(texts))
         n += np.bincount(owner, table.n[k], len(texts))
-        h, same = table.hash[k], owner[1:] == owner[:-1]
+        h, owner = np.concatenate([last_hash, table.hash[k]]), np.concatenate([last_owner, owner])
+        same = owner[1:] == owner[:-1]
         pairs = pair_buckets(h[:-1], h[1:])[same]
         total += np.bincount(owner[1:][same], w[pairs], len(texts))
         n += np.bincount(owner[1:][same], minlength=len(texts))
+        last_owner, last_hash = owner[-1:], h[-1:]
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -50, 50)))
 
 
@@ -204,8 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("doc_id").agg(F.max("_label").alias("_label"))
     sample = known.where(F.col("_label").isin(0, 1) & (crc_mod(F.col("doc_id"), HELD_OUT) != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    # At most max_train rows of two numbers: the bound holds at any size.
-    rows = base.join(F.broadcast(sample), "doc_id").select("doc_id", "_text", "_label").mapInArrow(featurizer("doc_id"), f"doc_id {kind}, _label int, features binary").collect()
+    # At most max_train rows, whatever ids repeat: the bound holds at any size.
+    known = base.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
+    rows = known.mapInArrow(featurizer("doc_id"), f"doc_id {kind}, _label int, features binary").collect()
     rows.sort(key=lambda r: (str(r.doc_id), r.features))
     weights, bias = train([(r["_label"], r.features) for r in rows], steps)
     return zlib.compress(weights.astype(np.float32).tobytes(), 1), bias
@@ -220,11 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
     weights, bias = fit(docs, labels, id_col, text_col, label_col, max_train, steps)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    scored = base.mapInArrow(scorer("doc_id", weights, bias), f"doc_id {kind}, score double")
+    scored = map_arrow(base, scorer("doc_id", weights, bias), f"doc_id {kind}, score double")
     held = F.coalesce(crc_mod(F.col("doc_id"), HELD_OUT) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of `docs` that the classifier does not reject; no shuffle of texts."""
-    return docs.mapInArrow(sieve(text_col, *fit(docs, labels, id_col, text_col, label_col)), docs.schema)
+    return map_arrow(docs, sieve(text_col, *fit(docs, labels, id_col, text_col, label_col)), docs.schema)

@@ -32,7 +32,9 @@ def test_language_model(spark, docs, corpus, nothing):
     empty = lm.language_model(nothing)
     assert empty.collect() == []
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (3, None)], "doc_id bigint, text string")
-    assert sorted((r.doc_id, r.n_tokens) for r in lm.language_model(twice).collect()) == [(1, 2), (1, 3), (3, 1)]
+    assert sorted((r.doc_id, r.n_tokens) for r in lm.language_model(twice).collect()) == [(1, 2), (1, 3), (1, 3), (3, 1)]
+    untrained = spark.createDataFrame([(next(i for i in range(99) if held(i, 7, 2)), "a b"), (None, "c")], "doc_id bigint, text string")
+    assert [(r.n_known, r.train_tokens) for r in lm.language_model(untrained).collect()] == [(0, 0), (0, 0)]
 
 
 def test_all_training_rows_are_learned_from(spark, monkeypatch):
@@ -94,3 +96,46 @@ def test_quality_edge_cases(spark, docs, corpus, nothing):
     moved = docs.withColumn("source", F.lit("elsewhere")).withColumn("doc_id", F.col("doc_id"))
     again = {r.doc_id: r.score for r in quality.classify(moved, labels, steps=200).collect()}
     assert all(math.isclose(again[r.doc_id], r.score) for r in rows)
+
+
+def test_scores_equal_the_plain_forward_pass():
+    """Mean of vectors, then softmax, from the strings themselves; and texts that are cut."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["alpha", "be", "c", "déjà", "no", "no", "yes,", "漢字", "x" * 70]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(30)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "_text": texts, "_label": [i % 2 for i in range(len(texts))]})
+    features = [r for b in quality.featurizer("doc_id")(iter([batch])) for r in b.column("features").to_pylist()]
+    emb, out, bias = quality.learn([(i % 2, f) for i, f in enumerate(features)], steps=300)
+    table = quality.Words((emb @ (out[1] - out[0])).astype(np.float32))
+    got = quality.scores(texts, table, float(bias[1] - bias[0]))
+
+    def bucket(word_or_gram, whole):
+        h, owner, b = quality.subwords([word_or_gram])
+        return h[0], b[: 1 if whole else None]
+
+    for text, score in zip(texts, got, strict=True):
+        words, rows = (text or "").split(), []
+        for w in words:
+            rows += bucket(w, False)[1].tolist()
+        for a, b in zip(words, words[1:], strict=False):
+            rows += quality.pair_buckets(np.array([bucket(a, True)[0]]), np.array([bucket(b, True)[0]])).tolist()
+        mean = emb[rows].astype(np.float64).mean(0) if rows else np.zeros(quality.DIM)
+        logits = out @ mean + bias
+        assert abs(1 / (1 + np.exp(logits[0] - logits[1])) - score) < 1e-5
+
+
+def test_pairs_across_cuts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    weights = np.random.default_rng(6).normal(size=quality.BUCKETS).astype(np.float32)
+    texts = ["a b c d " * 50, "", "e f", "g h a b " * 30]
+    whole = quality.scores(texts, quality.Words(weights), 0.0)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(4), "_text": texts, "_label": [0] * 4})
+    run = lambda: [r for b in quality.featurizer("doc_id")(iter([batch])) for r in b.column("features").to_pylist()]
+    features, batches = run(), quality.batches
+    monkeypatch.setattr(quality, "batches", lambda texts: batches(texts, 16))
+    assert np.allclose(quality.scores(texts, quality.Words(weights), 0.0), whole) and run() == features
