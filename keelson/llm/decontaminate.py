@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, row_key, without
+from .common import map_arrow, materialize, pieces, row_key, without
 
 N, THRESHOLD = 3, 0.4
 ITEM_BLOCK = 500_000
-#: Alignments in one numpy pass.
-LANES = 256
+#: Alignments in one numpy pass, and words of their passages together.
+LANES, CELLS = 256, 1 << 18
 #: Pairs of a place and an item that are looked at in one numpy pass.
 PLACES = 2_000_000
 WORD = re.compile(r"\w+")
@@ -172,8 +172,13 @@ def aligner(items: list[tuple[int, list[str]]], threshold: float):
         def flush(pending):
             out = []
             pending.sort(key=lambda p: (len(numbers[p[1]]), len(p[2])))
-            for s in range(0, len(pending), LANES):
-                part = pending[s : s + LANES]
+            while pending:
+                # Lanes are as wide as their longest passage.
+                k, width = 0, 0
+                while k < min(LANES, len(pending)) and (not k or max(width, len(pending[k][2])) * (k + 1) <= CELLS):
+                    width = max(width, len(pending[k][2]))
+                    k += 1
+                part, pending = pending[:k], pending[k:]
                 item_n, passage_n = (np.array(x) for x in zip(*((len(numbers[p[1]]), len(p[2])) for p in part), strict=True))
                 a, b = np.full((len(part), item_n.max()), -2), np.full((len(part), passage_n.max()), -3)
                 for i, p in enumerate(part):
@@ -184,15 +189,16 @@ def aligner(items: list[tuple[int, list[str]]], threshold: float):
             return out
 
         for batch in rows:
-            pending, out = [], []
+            pending, held, out = [], 0, []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
                 for item, s, e in finder(ids):
                     s, e = max(s, 0), min(e, len(ids))
                     pending.append((doc_id, item, ids[s:e], s))
-                if len(pending) >= 4 * LANES:
+                    held += e - s
+                if len(pending) >= 4 * LANES or held >= 4 * CELLS:
                     out += flush(pending)
-                    pending = []
+                    pending, held = [], 0
             out += flush(pending)
             kinds = (batch.column("doc_id").type, pa.int64(), pa.float64(), pa.int32(), pa.int32())
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
@@ -216,26 +222,26 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD, item_text_col: str = "text") -> DataFrame:
     """Per document, item and passage that reach the threshold: doc_id, item_id, score, word_start, word_end."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     found = None
-    for items in blocks_of(benchmark, item_col, "text"):
-        hits = base.mapInArrow(aligner(items, threshold), HITS.format(kind=kind))
+    for items in blocks_of(benchmark, item_col, item_text_col):
+        hits = map_arrow(base, aligner(items, threshold), HITS.format(kind=kind))
         found = hits if found is None else found.unionByName(hits)
     return spark.createDataFrame([], HITS.format(kind=kind)) if found is None else found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per distinct id: doc_id, contaminated, items (sorted ids of leaked items), score (of the best alignment, 0 if none reaches the threshold)."""
-    found = materialize(leaks(docs, benchmark, id_col, text_col, threshold=threshold), "leaks")
-    by = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("score"))
-    ids = docs.select(F.col(id_col).alias("_id")).distinct()
-    return ids.join(by, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("_id").alias("doc_id"), F.col("score").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("score", F.lit(0.0)).alias("score")
-    )
+    """Per row of `docs`: doc_id, contaminated, items (sorted ids of leaked items), score (of the best alignment, 0 if none reaches the threshold)."""
+    text = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    found = materialize(leaks(docs.select(text.alias("_kl_row"), F.col(text_col).alias("_text")), benchmark, "_kl_row", "_text", threshold=threshold), "leaks")
+    by = found.groupBy(F.col("doc_id").alias("hash")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("score"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("hash"))
+    out = rows.join(by, "hash", "left")
+    return out.select("doc_id", F.col("score").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -212,6 +212,66 @@ def test_decontamination_equals_plain_alignment(spark, monkeypatch):
         assert {i: r["items"] for i, r in got.items()} == want and {i: r.score for i, r in got.items()} == best
 
 
+def test_join_equals_alignment_of_all_pairs(spark, data):
+    """All documents of the smallest tables with all items, aligned whole."""
+    docs, benchmark = (catalog.table(spark, data, t) for t in ("documents", "benchmark"))
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in benchmark.collect()]
+    texts = {r.doc_id: decontaminate.words_of(r.text) for r in docs.collect()}
+    number = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
+    short = {i: np.array([number.get(w, -1) for w in ws][:4000]) for i, ws in texts.items()}
+    assert max(map(len, texts.values())) <= 4000
+    n = max(len(ws) for _, ws in items)
+    want = {}
+    for i, ids in short.items():
+        a = np.full((len(items), n), -2)
+        for k, (_, ws) in enumerate(items):
+            a[k, : len(ws)] = [number[w] for w in ws]
+        size = np.array([len(ws) for _, ws in items])
+        best = decontaminate.align(a, size, np.repeat(ids[None], len(items), 0), np.full(len(items), len(ids)))[0] if len(ids) else np.zeros(len(items))
+        want[i] = sorted(items[k][0] for k in np.flatnonzero((best >= decontaminate.THRESHOLD * size) & (size > 0)))
+    got = {r.doc_id: r["items"] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == want and any(want.values())
+
+
+def test_lanes_are_bounded(spark, monkeypatch):
+    """Long items, and passes of few cells, give the same."""
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((2500, 900, 30, 12))]
+    docs = spark.createDataFrame([(k, "before it " + t + " and after it") for k, t in items] + [(1, "a repeated id that is clean"), (9, None)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for cells in (decontaminate.CELLS, 1):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        got = sorted(((r.doc_id, r["items"]) for r in decontaminate.contaminated(docs, benchmark).collect()), key=str)
+        assert got == sorted([(k, [k]) for k in range(4)] + [(1, []), (9, [])], key=str)
+
+
+def test_cosine_of_all_lines(spark):
+    """Scores of one-line files against TF-IDF cosines computed from the counts of all files."""
+    import math
+    from collections import Counter
+
+    lines = ["Released under the MIT License.", "released under the license of mit or so", "Licensed under CC BY 4.0.", "nothing of the kind", "", "CC BY-NC 4.0 licensed", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."] * 2
+    got = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame([(i, f"d{i}/f.txt", t) for i, t in enumerate(lines)], "doc_id int, path string, text string")).collect()}
+    df = Counter(w for t in lines for w in set(licenses.words_of(t)))
+    known = {w for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.words_of(t)}
+    idf = lambda w: math.log((len(lines) + 1) / ((df[w] if w in known else 0) + 1)) + 1
+
+    def cosine(a, b):
+        x, y = ({w: c * idf(w) for w, c in Counter(licenses.words_of(t)).items()} for t in (a, b))
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / norm if norm else 0.0
+
+    for i, t in enumerate(lines):
+        n = len(licenses.words_of(t))
+        fits = {name: max(cosine(t, x) for x in ts if n <= 1.5 * len(licenses.words_of(x))) if any(n <= 1.5 * len(licenses.words_of(x)) for x in ts) else 0.0 for name, ts in licenses.TEMPLATES.items()}
+        name = max(fits, key=lambda k: (fits[k], -sorted(fits).index(k)))
+        if fits[name] >= licenses.THRESHOLD:
+            assert got[i].license == name and math.isclose(got[i].score, fits[name])
+        else:
+            assert got[i].license is None or got[i].score >= licenses.THRESHOLD
+
+
 def test_catalog_and_pipeline(spark, data, duck):
     import corpus_pipeline
 
