@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (lower case, cut at white space).  A line goes if
+A line is the set of its words (lower case, cut at `[\\x20\\x09-\\x0D]`).  A line goes if
 any earlier line (smaller id, or earlier in the same document) has Jaccard
 similarity `threshold` or more with it, whether that line stays or not.  Lines
 without words always stay.
@@ -21,7 +21,8 @@ without words always stay.
    in pairs of blocks.
 4. Of a line's earlier partners in a list that pass, the two with the nearest
    signatures and the earliest go on, so that a group of many near copies gives a
-   few pairs a line.  Their words are fetched, and Jaccard similarity is verified.
+   few pairs a line; if none is plainly near, all do, up to `FEW`.  Their words are
+   fetched, and Jaccard similarity is verified.
    A line that has more partners, and none verified, gets all of them in a second
    pass: nothing is lost.
 
@@ -33,10 +34,8 @@ result each of them gets; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +44,15 @@ from pyspark.sql import functions as F
 
 from .chosen_path import mix
 from .common import BITMAP, map_arrow, materialize, perhaps_in
+from .suffix_dedup import Roller
 
 THRESHOLD = 0.8
 SLOTS, CHUNKS = 1 << 22, 64
 PER_BUCKET = 8 << 20
 #: Characters in one numpy pass, and entries in a word's list that one task compares with each other.
-GROUP, BIG = 1 << 21, 1 << 15
+GROUP, BIG = 1 << 20, 1 << 15
+#: A line gets all its partners in a list at once if it has so few, and none is plainly near.
+FEW = 16
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
@@ -58,57 +60,59 @@ _PRIME = _U(0x9E3779B97F4A7C15)
 ENTRY = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint32, np.uint32, np.uint64, np.uint64)
 
 
-class Numbers(dict):
-    """Numbers of words in the order in which they are met, and their hashes."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.hashes.append(int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
-        return n
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Lines:
-    """The distinct words of lines, for many lines at once; with `level` from the rarest, else in any order."""
-
-    REMEMBER = 400_000
+    """The distinct words of lines, as hashes, for many lines at once; with `level` from the rarest, else in any order."""
 
     def __init__(self, level: np.ndarray | None = None):
-        self.level, self.numbers = level, Numbers()
-        self.hash = self.order = self.rank = np.zeros(0, _U)
-
-    def grow(self):
-        if len(self.hash) < len(self.numbers):
-            self.hash = np.concatenate([self.hash, np.array(self.numbers.hashes[len(self.hash) :], _U)])
-            if self.level is not None:
-                # The order's first byte is the rarity.
-                self.order = (self.level[(self.hash % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(56)) | (self.hash >> _U(8))
-                self.by_rank = np.argsort(self.order, kind="stable")
-                self.rank = np.empty(len(self.hash), np.int64)
-                self.rank[self.by_rank] = np.arange(len(self.hash))
+        self.level, self.roller = level, Roller(2 * GROUP)
+
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of bytes: the line that each word is in, and its hash."""
+        lines, hashes, at, line = [], [], 0, 0
+        while at < len(data):
+            end = min(at + 2 * GROUP, len(data))
+            while end < len(data) and not _SPACE[data[end]]:
+                end += 1
+            part = data[at:end]
+            if len(part) >= len(self.roller.power):
+                self.roller = Roller(2 * len(part))
+            word = np.append(False, ~_SPACE[part])
+            start, stop = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word & ~np.append(word[1:], False))
+            breaks = np.cumsum(part == 10)
+            lines.append(breaks[start] + line)
+            hashes.append(mix(self.roller.span(self.roller.sums(part), start, stop)))
+            line += int(breaks[-1])
+            at = end
+        return np.concatenate(lines), np.concatenate(hashes)
+
+    def rarity(self, hashes: np.ndarray) -> np.ndarray:
+        """The order of words: the first byte is the rarity."""
+        return (self.level[(hashes % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(56)) | (hashes >> _U(8))
 
     def __call__(self, pieces: list[tuple[int, int, str]]):
-        """Of pieces (document, number of the first line, text): document, line, start and size of the lines with words, and all their words' numbers."""
-        if len(self.numbers) > self.REMEMBER:
-            self.__init__(self.level)
-        total, words = [], []
-        for _, _, text in pieces:
-            lines = [line.split() for line in text.lower().split("\n")]
-            total.append(len(lines))
-            words += lines
-        count = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
-        self.grow()
-        key = np.sort((np.repeat(np.arange(len(count)), count) << 32) | (ids if self.level is None else self.rank[ids]))
+        """Of pieces (document, number of the first line, text): document, line, start and size of the lines with words, and the hashes of all their words."""
+        none = np.zeros(0, np.int64)
+        data = np.frombuffer("\n".join([p[2] for p in pieces]).lower().encode("utf-8", "surrogatepass"), np.uint8)
+        if not len(data):
+            return none, none, none, none, none.astype(_U)
+        owner, h = self.words(data)
+        known, number = np.unique(h, return_inverse=True)
+        if self.level is not None:
+            by = np.argsort(self.rarity(known), kind="stable")
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            known, number = known[by], rank[number]
+        key = np.sort((owner << 32) | number)
         key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
-        ids = key & 0xFFFFFFFF
         line, start, size = np.unique(key >> 32, return_index=True, return_counts=True)
+        total = np.array([p[2].count("\n") + 1 for p in pieces])
         piece = np.repeat(np.arange(len(pieces)), total)[line]
         first = np.array([p[1] for p in pieces], np.int64) - (np.cumsum(total) - total)
-        return np.array([p[0] for p in pieces], np.int64)[piece], first[piece] + line, start, size, ids if self.level is None else self.by_rank[ids]
+        return np.array([p[0] for p in pieces], np.int64)[piece], first[piece] + line, start, size, known[key & 0xFFFFFFFF]
 
 
 def groups_of(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
@@ -151,12 +155,9 @@ def liner(rows):
         counts = pa.array([t.count("\n") + 1 for t in texts], pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(np.full(n, -1, np.int32)), counts, blank(n, pa.int64()), blank(n, pa.int64()), blank(n, pa.int32()), blank(n, pa.binary())], schema=LINES)
         for group in groups_of(texts):
-            doc, line, start, size, words = split(group)
+            doc, line, start, size, h = split(group)
             if len(doc):
-                h = split.hash[words]
-                total += np.bincount((h % _U(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32) if len(h) > SLOTS // 8 else 0
-                if len(h) <= SLOTS // 8:
-                    np.add.at(total, (h % _U(SLOTS)).astype(np.int64), 1)
+                np.add.at(total, (h % _U(SLOTS)).astype(np.int64), 1)
                 d1, d2 = digests(h, start)
                 m = len(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), blank(m, pa.int32()), blank(m, pa.binary())], schema=LINES)
@@ -195,12 +196,11 @@ def levels_of(blob: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, decompressed_size=SLOTS, codec="zstd", asbytes=True), np.uint8)
 
 
-def prefixes(split: Lines, start, size, words, mark, threshold: float):
-    """(line, word, place) of the prefix words of the lines in lists; a word whose list may be long stands for a pair of blocks."""
+def prefixes(word: np.ndarray, start, size, mark, threshold: float):
+    """(line, word, place) of the prefix words, from the words of lines in order of rarity; a word whose list may be long stands for a pair of blocks."""
     line = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(words)) - np.repeat(start, size)
+    place = np.arange(len(word)) - np.repeat(start, size)
     least = math.ceil(threshold / (1 - threshold) - 1e-9)  # below this size a line can't be similar to one that differs
-    word = split.order[words]
     keep = (place < np.repeat(prefix_size(size, threshold), size)) & (word >> _U(56) != 1) & np.repeat(size >= least, size)
     line, place, word = line[keep], place[keep], word[keep]
     blocks = np.maximum(1, np.ceil(2 ** (((word >> _U(56)).astype(np.float64) - 1) / 8) / BIG)).astype(np.int64)
@@ -226,15 +226,14 @@ def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted
             texts = batch.column("_text").take(pa.array(order)).to_pylist()
             ids, ths = ids[order], ths[order]
             for group in groups_of(texts):
-                doc, number, start, size, words = split(group)
+                doc, number, start, size, h = split(group)
                 if not len(doc):
                     continue
-                h = split.hash[words]
                 mark = digests(h, start)[0]
                 bit = h & _U(signature)
                 one = _U(1) << (bit & _U(63))
                 low, high = (np.bitwise_xor.reduceat(np.where((bit >> _U(6)) == k, one, _U(0)), start) for k in (0, 1))
-                line, word, place = prefixes(split, start, size, words, mark, threshold)
+                line, word, place = prefixes(split.rarity(h), start, size, mark, threshold)
                 # Of equal sets in a group the first is enough: it is the earliest there.
                 first = np.zeros(len(mark), bool)
                 first[np.unique(mark, return_index=True)[1]] = True
@@ -321,8 +320,18 @@ def chooser(threshold: float):
         near, second, first = (np.full(m, far) for _ in range(3))
         who = np.full((3, m), -1)
         count = np.zeros(m, np.int64)
+        plain = 0.6 * 2 * (1 - threshold) / (1 + threshold) * b.n  # of differing words: far fewer than a similar line may have
+        kept, held = [], 0
         for later, earlier, bits in b.pairs(threshold):
             count[later] += 1
+            few = (count[later] <= FEW) & (np.minimum(near[later], bits) > plain[later])
+            kept.append((later[few], earlier[few]))
+            held += int(few.sum())
+            if held > 4 * m + 100_000:
+                kept = [tuple(np.concatenate(c) for c in zip(*kept, strict=True))]
+                few = (count[kept[0][0]] <= FEW) & (near[kept[0][0]] > plain[kept[0][0]])
+                kept = [(kept[0][0][few], kept[0][1][few])]
+                held = int(few.sum())
             closer = bits < near[later]
             k = later[closer]
             second[k], who[1, k], near[k], who[0, k] = near[k], who[0, k], bits[closer], earlier[closer]
@@ -333,9 +342,16 @@ def chooser(threshold: float):
             k = later[before]
             first[k], who[2, k] = b.when[earlier[before]], earlier[before]
         who[2] = np.where((who[2] == who[0]) | (who[2] == who[1]), -1, who[2])
-        more = count > (who >= 0).sum(0)
+        whole = (count <= FEW) & (near > plain)
+        who[:, whole] = -1
+        more = (count > (who >= 0).sum(0)) & ~whole
         which, later = np.nonzero(who >= 0)
-        return b.table(later, who[which, later], more[later])
+        earlier = who[which, later]
+        if kept:
+            a, e = (np.concatenate(c) for c in zip(*kept, strict=True))
+            ok = whole[a]
+            later, earlier = np.concatenate([later, a[ok]]), np.concatenate([earlier, e[ok]])
+        return b.table(later, earlier, more[later])
 
     return run
 
@@ -366,10 +382,8 @@ def places_of(levels: bytes, buckets: int, threshold: float):
             hashes = [np.frombuffer(w, _U) for w in batch.column("words").to_pylist()]
             out = []
             for h in hashes:
-                order = np.sort((split.level[(h % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(56)) | (h >> _U(8)))
-                split.order = order
                 mark = digests(h, np.zeros(1, np.int64))[0]
-                _, word, _ = prefixes(split, np.zeros(1, np.int64), np.array([len(h)]), np.arange(len(h)), mark, threshold)
+                _, word, _ = prefixes(np.sort(split.rarity(h)), np.zeros(1, np.int64), np.array([len(h)]), mark, threshold)
                 out.append((word, np.full(len(word), mark[0], _U)))
             word, mark = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, _U), np.zeros(0, _U))
             yield pa.RecordBatch.from_arrays([pa.array((word % _U(buckets)).astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(word.view(np.int64))], names=["part", "mark", "word"])
@@ -384,10 +398,9 @@ def fetcher(rows):
         ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
         wanted = batch.column("wanted").to_pylist()
         for group in groups_of(batch.column("_text").to_pylist()):
-            doc, line, start, size, words = split(group)
+            doc, line, start, size, h = split(group)
             asked = np.array([(i << 32) | k for i in dict.fromkeys(p[0] for p in group) for k in wanted[i]], np.int64)
             got = np.flatnonzero(np.isin((doc << 32) | line, asked))
-            h = split.hash[words]
             sets = [h[s : s + n].tobytes() for s, n in zip(start[got].tolist(), size[got].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([node_bytes(ids[doc[got]], ths[doc[got]], line[got]), pa.array(sets, pa.binary())], names=["node", "words"])
 

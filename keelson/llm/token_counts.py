@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .unigram import BulkSegmenter, Vocabulary, load_vocabulary, segment
 
 #: A task forgets its pre-tokens beyond so many, and lays out so many at a time, which bounds its memory.
@@ -132,4 +133,4 @@ def token_counts(docs: DataFrame, vocabulary: str | Vocabulary, id_col: str = "d
     voc = load_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return base.mapInArrow(counter(voc), f"doc_id {kind}, n_pretokens bigint, n_tokens bigint")
+    return map_arrow(base, counter(voc), f"doc_id {kind}, n_pretokens bigint, n_tokens bigint")

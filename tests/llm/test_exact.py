@@ -163,9 +163,9 @@ def test_line_dedup_lists_in_blocks(spark, monkeypatch):
     lines = [sorted(rng.sample(words, rng.randrange(4, 9))) for _ in range(200)]
     level = np.full(line_dedup.SLOTS, 1 + 8 * 17, np.uint8)  # as if every word occurred 2**17 times
     split = line_dedup.Lines(level)
-    doc, number, start, size, ids = split([(0, 0, "\n".join(" ".join(x) for x in lines))])
-    mark = line_dedup.digests(split.hash[ids], start)[0]
-    line, word, _ = line_dedup.prefixes(split, start, size, ids, mark, 0.8)
+    doc, number, start, size, h = split([(0, 0, "\n".join(" ".join(x) for x in lines))])
+    mark = line_dedup.digests(h, start)[0]
+    line, word, _ = line_dedup.prefixes(split.rarity(h), start, size, mark, 0.8)
     lists = collections.defaultdict(set)
     for a, w in zip(line.tolist(), word.tolist(), strict=True):
         lists[w].add(a)
