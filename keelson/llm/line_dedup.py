@@ -48,11 +48,12 @@ from .suffix_dedup import Roller
 
 THRESHOLD = 0.8
 SLOTS, CHUNKS = 1 << 22, 64
-PER_BUCKET = 8 << 20
+#: Distinct words of lines for one bucket.
+PER_BUCKET = 1 << 20
 #: Characters in one numpy pass, and entries in a word's list that one task compares with each other.
 GROUP, BIG = 1 << 20, 1 << 15
 #: A line gets all its partners in a list at once if it has so few, and none is plainly near.
-FEW = 16
+FEW = 32
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
@@ -93,13 +94,23 @@ class Lines:
         """The order of words: the first byte is the rarity."""
         return (self.level[(hashes % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(56)) | (hashes >> _U(8))
 
-    def __call__(self, pieces: list[tuple[int, int, str]]):
-        """Of pieces (document, number of the first line, text): document, line, start and size of the lines with words, and the hashes of all their words."""
+    def __call__(self, pieces: list[tuple[int, int, str]], wanted: np.ndarray | None = None):
+        """Of pieces (document, number of the first line, text): document, line, start and size of the lines with words, and the hashes of all their words.
+
+        With `wanted`, a bitmap of words in order of rarity, only of the lines with any of them.
+        """
         none = np.zeros(0, np.int64)
         data = np.frombuffer("\n".join([p[2] for p in pieces]).lower().encode("utf-8", "surrogatepass"), np.uint8)
         if not len(data):
             return none, none, none, none, none.astype(_U)
         owner, h = self.words(data)
+        if wanted is not None:
+            # Only lines with a word in the bitmap.
+            at = (self.rarity(h) % _U(BITMAP)).astype(np.int64)
+            hit = (wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            some = np.zeros(int(owner[-1]) + 1 if len(owner) else 0, bool)
+            some[owner[hit]] = True
+            owner, h = owner[some[owner]], h[some[owner]]
         known, number = np.unique(h, return_inverse=True)
         if self.level is not None:
             by = np.argsort(self.rarity(known), kind="stable")
@@ -215,7 +226,7 @@ def prefixes(word: np.ndarray, start, size, mark, threshold: float):
 
 
 def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted: bytes | None = None):
-    """Arrow function: entries by bucket of the word; with `wanted` (a bitmap) only of words in it."""
+    """Arrow function: entries by bucket of the word; with `wanted` (a bitmap) only of lines with a word in it."""
 
     def run(rows):
         split = Lines(levels_of(levels))
@@ -226,7 +237,7 @@ def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted
             texts = batch.column("_text").take(pa.array(order)).to_pylist()
             ids, ths = ids[order], ths[order]
             for group in groups_of(texts):
-                doc, number, start, size, h = split(group)
+                doc, number, start, size, h = split(group, bits)
                 if not len(doc):
                     continue
                 mark = digests(h, start)[0]
@@ -238,9 +249,6 @@ def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted
                 first = np.zeros(len(mark), bool)
                 first[np.unique(mark, return_index=True)[1]] = True
                 keep = first[line]
-                if bits is not None:
-                    at = (word % _U(BITMAP)).astype(np.int64)
-                    keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 line, word, place = line[keep], word[keep], place[keep]
                 part = (word % _U(buckets)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -320,7 +328,8 @@ def chooser(threshold: float):
         near, second, first = (np.full(m, far) for _ in range(3))
         who = np.full((3, m), -1)
         count = np.zeros(m, np.int64)
-        plain = 0.6 * 2 * (1 - threshold) / (1 + threshold) * b.n  # of differing words: far fewer than a similar line may have
+        # Bits that are expected to differ where far fewer words do than may.
+        plain = 64 * (1 - np.exp(-0.6 / 64 * 2 * (1 - threshold) / (1 + threshold) * b.n))
         kept, held = [], 0
         for later, earlier, bits in b.pairs(threshold):
             count[later] += 1
@@ -374,7 +383,7 @@ def completer(threshold: float):
 
 
 def places_of(levels: bytes, buckets: int, threshold: float):
-    """Arrow function: bucket, mark and word of the list entries of given sets."""
+    """Arrow function: bucket, mark and word (in order of rarity) of the list entries of given sets."""
 
     def run(rows):
         split = Lines(levels_of(levels))
@@ -383,10 +392,11 @@ def places_of(levels: bytes, buckets: int, threshold: float):
             out = []
             for h in hashes:
                 mark = digests(h, np.zeros(1, np.int64))[0]
-                _, word, _ = prefixes(np.sort(split.rarity(h)), np.zeros(1, np.int64), np.array([len(h)]), mark, threshold)
-                out.append((word, np.full(len(word), mark[0], _U)))
-            word, mark = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, _U), np.zeros(0, _U))
-            yield pa.RecordBatch.from_arrays([pa.array((word % _U(buckets)).astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(word.view(np.int64))], names=["part", "mark", "word"])
+                order = np.sort(split.rarity(h))
+                _, word, place = prefixes(order, np.zeros(1, np.int64), np.array([len(h)]), mark, threshold)
+                out.append((word, np.full(len(word), mark[0], _U), order[place]))
+            word, mark, plain = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, _U)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array((word % _U(buckets)).astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(plain.view(np.int64))], names=["part", "mark", "word"])
 
     return run
 
@@ -437,12 +447,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row of `docs`: doc_id, n_lines, n_removed, removed (sorted line numbers from 0); with `want_text` also kept.  `signature` masks the signatures' bits, for tests."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), text.alias("_text"))
-    total, repeated = base.groupBy("id").agg(F.sum(F.octet_length("_text")).alias("b"), F.count("*").alias("n")).agg(F.sum("b"), F.max("n")).first()
-    again = (repeated or 0) > 1
+    again = (base.groupBy("id").count().agg(F.max("count")).first()[0] or 0) > 1
     base = base.select("id", (F.xxhash64("_text") if again else F.lit(0).cast("bigint")).alias("th"), "_text")
-    buckets = max(32, int(total or 0) // PER_BUCKET)
 
     lines = materialize(map_arrow(base, liner, LINES_DDL), "lines")
+    total = lines.where("line >= 0").agg(F.sum("n")).first()[0] or 0
+    buckets = max(32, int(total) // PER_BUCKET)
     # One row a chunk: the table of counters is of fixed size.
     levels = {r.chunk: bytes(r.blob) for r in lines.where("line = -2").select("chunk", "blob").groupBy("chunk").applyInArrow(chunk_sum, "chunk int, blob binary").collect()}
     level = pa.compress(b"".join(levels.get(i, bytes(SLOTS // CHUNKS)) for i in range(CHUNKS)), codec="zstd", asbytes=True)
