@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 def power_of_d(requests: DataFrame, queue: DataFrame, servers: int, width: int, start: Column, d: int = 2) -> DataFrame:
     """Per request the `width` least queued of d * width servers in a row from `start`: request, server, rank.
 
-    `queue` (server, depth) has one row a server and is broadcast if it is small.
+    `queue` (server, depth) has one row a server, `servers` at most.
     Ties go to the smaller server.
     """
     tries = min(d * width, servers)
-    asked = requests.select("request", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda j: F.pmod(start + j, F.lit(servers)).cast("int"))).alias("server"))
-    best = Window.partitionBy("request").orderBy("depth", "server")
-    return asked.join(queue, "server").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width).select("request", "server", "rank")
+    # One row with all queues: a request looks its servers up and sorts them in place, and nothing is shuffled.
+    depths = queue.agg(F.map_from_entries(F.collect_list(F.struct("server", "depth"))).alias("_q"))
+    asked = requests.select("request", F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda j: F.pmod(start + j, F.lit(servers)).cast("int")).alias("_s"))
+    tried = F.filter(F.transform("_s", lambda s: F.struct(F.element_at("_q", s).alias("depth"), s.alias("server"))), lambda x: x["depth"].isNotNull())
+    best = asked.crossJoin(F.broadcast(depths)).select("request", F.posexplode(F.slice(F.array_sort(tried), 1, width)).alias("_i", "x"))
+    return best.select("request", F.col("x.server").alias("server"), (F.col("_i") + 1).alias("rank"))
 
 
 def round_robin(requests: DataFrame, number: str, servers: int, start: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ordered
+from .ordered import search
 
 #: More ranges than this are joined instead of being made into an expression.
 MAX_INLINE = 1024
@@ -22,18 +23,6 @@ def split_uniform(spark: SparkSession, lower: int, upper: int, n: int) -> DataFr
     return spark.range(n).select(i.cast("int").alias("id"), bound("id").alias("lower"), bound("id + 1").alias("upper"))
 
 
-def search(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below the key, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
-
-
 def route(rows: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
     """Adds `range_id`: the id of the half-open range that holds the key, or null.
 
@@ -164,14 +153,24 @@ def hot_keys(rates: DataFrame, n: int, total: int) -> DataFrame:
 def overlap_pairs(files: DataFrame, key: str = "f") -> DataFrame:
     """Pairs (a, b), a < b, of closed intervals [lo, hi] that meet.
 
-    Intervals are cut into bins as wide as the widest; a pair is reported in the
-    bin where the later of both begins, so that nothing has to be made distinct.
+    Intervals are classed by width, in powers of two.  Each has bins as wide as its
+    own class, of which it touches two at most, and looks into the bins of all
+    wider classes that there are.  So a few wide intervals do not widen the bins of
+    the others.  A pair is reported in the bin where the later of both begins.
     """
-    width = (files.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) + 1
-    bins = files.select(key, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_b"))
-    a, b = (bins.select(F.col(key).alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), "_b") for x in "ab")
-    met = a.join(b, "_b").where("a < b and lo_a <= hi_b and lo_b <= hi_a")
-    return met.where(F.floor(F.greatest("lo_a", "lo_b") / width) == F.col("_b")).select("a", "b")
+    size = F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int")
+    classed = files.select(key, "lo", "hi", F.when(F.col("hi") > F.col("lo"), size).otherwise(0).alias("_c"))
+    there = sorted(r[0] for r in classed.select("_c").where("_c is not null").distinct().collect())  # 64 at most
+    if not there:
+        return files.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
+    bin_of = lambda x, c: F.expr(f"floor(({x}) / pow(2.0D, {c}))").cast("bigint")
+    spans = lambda c: F.explode(F.sequence(bin_of("lo", c), bin_of("hi", c)))
+    own = classed.select(F.col(key).alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), "_c", spans("_c").alias("_b"))
+    wider = classed.select("*", F.explode(F.array(*map(F.lit, there))).alias("_w")).where("_w >= _c")
+    looks = wider.select(F.col(key).alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.col("_c").alias("_ca"), F.col("_w").alias("_c"), spans("_w").alias("_b"))
+    met = looks.join(own, ["_c", "_b"]).where("(_ca < _c or a < b) and a <> b and lo_a <= hi_b and lo_b <= hi_a")
+    met = met.where(bin_of("greatest(lo_a, lo_b)", "_c") == F.col("_b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def overlap_counts(files: DataFrame, key: str = "f") -> DataFrame:

@@ -25,7 +25,7 @@ def histogram(values: DataFrame, column: str = "v") -> DataFrame:
     limits = bucket_limits()
     bounds = F.array(*map(F.lit, limits))
     # Limits that a value has reached or passed are below its bucket.
-    place = F.size(F.filter(bounds, lambda x: x <= F.col(column)))
+    place = ordered.search(F.col(column), limits)
     counted = values.where(F.col(column).isNotNull()).groupBy(place.alias("bucket")).agg(F.count("*").alias("n"))
     lower = F.element_at(F.array(F.lit(0.0), *map(F.lit, limits)), F.col("bucket") + 1)
     return counted.select(F.col("bucket").cast("int").alias("bucket"), lower.alias("lower"), F.element_at(bounds, F.col("bucket") + 1).alias("upper"), "n")
@@ -68,7 +68,7 @@ def counter_deltas(events: DataFrame, seconds: int = 10) -> DataFrame:
     """Per tick and type: its running total and what is new since the type's last tick."""
     tick = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds) * seconds
     n = events.groupBy(tick.cast("bigint").alias("tick"), "event_type").agg(F.count("*").alias("delta"))
-    return ordered.running(n, "tick", F.col("delta"), "total", by=["event_type"], width=seconds * 4096).withColumn("total", F.col("total").cast("bigint"))
+    return ordered.running(n, "tick", F.col("delta"), "total", by=["event_type"]).withColumn("total", F.col("total").cast("bigint"))
 
 
 def group_means(samples: DataFrame, order: str, value: str, g: int) -> DataFrame:

@@ -199,7 +199,7 @@ def numeric_key_order(i: Inputs):
     raw = i.table("customer").select("c_custkey", F.concat(F.expr("c_custkey * 37 % 1000").cast("string"), F.lit("!"), F.col("c_name")).alias("raw"))
     num = raw.withColumn("num", mvcc.numeric_key(F.col("raw")).cast("bigint"))
     top = num.agg(F.max("c_custkey")).first()[0] or 0
-    placed = ordered.position(num.withColumn("_o", F.col("num") * (top + 1) + F.col("c_custkey")), "_o", "place", width=(top + 1) * 64)
+    placed = ordered.position(num.withColumn("_o", F.col("num") * (top + 1) + F.col("c_custkey")), "_o", "place")
     return placed.drop("_o")
 
 

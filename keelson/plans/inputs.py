@@ -37,7 +37,7 @@ class Inputs:
 
         rest = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
         lines = self.table("lineitem").withColumn("day", F.unix_date(F.col("l_shipdate").cast("date")))
-        days = ordered.running(lines.groupBy("day").agg(F.count("*").alias("n")), "day", F.col("n"), "before", before=True, width=64).select("day", "before")
+        days = ordered.running(lines.groupBy("day").agg(F.count("*").alias("n")), "day", F.col("n"), "before", before=True).select("day", "before")
         w = Window.partitionBy("day").orderBy("l_shipdate", *rest)
         seq = (F.coalesce("before", F.lit(0)) + F.row_number().over(w)).cast("bigint")
         return lines.join(days, "day").select(F.col("l_orderkey").alias("k"), seq.alias("seq"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("op"), F.col("l_extendedprice").alias("v"))
@@ -63,7 +63,7 @@ class Inputs:
     def dranges(self, n: int = PARTS) -> DataFrame:
         """Ranges of about equal load: id, lower, upper (the next range's lower), ninserts."""
         split = ranges.split_equi_load(ranges.key_rates(self.log_l().select("k")), n)
-        near = ordered.adjacent(split, "id", ["lower"], width=1 << 20)
+        near = ordered.adjacent(split, "id", ["lower"])
         return near.select("id", "lower", F.coalesce(F.col("next.lower"), F.col("upper")).alias("upper"), "keys", "ninserts")
 
     def replicas(self) -> DataFrame:
