@@ -89,6 +89,65 @@ def bloom_hash(data: bytes) -> int:
     return murmur_like(data, 0xBC9F1D34)
 
 
+# Fixed value: a large prime below 2 ** 64.
+PRIME64 = 18446744073709551557
+
+
+def mul_hash_many(values: np.ndarray) -> np.ndarray:
+    """The integer times a large prime, modulo 2 ** 64."""
+    return values.astype(np.int64).view(np.uint64) * np.uint64(PRIME64)
+
+
+def one_at_a_time(data: bytes) -> int:
+    """Jenkins' 32-bit hash, a byte at a time."""
+    h = 0
+    for b in data:
+        h = (h + b) * 1025 & 0xFFFFFFFF
+        h ^= h >> 6
+    h = h * 9 & 0xFFFFFFFF
+    h ^= h >> 11
+    return h * 32769 & 0xFFFFFFFF
+
+
+def murmur3(data: bytes, seed: int = 0) -> int:
+    """The public 32-bit hash, version 3."""
+    # Multipliers and rotations of this hash.
+    c1, c2 = 0xCC9E2D51, 0x1B873593
+    turn = lambda x, r: (x << r | x >> 32 - r) & 0xFFFFFFFF
+    h = seed
+    for i in range(0, len(data), 4):
+        k = turn(int.from_bytes(data[i : i + 4], "little") * c1 & 0xFFFFFFFF, 15) * c2 & 0xFFFFFFFF
+        h ^= k
+        if i + 4 <= len(data):
+            h = (turn(h, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def mul_hash(column: Column) -> Column:
+    """The 64 bits of mul_hash_many() of a bigint column, as a bigint."""
+
+    @F.pandas_udf("bigint")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(mul_hash_many(values.to_numpy()).view(np.int64))
+
+    return run(column)
+
+
+def text_hash(column: Column, kind: str = "murmur3") -> Column:
+    """murmur3 or one_at_a_time of a string column's UTF-8; null for null.  Distinct values of a batch are hashed once."""
+    of = {"murmur3": murmur3, "one_at_a_time": one_at_a_time}[kind]
+
+    @F.pandas_udf("bigint")
+    def run(values: pd.Series) -> pd.Series:
+        known = {v: of(v.encode()) for v in values.dropna().unique()}
+        return values.map(known).astype("Int64")
+
+    return run(column)
+
+
 def crc32c(column: Column) -> Column:
     """crc32c of a binary column; null for null."""
 

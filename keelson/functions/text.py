@@ -116,3 +116,19 @@ def parse_key_text(text: Column) -> Column:
 
 def is_true(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("true", "1", "yes")
+
+
+def split_fields(text: Column, delimiter: str) -> Column:
+    """The parts between delimiters; an empty part at the end is none."""
+    parts = F.split(text, "\\Q" + delimiter + "\\E", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def split_ints(text: Column, delimiter: str) -> Column:
+    return F.transform(split_fields(text, delimiter), lambda x: x.cast("int"))
+
+
+def name_params(name: Column, names: list[str], delimiter: str = "-") -> list[Column]:
+    """Columns for the parameters that a directory name states in order; null beyond its end."""
+    parts = split_fields(name, delimiter)
+    return [F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]

@@ -26,10 +26,20 @@ def level_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("level").agg(F.count("*").alias("files"), F.sum("file_size").cast("bigint").alias("bytes"), F.min("lo").alias("smallest"), F.max("hi").alias("largest"))
 
 
-def level_scores(files: DataFrame, trigger: int) -> DataFrame:
-    """Per level its score, bytes over trigger * 3.2^level; the highest wants compaction first."""
-    stats = files.groupBy("level").agg(F.sum("file_size").cast("bigint").alias("bytes"))
-    return stats.withColumn("score", F.col("bytes") / (F.lit(float(trigger)) * F.pow(F.lit(LEVEL_FACTOR), F.col("level"))))
+#: The score of a first level with too many files: above any other.
+URGENT = 99999.0
+
+
+def level_scores(files: DataFrame, trigger: int, l0_files: int | None = None) -> DataFrame:
+    """Per level its score, bytes over trigger * 3.2^level; the highest wants compaction first.
+
+    With `l0_files`, a first level of more files than that is urgent whatever its bytes.
+    """
+    stats = files.groupBy("level").agg(F.sum("file_size").cast("bigint").alias("bytes"), F.count("*").alias("_n"))
+    score = F.col("bytes") / (F.lit(float(trigger)) * F.pow(F.lit(LEVEL_FACTOR), F.col("level")))
+    if l0_files is not None:
+        score = F.when((F.col("level") == 0) & (F.col("_n") > l0_files), F.lit(URGENT)).otherwise(score)
+    return stats.withColumn("score", score).drop("_n")
 
 
 def size_histogram(files: DataFrame) -> DataFrame:
@@ -89,6 +99,58 @@ def disjoint_sets(files: DataFrame, level: int, parallelism: int) -> DataFrame:
     return sets.where("upper_files > 0").orderBy(F.desc("upper_files"), "lo").limit(parallelism).join(islands.select("lo", "hi"), "lo")
 
 
+def set_faults(sets: DataFrame, max_files: int) -> DataFrame:
+    """Faults of compaction sets (set_id, f, lo, hi): too many files, a file in two sets, sets whose key spans meet.  No row: all is well."""
+    spans = sets.groupBy("set_id").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    large = spans.where(F.col("n") > max_files).select(F.lit("too many files").alias("fault"), F.col("set_id").cast("bigint").alias("a"), F.col("n").alias("b"))
+    twice = sets.groupBy("f").agg(F.count_distinct("set_id").alias("n")).where("n > 1").select(F.lit("file in two sets").alias("fault"), F.col("f").cast("bigint").alias("a"), F.col("n").alias("b"))
+    meet = ranges.overlap_pairs(spans, "set_id").select(F.lit("sets meet").alias("fault"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    return large.unionByName(twice).unionByName(meet)
+
+
+def cut_by_grandparents(rows: DataFrame, grandparents: DataFrame) -> DataFrame:
+    """Adds `output`: the number of the output file of rows (k) when a new one begins each time so many grandparent files lie behind.
+
+    So many is a quarter of the grandparents, from 1 to 5.  Files that end before
+    the first key do not count.
+    """
+    n = grandparents.count()
+    limit = max(1, min(5, n // 4))
+    counted = ordered.count_below(grandparents, rows, key="hi", probe="k")
+    first = counted.agg(F.min("below").alias("_0"))
+    return counted.crossJoin(F.broadcast(first)).withColumn("output", F.expr(f"(below - _0) div {limit}").cast("int")).drop("below", "_0")
+
+
+def lookup_index(log: DataFrame) -> DataFrame:
+    """Per key the file (column `file`) that holds its newest version."""
+    return log.groupBy("k").agg(F.max_by("file", "seq").alias("file"))
+
+
+def get_with_lookup_index(log: DataFrame, index: DataFrame, keys: DataFrame) -> DataFrame:
+    """Live versions of keys (k), from the one file that the index names for each."""
+    asked = keys.select("k").distinct().join(index, "k")
+    return log.join(asked, ["k", "file"], "left_semi").groupBy("k").agg(F.max_by(F.struct("seq", "op", "v"), "seq").alias("_r")).where("_r.op = 1").select("k", "_r.seq", "_r.v")
+
+
+def range_index(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """Per range (id, lower, upper; few, in order, without gaps) the files that meet it, by number: id, files.  Ranges without any have an empty list."""
+    bounds = [(r.id, r.lower) for r in parts.orderBy("lower").collect()]
+    place = lambda c: F.greatest(ordered.search(F.col(c), [b for _, b in bounds]) - 1, F.lit(0))
+    ids = F.array(*(F.lit(i) for i, _ in bounds))
+    last = parts.agg(F.max("upper").alias("_u"), F.min("lower").alias("_l"))
+    inside = files.crossJoin(F.broadcast(last)).where("lo < _u and hi >= _l")
+    hit = inside.select("f", F.explode(F.slice(ids, place("lo") + 1, place("hi") - place("lo") + 1)).alias("id"))
+    return parts.select("id").join(hit.groupBy("id").agg(F.array_sort(F.collect_list("f")).alias("files")), "id", "left").withColumn("files", F.coalesce("files", F.array().cast("array<bigint>")))
+
+
+def safe_to_flush(buffers: DataFrame) -> DataFrame:
+    """Of unflushed buffers (f, lo, hi, generation), those whose key range no buffer of an older generation meets: f, safe."""
+    age = buffers.select("f", "generation")
+    pairs = ranges.overlap_pairs(buffers).join(age.select(F.col("f").alias("a"), F.col("generation").alias("ga")), "a").join(age.select(F.col("f").alias("b"), F.col("generation").alias("gb")), "b")
+    waits = pairs.where("ga <> gb").select(F.when(F.col("ga") > F.col("gb"), F.col("a")).otherwise(F.col("b")).alias("f")).distinct()
+    return buffers.select("f").join(waits.withColumn("_w", F.lit(True)), "f", "left").select("f", F.col("_w").isNull().alias("safe"))
+
+
 @dataclass(frozen=True)
 class File:
     number: int

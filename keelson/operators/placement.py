@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workload import uniform
+
 
 def power_of_d(requests: DataFrame, queue: DataFrame, servers: int, width: int, start: Column, d: int = 2) -> DataFrame:
     """Per request the `width` least queued of d * width servers in a row from `start`: request, server, rank.
@@ -26,6 +28,20 @@ def round_robin(requests: DataFrame, number: str, servers: int, start: int = 0)
     return requests.withColumn("server", F.pmod(F.col(number) + start, F.lit(servers)).cast("int"))
 
 
+def random_server(requests: DataFrame, number: str, servers: int, seed: int = 1) -> DataFrame:
+    """Adds `server`: one drawn for each request, by a hash of its number."""
+    return requests.withColumn("server", F.floor(uniform(F.col(number), seed) * servers).cast("int"))
+
+
+def scatter(blocks: DataFrame, queue: DataFrame, servers: int, width: int, start: Column) -> DataFrame:
+    """Blocks (request, block) of files over the `width` least queued servers of each file, in groups of equal size: request, block, server."""
+    n = F.max("block").over(Window.partitionBy("request")) + 1
+    group = F.least(F.expr(f"block * {width} div _n"), F.lit(width - 1)).cast("int")
+    files = blocks.select("request", start.alias("_start")).distinct()
+    chosen = power_of_d(files, queue, servers, width, F.col("_start")).select("request", (F.col("rank") - 1).alias("_g"), "server")
+    return blocks.withColumn("_n", n).withColumn("_g", group).join(chosen, ["request", "_g"]).select("request", "block", "server")
+
+
 def log_replicas(fragments: DataFrame, servers: int, replicas: int) -> DataFrame:
     """Per fragment (id) and replica its server, round robin."""
     j = F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))

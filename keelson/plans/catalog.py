@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashes import crc32c, fnv64
-from ..functions.text import is_true, key_text, log_file_db, log_file_name, parse_key_text
-from ..operators import manifest, mvcc, ordered, placement, ranges, stats
-from ..sources import workload
+from ..functions.hashes import CASTAGNOLI, FNV_BASIS, FNV_PRIME, PRIME64, crc32c, crc_table, fnv64, mul_hash
+from ..functions.text import is_true, key_text, log_file_db, log_file_name, name_params, parse_key_text, split_fields
+from ..operators import manifest, mvcc, ordered, placement, ranges, reorg, stats
+from ..sources import logfile, resources, workload
 from . import inputs as I
 from .inputs import PARTS, SERVERS, Inputs
 
@@ -501,39 +501,257 @@ def xor_parity(i: Inputs):
     return placement.parity(o.select(F.expr("o_orderkey div 4").alias("stripe"), "pos", F.expr("cast((o_custkey * (pos + 3) + o_orderkey) % 256 as int)").alias("b")), ["stripe"])
 
 
-# Workloads and functions without a SQL twin.
+# Range management.
 
+#: Loads that differ from fragment to fragment.
+_LOADS = f"{I.FRAGMENTS}, loads AS (SELECT id, lower, upper, count(l_orderkey) AS ninserts FROM frag LEFT JOIN lineitem ON l_orderkey >= lower AND l_orderkey < upper AND l_quantity < 5 * (id % 8) + 5 GROUP BY ALL)"
 
-@query()
+
+def _routed(i: Inputs) -> DataFrame:
+    routed = ranges.route(i.table("lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", i.fragments())
+    return routed.where(F.col("l_quantity") < 5 * (F.col("range_id") % 8) + 5)
+
+
+def _loads(i: Inputs) -> DataFrame:
+    n = _routed(i).groupBy(F.col("range_id").alias("id")).agg(F.count("*").alias("ninserts"))
+    return i.fragments().join(n, "id", "left").withColumn("ninserts", F.coalesce("ninserts", F.lit(0)))
+
+
+_DECIDE = f"""WITH {_LOADS}, r AS (SELECT *, (ninserts / (SELECT sum(ninserts) FROM loads) * {PARTS} - 1) * 100 AS off, upper - lower <> 1 AS wide FROM loads),
+d AS (SELECT count(*) AS ranges, count(*) FILTER (WHERE wide AND abs(off) > 20) AS unfair, CAST(sum(ninserts) AS BIGINT) AS writes, (SELECT id FROM r WHERE wide AND off > 20 AND ninserts > 10 ORDER BY off DESC, id LIMIT 1) AS worst FROM r),
+a AS (SELECT *, CASE WHEN unfair > ranges * 0.3 AND writes >= {{0}} THEN 'major' WHEN worst IS NOT NULL THEN 'minor' ELSE 'none' END AS action FROM d)
+SELECT action, CASE WHEN action = 'minor' THEN CAST(worst AS INTEGER) END AS id, unfair, ranges, writes FROM a"""
+
+
+@query(_DECIDE.format(1000))
+def reorg_major(i: Inputs):
+    return reorg.decide(_loads(i), PARTS, 10, 1000)
+
+
+@query(_DECIDE.format(10**12))
+def reorg_minor(i: Inputs):
+    return reorg.decide(_loads(i), PARTS, 10, 10**12)
+
+
+_POINTS = "points AS (SELECT CAST(floor(sqrt(user_id % 100)) AS INTEGER) AS id, CAST(floor(sqrt(user_id % 100)) AS BIGINT) AS lower, CAST(floor(sqrt(user_id % 100)) AS BIGINT) + 1 AS upper, count(*) AS ninserts FROM events GROUP BY ALL)"
+
+
+@query(f"WITH {_POINTS}, c AS (SELECT *, CASE WHEN ninserts / (SELECT sum(ninserts) FROM points) * {PARTS} > 1.5 THEN CAST(floor(ninserts / (SELECT sum(ninserts) FROM points) * {PARTS}) AS INTEGER) ELSE 1 END AS copies FROM points) SELECT id, CAST(j AS INTEGER) AS copy, copies, lower, upper, round(ninserts / copies, 6) AS ninserts FROM c, range({PARTS}) r(j) WHERE j < copies")
+def duplicates_created(i: Inputs):
+    k = F.floor(F.sqrt(F.col("user_id") % 100)).cast("bigint")
+    points = i.table("events").groupBy(k.alias("lower")).agg(F.count("*").alias("ninserts")).select(F.col("lower").cast("int").alias("id"), "lower", (F.col("lower") + 1).alias("upper"), "ninserts")
+    return reorg.create_duplicates(points, PARTS).withColumn("ninserts", F.round("ninserts", 6))
+
+
+@query(
+    f"""WITH c AS (SELECT CAST(o_orderkey % 6 AS INTEGER) AS id, CAST(o_custkey % 4 AS INTEGER) AS copy, count(*) FILTER (WHERE o_orderkey % 11 < o_custkey % 4 * 4) AS ninserts FROM orders GROUP BY 1, 2),
+r AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, ninserts / (SELECT sum(ninserts) FROM c) * {PARTS} AS fair, row_number() OVER (PARTITION BY id ORDER BY ninserts DESC, copy) AS rank FROM c), s AS (SELECT *, n = 1 OR fair >= 0.5 OR rank = 1 AS stay FROM r),
+t AS (SELECT *, coalesce(sum(ninserts) FILTER (WHERE NOT stay) OVER (PARTITION BY id), 0) / count(*) FILTER (WHERE stay) OVER (PARTITION BY id) AS more FROM s)
+SELECT id, copy, CAST(id AS BIGINT) AS lower, CAST(id + 1 AS BIGINT) AS upper, round(ninserts + more, 6) AS ninserts FROM t WHERE stay"""
+)
+def duplicates_destroyed(i: Inputs):
+    o = i.table("orders").groupBy((F.col("o_orderkey") % 6).cast("int").alias("id"), (F.col("o_custkey") % 4).cast("int").alias("copy")).agg(F.count_if(F.col("o_orderkey") % 11 < F.col("o_custkey") % 4 * 4).alias("ninserts"))
+    copies = o.withColumns({"lower": F.col("id").cast("bigint"), "upper": (F.col("id") + 1).cast("bigint")})
+    return reorg.destroy_duplicates(copies, PARTS).withColumn("ninserts", F.round("ninserts", 6))
+
+
+_TINY = f"""{_LOADS}, kr AS (SELECT id AS range_id, l_orderkey AS k, count(*) AS rate FROM frag JOIN lineitem ON l_orderkey >= lower AND l_orderkey < upper AND l_quantity < 5 * (id % 8) + 5 GROUP BY 1, 2),
+tc AS (SELECT kr.*, CAST(sum(rate) OVER (PARTITION BY range_id ORDER BY k) - rate AS BIGINT) AS cum, ninserts FROM kr JOIN loads ON loads.id = range_id),
+tiny AS (SELECT range_id, CAST(least(cum * 8 // greatest(ninserts, 1), 7) AS INTEGER) AS tiny, min(k) AS lower, max(k) + 1 AS upper, CAST(sum(rate) AS BIGINT) AS ninserts FROM tc GROUP BY 1, 2)"""
+
+
+def _tiny(i: Inputs) -> DataFrame:
+    rates = _routed(i).groupBy("range_id", F.col("l_orderkey").alias("k")).agg(F.count("*").alias("rate"))
+    return reorg.split_tiny(rates, _loads(i), 8)
+
+
+@query(f"WITH {_TINY} SELECT * FROM tiny")
+def tiny_ranges(i: Inputs):
+    return _tiny(i)
+
+
+@query(
+    f"""WITH {_TINY}, nb AS (SELECT id, ninserts AS own, lag(ninserts) OVER (ORDER BY id) AS l, lead(ninserts) OVER (ORDER BY id) AS r, greatest(ninserts - sum(ninserts) OVER () / {PARTS}, 0) AS surplus FROM loads),
+g AS (SELECT tiny.*, own, surplus, greatest(coalesce(least((own - l) / 2, surplus), 0), 0) AS gl, greatest(coalesce(least((own - r) / 2, surplus), 0), 0) AS gr, sum(ninserts) OVER (ORDER BY tiny) AS cl, sum(ninserts) OVER (ORDER BY tiny DESC) AS cr FROM tiny JOIN nb ON nb.id = range_id WHERE range_id = 7),
+h AS (SELECT *, cl <= gl AS goes, coalesce(sum(ninserts) FILTER (WHERE cl <= gl) OVER (), 0) AS gone FROM g)
+SELECT range_id, tiny, CASE WHEN goes THEN 6 WHEN cr <= gr AND cr <= surplus - gone THEN 8 ELSE 7 END AS to_range FROM h"""
+)
+def tiny_ranges_pushed(i: Inputs):
+    return reorg.push_tiny(_loads(i), _tiny(i), 7, PARTS)
+
+
+@query(
+    f"""WITH {_LOADS}, e AS (SELECT min(l_orderkey - 50) AS lo, max(l_orderkey * 2) + 1 AS hi FROM lineitem),
+w AS (SELECT id, CASE WHEN id = 0 THEN least(lower, lo) ELSE lower END AS lower, CASE WHEN id = {PARTS - 1} THEN greatest(upper, hi) ELSE upper END AS upper, row_number() OVER (ORDER BY ninserts DESC, id) AS rank FROM loads, e),
+p AS (SELECT *, greatest(least(1 + 24 // {PARTS} + CASE WHEN rank <= 24 % {PARTS} THEN 1 ELSE 0 END, upper - lower), 1) AS p FROM w),
+x AS (SELECT lower + (upper - lower) * j // p AS lower, lower + (upper - lower) * (j + 1) // p AS upper FROM p, range(40) r(j) WHERE j < p)
+SELECT CAST(row_number() OVER (ORDER BY lower) - 1 AS INTEGER) AS id, lower, upper FROM x"""
+)
+def ranges_grown(i: Inputs):
+    keys = i.table("lineitem").select((F.col("l_orderkey") - 50).alias("k")).unionByName(i.table("lineitem").select((F.col("l_orderkey") * 2).alias("k")))
+    return reorg.grow(_loads(i), keys, 40)
+
+
+@query(f"WITH {_LOADS}, k AS (SELECT id, ninserts AS keys, ninserts <= (SELECT avg(ninserts) FROM loads) AS merges FROM loads) SELECT id, merges, CASE WHEN merges THEN CAST(sum(CAST(merges AS INTEGER)) OVER (ORDER BY id) - 1 AS INTEGER) ELSE (SELECT CAST(count(*) AS INTEGER) FROM k WHERE merges) END AS start_tid, CASE WHEN merges THEN CAST(sum(CAST(merges AS INTEGER)) OVER (ORDER BY id) - 1 AS INTEGER) ELSE 63 END AS end_tid FROM k")
+def thread_assignment(i: Inputs):
+    loads = _loads(i).select("id", F.col("ninserts").alias("keys"))
+    return reorg.assign_threads(loads, 64, int(loads.agg(F.floor(F.avg("keys"))).first()[0]))
+
+
+@query("WITH x AS (SELECT l_suppkey % 32 AS range_id, l_partkey AS k FROM lineitem WHERE l_partkey % (l_suppkey % 32 + 1) = 0), s AS (SELECT range_id, count(*) AS records, count(DISTINCT k) AS keys FROM x GROUP BY 1) SELECT *, CASE WHEN keys <= 20 THEN 'merge' ELSE 'flush' END AS action FROM s")
+def buffers_merged(i: Inputs):
+    x = i.table("lineitem").select((F.col("l_suppkey") % 32).alias("range_id"), F.col("l_partkey").alias("k")).where("k % (range_id + 1) = 0")
+    return reorg.merge_or_flush(x, 20)
+
+
+@query(f"WITH {I.FILES_O}, b AS (SELECT f, lo, hi, f // 10 % 5 AS generation FROM files_o) SELECT f, NOT EXISTS (SELECT 1 FROM b o WHERE o.generation < b.generation AND o.lo <= b.hi AND b.lo <= o.hi) AS safe FROM b")
+def flush_order(i: Inputs):
+    return manifest.safe_to_flush(i.files_o().select("f", "lo", "hi", F.expr("f div 10 % 5").alias("generation")))
+
+
+@query(f"WITH {I.FILES_O}, {I.FRAGMENTS} SELECT id, f FROM frag JOIN files_o ON lo < upper AND hi >= lower")
+def range_file_index(i: Inputs):
+    return manifest.range_index(i.fragments(), i.files_o()).select("id", F.explode("files").alias("f"))
+
+
+@query(f"WITH {I.LATEST} SELECT k, seq // 1000 AS file FROM latest")
+def kv_lookup_index(i: Inputs):
+    return manifest.lookup_index(i.log_e().withColumn("file", F.expr("seq div 1000")))
+
+
+@query(f"WITH {I.LATEST} SELECT k, seq, v FROM cur WHERE k IN (SELECT c_custkey FROM customer)")
+def kv_get_by_lookup_index(i: Inputs):
+    log = i.log_e().withColumn("file", F.expr("seq div 1000"))
+    return manifest.get_with_lookup_index(log, manifest.lookup_index(log), i.table("customer").select(F.col("c_custkey").alias("k")))
+
+
+_SETS = "sets AS (SELECT f // 400 AS set_id, f, lo, hi FROM files_o UNION ALL SELECT f // 400 + 1, f, lo, hi FROM files_o WHERE f % 700 = 0)"
+
+
+@query(
+    f"""WITH {I.FILES_O}, {_SETS}, spans AS (SELECT set_id, count(*) AS n, min(lo) AS lo, max(hi) AS hi FROM sets GROUP BY 1)
+SELECT 'too many files' AS fault, set_id AS a, n AS b FROM spans WHERE n > 40 UNION ALL SELECT 'file in two sets', f, count(DISTINCT set_id) FROM sets GROUP BY f HAVING count(DISTINCT set_id) > 1
+UNION ALL SELECT 'sets meet', x.set_id, y.set_id FROM spans x JOIN spans y ON x.set_id < y.set_id AND x.lo <= y.hi AND y.lo <= x.hi"""
+)
+def set_faults(i: Inputs):
+    files = i.files_o().select(F.expr("f div 400").alias("set_id"), "f", "lo", "hi")
+    return manifest.set_faults(files.unionByName(files.where("f % 700 = 0").withColumn("set_id", F.col("set_id") + 1)), 40)
+
+
+@query(f"WITH {I.FILES_META}, g AS (SELECT hi FROM files_meta WHERE level = 2), b AS (SELECT o_orderkey AS k, (SELECT count(*) FROM g WHERE hi < o_orderkey) AS below FROM orders), o AS (SELECT k, CAST((below - (SELECT min(below) FROM b)) // greatest(1, least(5, (SELECT count(*) FROM g) // 4)) AS INTEGER) AS output FROM b) SELECT output, count(*) AS rows, min(k) AS lo, max(k) AS hi FROM o GROUP BY 1")
+def compaction_split_by_grandparents(i: Inputs):
+    cut = manifest.cut_by_grandparents(i.table("orders").select(F.col("o_orderkey").alias("k")), i.files_meta().where("level = 2").select("hi"))
+    return cut.groupBy("output").agg(F.count("*").alias("rows"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+
+
+@query(f"WITH {I.FILES_META} SELECT level, CAST(sum(file_size) AS BIGINT) AS bytes, round(CASE WHEN level = 0 AND count(*) > 30 THEN 99999 ELSE sum(file_size) / (268435456.0 * pow(3.2, level)) END, 8) AS score FROM files_meta GROUP BY 1")
+def level_scores_by_count(i: Inputs):
+    return manifest.level_scores(i.files_meta(), 256 << 20, 30).withColumn("score", F.round("score", 8))
+
+
+@query("WITH r AS (SELECT user_id AS log, event_id AS pos, CASE WHEN event_id % 97 = 13 THEN 0 ELSE 1 END AS marker, event_id AS seq FROM events) SELECT log, count(*) AS records, max(seq) AS last_seq FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.log = r.log AND x.marker <> 1 AND x.pos <= r.pos) GROUP BY 1")
+def log_replay(i: Inputs):
+    records = i.table("events").select(F.col("user_id").alias("log"), F.col("event_id").alias("pos"), F.when(F.col("event_id") % 97 == 13, 0).otherwise(1).alias("marker"), F.col("event_id").alias("seq"))
+    return logfile.replay(records).groupBy("log").agg(F.count("*").alias("records"), F.max("seq").alias("last_seq"))
+
+
+# Placement by draw, logs of resources and experiments.
+
+_U = "(CAST('0x' || substr(md5(CAST({0} AS VARCHAR) || ' 1'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+@query(f"SELECT o_orderkey, CAST(floor({_U.format('o_orderkey')} * {SERVERS}) AS INTEGER) AS server FROM orders")
+def place_random(i: Inputs):
+    return placement.random_server(i.table("orders").select("o_orderkey"), "o_orderkey", SERVERS)
+
+
+@query(
+    f"""WITH {I.QUEUE}, c AS (SELECT o_orderkey AS request, CAST((o_custkey + j) % {SERVERS} AS INTEGER) AS server FROM orders, range(6) r(j)),
+r AS (SELECT request, c.server, row_number() OVER (PARTITION BY request ORDER BY depth, c.server) AS rank FROM c JOIN queue USING (server)) SELECT request, CAST(b AS INTEGER) AS block, server FROM r, range(7) x(b) WHERE b * 3 // 7 = rank - 1"""
+)
+def scatter_blocks(i: Inputs):
+    blocks = i.table("orders").select(F.col("o_orderkey").alias("request"), "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("block"))
+    return placement.scatter(blocks, i.queue(), SERVERS, 3, F.col("o_custkey"))
+
+
+@query("SELECT s_nationkey AS node, sample, c AS name, round(CASE c WHEN 'key' THEN s_suppkey ELSE s_suppkey * 1000 * 8192 / 56e9 END, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS sample FROM supplier) s, (VALUES ('key'), ('[IB]InGbps')) v(c)")
+def resource_samples(i: Inputs):
+    s = i.table("supplier").select(F.col("s_nationkey").alias("node"), "s_suppkey")
+    titles = s.select("node").distinct().select("node", F.posexplode(F.array(F.lit("title"), F.lit("key [IB]InKB"))).alias("n", "line"))
+    lines = s.select("node", (F.row_number().over(Window.partitionBy("node").orderBy("s_suppkey")) + 1).alias("n"), F.concat_ws(" ", "s_suppkey", F.col("s_suppkey") * 1000).alias("line"))
+    return resources.samples(titles.unionByName(lines)).select("node", F.col("sample").cast("bigint").alias("sample"), "name", F.round("value", 9).alias("value"))
+
+
+@query("WITH x AS (SELECT string_split(o_orderstatus || '-' || o_orderpriority || '-', '-') AS p, o_totalprice FROM orders) SELECT p[1] AS status, p[2] AS rank, count(*) AS runs, round(avg(o_totalprice), 4) AS mean FROM x GROUP BY 1, 2")
+def experiment_params(i: Inputs):
+    o = i.table("orders").withColumn("name", F.concat("o_orderstatus", F.lit("-"), "o_orderpriority", F.lit("-")))
+    return o.select(*name_params(F.col("name"), ["status", "rank"]), "o_totalprice").groupBy("status", "rank").agg(F.count("*").alias("runs"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS parts, CAST(p_partkey AS VARCHAR) AS first_part, CASE WHEN p_partkey % 2 = 0 THEN 'end' ELSE '' END AS last_part FROM part")
+def fields_split(i: Inputs):
+    text = F.concat(F.col("p_partkey").cast("string"), F.lit(".."), F.lit(".."), F.when(F.col("p_partkey") % 2 == 0, "end").otherwise(""))
+    parts = i.table("part").select("p_partkey", split_fields(text, "..").alias("x"))
+    return parts.select("p_partkey", F.size("x").alias("parts"), F.element_at("x", 1).alias("first_part"), F.element_at("x", -1).alias("last_part"))
+
+
+# Workloads and hashes.
+
+_ZIPF = workload.zeta(1000, 0.99)
+_ETA = (1 - (2 / 1000) ** 0.01) / (1 - workload.zeta(2, 0.99) / _ZIPF)
+_DRAWN = f"u AS (SELECT i, {_U.format('i')} AS u FROM range(20000) r(i)), z AS (SELECT i, CASE WHEN u * {_ZIPF!r}::DOUBLE < 1 THEN 0 WHEN u * {_ZIPF!r}::DOUBLE < {1 + 0.5**0.99!r}::DOUBLE THEN 1 ELSE CAST(floor(1000 * pow({_ETA!r}::DOUBLE * u - {_ETA!r}::DOUBLE + 1, {1 / (1 - 0.99)!r}::DOUBLE)) AS BIGINT) END AS k FROM u)"
+_FNV = "list_reduce(list_prepend(CAST({basis} AS HUGEINT), list_transform(range(8), lambda x: CAST(({0} >> (8 * x)) & 255 AS HUGEINT))), lambda h, b: (xor(h, b) * {prime}) % 18446744073709551616)".replace("{basis}", str(FNV_BASIS)).replace("{prime}", str(FNV_PRIME))
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN {0} - 18446744073709551616 ELSE {0} END AS BIGINT)"
+
+
+@query(f"WITH {_DRAWN} SELECT CAST(k AS BIGINT) AS k, count(*) AS n FROM z GROUP BY 1")
 def zipf_keys(i: Inputs):
     return workload.zipf_keys(i.spark, 20_000, 1000).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_DRAWN} SELECT CAST({_FNV.format('k')} % 1000 AS BIGINT) AS k, count(*) AS n FROM z GROUP BY 1")
 def scrambled_zipf_keys(i: Inputs):
     return workload.scrambled_zipf_keys(i.spark, 20_000, 1000).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_DRAWN} SELECT CAST(1000 - k AS BIGINT) AS k, count(*) AS n FROM z GROUP BY 1")
 def latest_keys(i: Inputs):
     return workload.latest_keys(i.spark, 20_000, 1000).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {_DRAWN} SELECT CAST(5 + floor(u * 10) AS BIGINT) AS k, count(*) AS n FROM u GROUP BY 1")
 def uniform_keys(i: Inputs):
     return workload.uniform_keys(i.spark, 20_000, 5, 14).groupBy("k").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT i AS id, i + 7 AS k FROM range(500) r(i)")
+def counter_keys(i: Inputs):
+    return workload.counter_keys(i.spark, 500, 7)
+
+
+@query(f"WITH {_DRAWN} SELECT CASE WHEN u < 0.5 THEN 'read' WHEN u < 0.75 THEN 'update' ELSE 'scan' END AS op, count(*) AS n FROM u GROUP BY 1")
+def discrete_ops(i: Inputs):
+    op = workload.discrete(workload.uniform(F.col("id")), {"read": 2, "update": 1, "scan": 1})
+    return i.spark.range(20_000).groupBy(op.alias("op")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, list_extract([{', '.join(map(str, crc_table(CASTAGNOLI)))}]::BIGINT[], CAST(xor(c, b) & 255 AS INTEGER) + 1))), 4294967295::BIGINT) AS crc FROM customer"
+)
 def crc32c_checksums(i: Inputs):
     return i.table("customer").select("c_custkey", crc32c(F.col("c_name").cast("binary")).alias("crc"))
 
 
-@query()
+@query(f"WITH h AS (SELECT o_orderkey, {_FNV.format('o_orderkey')} AS h FROM orders) SELECT o_orderkey, {_SIGNED.format('h')} AS h FROM h")
 def fnv64_hashes(i: Inputs):
     return i.table("orders").select("o_orderkey", fnv64(F.col("o_orderkey")).alias("h"))
 
 
+@query(f"WITH h AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * {PRIME64} % 18446744073709551616 AS h FROM orders) SELECT o_orderkey, {_SIGNED.format('h')} AS h FROM h")
+def mul_hashes(i: Inputs):
+    return i.table("orders").select("o_orderkey", mul_hash(F.col("o_orderkey")).alias("h"))
+
+
 @query()
 def bloom_false_positives(i: Inputs):
     """Per bucket of customers a Bloom filter of their names, probed with all names of the bucket and as many others."""
@@ -558,7 +776,11 @@ def _folder(i: Inputs) -> str:
     import tempfile
     import uuid
 
-    shared = i.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keelson-")
+    shared = i.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not i.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="keelson-")
     return f"{shared}/store-{uuid.uuid4().hex}"
 
 

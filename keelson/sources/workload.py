@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashes import fnv64
-from ..operators.ranges import search
+from ..operators.ordered import search
 
 
 def load_value(key: Column, size: int) -> Column:
@@ -44,10 +44,13 @@ def zipfian(u: Column, items: int, theta: float = 0.99, base: int = 0) -> Column
     return F.when(uz < 1, F.lit(0)).when(uz < 1 + 0.5**theta, F.lit(1)).otherwise(F.lit(base) + F.floor(F.lit(items) * F.pow(F.lit(eta) * u - eta + 1, F.lit(alpha)))).cast("bigint")
 
 
+def uniform(draw: Column, seed: int = 1) -> Column:
+    """A number in [0, 1) for each draw: 52 bits of a hash, so that it does not depend on how rows are dealt out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", draw.cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
 def zipf_keys(spark: SparkSession, n: int, items: int, theta: float = 0.99, seed: int = 1) -> DataFrame:
-    # A column of its own, since an expression that uses rand() twice draws twice.
-    drawn = spark.range(n).withColumn("u", F.rand(seed))
-    return drawn.select("id", zipfian(F.col("u"), items, theta).alias("k"))
+    return spark.range(n).withColumn("u", uniform(F.col("id"), seed)).select("id", zipfian(F.col("u"), items, theta).alias("k"))
 
 
 def scrambled_zipf_keys(spark: SparkSession, n: int, items: int, theta: float = 0.99, seed: int = 1) -> DataFrame:
@@ -62,7 +65,7 @@ def latest_keys(spark: SparkSession, n: int, last: int, theta: float = 0.99, see
 
 def uniform_keys(spark: SparkSession, n: int, lower: int, upper: int, seed: int = 1) -> DataFrame:
     """Keys in [lower, upper], all as likely."""
-    return spark.range(n).select("id", (F.lit(lower) + F.floor(F.rand(seed) * (upper - lower + 1))).cast("bigint").alias("k"))
+    return spark.range(n).select("id", (F.lit(lower) + F.floor(uniform(F.col("id"), seed) * (upper - lower + 1))).cast("bigint").alias("k"))
 
 
 def counter_keys(spark: SparkSession, n: int, start: int = 0) -> DataFrame:

@@ -6,8 +6,8 @@ makes commits atomic and conflicts visible; files without an entry are never
 read.  Readers fold the manifest into a list of files, drop those whose key
 bounds can't match, and reduce what is left to the newest versions.
 
-The manifest has one small entry a commit; its fold runs on the driver and holds
-metadata alone.
+The manifest has one small entry a commit, and its fold every few; both are read
+on the driver and hold metadata alone.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from .operators import mvcc, ordered
 from .schema import DELETION, VALUE, log_schema
 
 
+#: So many manifest entries have one fold that spares reading them.
+CHECKPOINT = 16
+
+
 class StoreError(Exception):
     """The store can't do what was asked."""
 
@@ -83,6 +87,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
         self._snapshots: set[Snapshot] = set()
+        self._staging: str | None = None
         jvm = spark._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -106,15 +111,16 @@ class Store:
             stream.close()
 
     def version(self, number: int | None = None) -> Version:
-        """The fold of all manifest entries, or of those up to a number."""
+        """The fold of all manifest entries, or of those up to a number: from the last checkpoint on."""
+        names = {s.getPath().getName(): s.getPath() for s in self._fs.listStatus(self._Path(f"{self.path}/manifest"))}
+        wanted = lambda ending: sorted((int(n.removesuffix(ending)), p) for n, p in names.items() if n.endswith(ending) and (number is None or int(n.removesuffix(ending)) <= number))
         out = Version()
-        entries = sorted((s.getPath() for s in self._fs.listStatus(self._Path(f"{self.path}/manifest"))), key=lambda p: p.getName())
-        for p in entries:
-            if not p.getName().endswith(".json"):
+        for n, p in wanted(".fold")[-1:]:
+            kept = json.loads(self._read(p))
+            out = Version(n, kept["last_seq"], {f["number"]: f for f in kept["files"]}, kept["next_file"], kept["batches"], kept["meta"])
+        for n, p in wanted(".json"):
+            if n <= out.number:
                 continue
-            n = int(p.getName().removesuffix(".json"))
-            if number is not None and n > number:
-                break
             edit = json.loads(self._read(p))
             for f in edit["remove"]:
                 out.files.pop(f, None)
@@ -127,28 +133,38 @@ class Store:
                 out.batches[edit["batch"][0]] = edit["batch"][1]
         return out
 
-    def _commit(self, base: Version, edit: dict) -> None:
-        """Create entry `base.number` + 1; whoever comes second fails."""
-        edit = edit | {"at": time.time()}
-        path = self._Path(f"{self.path}/manifest/{base.number + 1:012d}.json")
-        try:
-            stream = self._fs.create(path, False)
-        except Exception as e:
-            raise CommitConflict(f"version {base.number + 1} is there already") from e
+    def _put_file(self, name: str, content: dict) -> None:
+        """Create a manifest file; an error if it is there."""
+        stream = self._fs.create(self._Path(f"{self.path}/manifest/{name}"), False)
         try:
-            stream.write(bytearray(json.dumps(edit).encode()))
+            stream.write(bytearray(json.dumps(content).encode()))
         finally:
             stream.close()
 
-    def _write_files(self, rows: DataFrame, level: int, first: int) -> list[dict]:
-        """Write sorted files and describe each: path, rows, bounds, bytes."""
+    def _commit(self, base: Version, edit: dict) -> None:
+        """Create entry `base.number` + 1; whoever comes second fails.  Each `CHECKPOINT` entries the fold is kept, too."""
+        number = base.number + 1
+        try:
+            self._put_file(f"{number:012d}.json", edit | {"at": time.time()})
+        except Exception as e:
+            raise CommitConflict(f"version {number} is there already") from e
+        if number % CHECKPOINT == 0:
+            v = self.version(number)
+            try:
+                self._put_file(f"{number:012d}.fold", {"last_seq": v.last_seq, "next_file": v.next_file, "files": list(v.files.values()), "batches": v.batches, "meta": v.meta})
+            except Exception:  # noqa: S110  another writer has kept it, or a later one will: the entries say it all
+                pass
+
+    def _write_files(self, rows: DataFrame, level: int, first: int, by: str | None = None) -> list[dict]:
+        """Write sorted files, with `by` none for two of its values, and describe each: path, rows, bounds, bytes."""
         folder = f"{self.path}/data/L{level}/{uuid.uuid4().hex}"
         writer = rows.write.option("compression", self.options.compression)
         if self.options.bloom_keys:
             writer = writer.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.expected.ndv#k", str(self.options.bloom_keys))
-        writer.parquet(folder)
-        back = self.spark.read.schema(self.schema).parquet(folder)
-        per = back.groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("seq").alias("s0"), F.max("seq").alias("s1"))
+        (writer.partitionBy(by) if by else writer).parquet(folder)
+        back = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(folder)
+        within = F.substring_index("_metadata.file_path", folder.rsplit("/", 1)[1] + "/", -1)
+        per = back.groupBy(within.alias("name"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("seq").alias("s0"), F.max("seq").alias("s1"))
         plain = lambda v: v.hex() if isinstance(v, bytes | bytearray) else str(v) if not isinstance(v, int | str | float) else v
         return [{"number": first + i, "level": level, "path": f"{folder}/{r.name}", "size": r["size"], "rows": r.n, "smallest": plain(bytes(r.lo) if isinstance(r.lo, bytearray) else r.lo), "largest": plain(bytes(r.hi) if isinstance(r.hi, bytearray) else r.hi), "min_seq": r.s0, "max_seq": r.s1} for i, r in enumerate(sorted(per.collect(), key=lambda r: r.name))]
 
@@ -176,14 +192,33 @@ class Store:
 
     def put(self, rows: DataFrame, order: str | None = None) -> int:
         """Put records (k, v); without `order` each key comes once, or any of its values wins."""
-        return self.write(self._ordered(rows.withColumn("op", F.lit(VALUE)), order))
+        try:
+            return self.write(self._ordered(rows.withColumn("op", F.lit(VALUE)), order))
+        finally:
+            self._drop_staging()
 
     def delete(self, keys: DataFrame) -> int:
         """Write a deletion for each key (k); deleting a key that isn't there is no error."""
-        return self.write(self._ordered(keys.select("k", F.lit(None).cast(self.schema["v"].dataType).alias("v"), F.lit(DELETION).alias("op")), None))
+        try:
+            return self.write(self._ordered(keys.select("k", F.lit(None).cast(self.schema["v"].dataType).alias("v"), F.lit(DELETION).alias("op")), None))
+        finally:
+            self._drop_staging()
 
     def _ordered(self, rows: DataFrame, order: str | None) -> DataFrame:
-        return rows.withColumn("ord", F.col(order) if order else F.monotonically_increasing_id())
+        """Rows with `ord`.  Without an order they are written down first: only then has each row a place that a lost executor does not change."""
+        if order:
+            return rows.withColumn("ord", F.col(order))
+        self._staging = folder = f"{self.path}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._Path(folder)) if s.getPath().getName().endswith(".parquet"))
+        at = self.spark.createDataFrame(list(enumerate(names)), "_file bigint, _name string")
+        back = self.spark.read.schema(rows.schema).parquet(folder).select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+        return back.join(F.broadcast(at), "_name").withColumn("ord", F.shiftleft("_file", 40) + F.col("_row")).drop("_name", "_file", "_row")
+
+    def _drop_staging(self) -> None:
+        if self._staging:
+            self._fs.delete(self._Path(self._staging), True)
+            self._staging = None
 
     def flush(self) -> int:
         """Every commit is on files at once: nothing is outstanding."""
@@ -258,12 +293,13 @@ class Store:
         """The oldest sequence number that a snapshot may read."""
         return min([s.seq for s in self._snapshots], default=self.version().last_seq)
 
-    def compact(self, lower=None, upper=None, into: int = 1, partitions: int | None = None, retain_seq: int | None = None) -> int:
+    def compact(self, lower=None, upper=None, into: int = 1, partitions: int | None = None, retain_seq: int | None = None, rewrite: bool = True, cuts: list | None = None) -> int:
         """Merge the files that meet [lower, upper] and all they meet, up to level `into`, into sorted files there.
 
         Versions that no snapshot reads go; so do deletions, where no deeper level
-        has files that meet.  Files of keys apart from all others move without
-        being rewritten.  Returns the number of files it wrote or moved.
+        has files that meet.  Without `rewrite`, a file that meets no other moves as
+        it is, with all its versions.  No output file crosses any key of `cuts`.
+        Returns the number of files it wrote or moved.
         """
         base = self.version()
         files = [f for f in base.files.values() if f["level"] <= into]
@@ -277,7 +313,7 @@ class Store:
             if not more:
                 break
             chosen += more
-        if len(chosen) == 1 and chosen[0]["level"] < into and chosen[0]["min_seq"] == chosen[0]["max_seq"]:
+        if len(chosen) == 1 and chosen[0]["level"] < into and (not rewrite or chosen[0]["min_seq"] == chosen[0]["max_seq"]) and not any(bounds(chosen[0])[0] < c <= bounds(chosen[0])[1] for c in cuts or ()):
             self._commit(base, {"add": [chosen[0] | {"level": into}], "remove": [chosen[0]["number"]], "last_seq": base.last_seq})
             return 1
         deeper = any(f["level"] > into and bounds(f)[1] >= lo and bounds(f)[0] <= hi for f in base.files.values())
@@ -285,7 +321,9 @@ class Store:
         rows = self.spark.read.schema(self.schema).parquet(*(f["path"] for f in chosen))
         kept = mvcc.survivors(rows, retain) if deeper else mvcc.base_survivors(rows, retain)
         kept = kept.repartitionByRange(partitions, "k") if partitions else kept.repartitionByRange("k")
-        add = self._write_files(kept.sortWithinPartitions("k", F.desc("seq")), into, base.next_file)
+        if cuts:
+            kept = kept.withColumn("cut", ordered.search(F.col("k"), sorted(cuts)))
+        add = self._write_files(kept.sortWithinPartitions("k", F.desc("seq")), into, base.next_file, by="cut" if cuts else None)
         self._commit(base, {"add": add, "remove": [f["number"] for f in chosen], "last_seq": base.last_seq})
         return len(add)
 
@@ -321,7 +359,7 @@ class Store:
     def vacuum(self, keep_versions: int = 1) -> int:
         """Delete data folders that the last `keep_versions` versions do not name; returns how many."""
         last = self.version().number
-        live = {f["path"].rsplit("/", 1)[0].rsplit("/", 1)[1] for n in range(max(1, last - keep_versions + 1), last + 1) for f in self.version(n).files.values()}
+        live = {f["path"].split("/data/")[1].split("/")[1] for n in range(max(1, last - keep_versions + 1), last + 1) for f in self.version(n).files.values()}
         gone, root = 0, self._Path(f"{self.path}/data")
         if self._fs.exists(root):
             for level in self._fs.listStatus(root):
@@ -331,6 +369,23 @@ class Store:
                         gone += 1
         return gone
 
+    def dump(self, number: int) -> DataFrame:
+        """All versions in one file, in order."""
+        return self.spark.read.schema(self.schema).parquet(self.version().files[number]["path"]).orderBy("k", F.desc("seq"))
+
+    def migrate(self, target: Store, lower=None, upper=None) -> int:
+        """Copy all versions of keys in [lower, upper) into `target`, with their sequence numbers, in one commit; returns the number of files.
+
+        Routing decides which of the two is asked: hand the range over there once this returns.
+        """
+        rows, base = self.log(lower, upper), target.version()
+        add = target._write_files(rows.repartitionByRange("k").sortWithinPartitions("k", F.desc("seq")), 0, base.next_file)
+        target._commit(base, {"add": add, "remove": [], "last_seq": max([base.last_seq, *(f["max_seq"] for f in add)])})
+        return len(add)
+
+    def cursor(self, snapshot: Snapshot | int | None = None, batch: int = 1000) -> Cursor:
+        return Cursor(self, snapshot if snapshot is not None else self.version().last_seq, batch)
+
     def repair(self) -> int:
         """Rebuild the manifest from the data files there are, as one version; returns the number of files.
 
@@ -359,3 +414,68 @@ class Store:
         """Delete the store; the manifest goes last."""
         for part in ("data", "manifest", ""):
             self._fs.delete(self._Path(f"{self.path}/{part}"), True)
+
+
+class Cursor:
+    """Goes over the live keys of one snapshot, forward and back; rows come in batches of bounded size."""
+
+    def __init__(self, store: Store, snapshot: Snapshot | int, batch: int):
+        self.store, self.seq, self.batch = store, store._seq(snapshot), batch
+        self.rows: list = []
+        self.at, self.forward = 0, True
+
+    def _fetch(self, key, forward: bool, inclusive: bool) -> None:
+        live = mvcc.current(self.store.log(key if forward and key is not None else None, None, self.seq))
+        if key is not None:
+            k, here = F.col("k"), F.lit(key)
+            live = live.where((k >= here if inclusive else k > here) if forward else (k <= here if inclusive else k < here))
+        self.rows = live.orderBy("k" if forward else F.desc("k")).limit(self.batch).collect()
+        self.at, self.forward = 0, forward
+
+    @property
+    def valid(self) -> bool:
+        return self.at < len(self.rows)
+
+    @property
+    def key(self):
+        return self._plain(self.rows[self.at].k)
+
+    @property
+    def value(self):
+        return self._plain(self.rows[self.at].v)
+
+    @staticmethod
+    def _plain(x):
+        return bytes(x) if isinstance(x, bytearray) else x
+
+    def seek(self, key) -> Cursor:
+        """To the first key at or after this one."""
+        self._fetch(key, True, True)
+        return self
+
+    def seek_for_prev(self, key) -> Cursor:
+        """To the last key at or before this one."""
+        self._fetch(key, False, True)
+        return self
+
+    def seek_to_first(self) -> Cursor:
+        self._fetch(None, True, True)
+        return self
+
+    def seek_to_last(self) -> Cursor:
+        self._fetch(None, False, True)
+        return self
+
+    def _step(self, forward: bool) -> Cursor:
+        here = self.key
+        if forward == self.forward and self.at + 1 < len(self.rows):
+            self.at += 1
+        else:
+            self._fetch(here, forward, False)
+        return self
+
+    def next(self) -> Cursor:
+        return self._step(True)
+
+    def prev(self) -> Cursor:
+        return self._step(False)

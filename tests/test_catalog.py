@@ -35,7 +35,7 @@ def test_bloom_false_positives(spark, data):
 def test_adaptive_ranges_carry_all_load(spark, data):
     rows = sorted(catalog.queries()["construct_ranges"](spark, data).collect())
     keys = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey").distinct().count()
-    assert keys <= 10_000 and sum(r.rate for r in rows) == spark.read.parquet(f"{data}/lineitem.parquet").count()
+    assert keys > 1000 and sum(r.rate for r in rows) == spark.read.parquet(f"{data}/lineitem.parquet").count()
     assert all(a.upper < b.lower for a, b in zip(rows, rows[1:], strict=False))
 
 

@@ -136,3 +136,43 @@ def test_config(spark, tmp_path):
     path.write_text("0,100000,0,0,0\n")
     with pytest.raises(ValueError):
         read_config(spark, str(path))
+
+
+def test_public_hashes():
+    from keelson.functions import hashes
+
+    assert [hashes.murmur3(x) for x in (b"", b"hello", b"hello, world")] == [0, 0x248BFA47, 0x149BBB7F]
+    assert hashes.murmur3(b"", 1) == 0x514E28B7
+    assert [hashes.one_at_a_time(x) for x in (b"", b"a", b"The quick brown fox jumps over the lazy dog")] == [0, 0xCA2E9442, 0x519E91F5]
+
+
+def test_text_hash_and_fields(spark):
+    from pyspark.sql import functions as F
+
+    from keelson.functions import hashes, text
+
+    df = spark.createDataFrame([("hello",), (None,), ("hello",)], "s string")
+    assert [r.h for r in df.select(hashes.text_hash(F.col("s")).alias("h")).collect()] == [0x248BFA47, None, 0x248BFA47]
+    got = spark.sql("SELECT explode(array('1,2,3', '4,', '', 'a.b')) AS s").select(text.split_fields(F.col("s"), ",").alias("x")).collect()
+    assert [r.x for r in got] == [["1", "2", "3"], ["4"], [], ["a.b"]]
+    assert spark.sql("SELECT '1.2.3' AS s").select(text.split_ints(F.col("s"), ".").alias("x")).first().x == [1, 2, 3]
+
+
+def test_log_files(spark, tmp_path):
+    import random
+
+    from keelson.sources import logfile
+
+    rng = random.Random(1)
+    records = [rng.randbytes(rng.choice([0, 1, 5, 100, 32754, 32761, 32768, 100_000])) for _ in range(60)]
+    data = logfile.write_log(records)
+    assert [r for r, _ in logfile.read_log(data)] == records
+    assert [r for r, _ in logfile.read_log(data[:-1])] == records[:-1]  # the writer died in the last one
+    spoiled = bytearray(logfile.write_log([b"x" * 20_000] * 8))
+    spoiled[100] ^= 1
+    got = list(logfile.read_log(bytes(spoiled)))
+    assert [f for _, f in got if f] == ["checksum", "record without beginning"] and [r for r, _ in got if r] == [b"x" * 20_000] * 6
+    for name, rs in (("a.log", records[:30]), ("b.log", records[30:])):
+        (tmp_path / name).write_bytes(logfile.write_log(rs))
+    rows = sorted(logfile.read_logs(spark, str(tmp_path)).collect(), key=lambda r: (r.path, r.pos))
+    assert [bytes(r.record) for r in rows] == records and not any(r.fault for r in rows)

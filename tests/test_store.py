@@ -246,3 +246,69 @@ def test_benchmark_phases(spark, tmp_path):
     assert b.store.scan().count() == 0
     b.fill100k()
     assert b.store.scan().selectExpr("length(v) as n").first().n == 100_000
+
+
+def test_manifest_checkpoints(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), TEXT)
+    for i in range(18):
+        s._commit(s.version(), {"add": [{"number": i, "level": 0}], "remove": [i - 1] if i % 2 else [], "last_seq": i, "batch": ["b", i]})
+    assert any(f.name.endswith(".fold") for f in (tmp_path / "s/manifest").iterdir())
+    for f in (tmp_path / "s/manifest").iterdir():
+        if f.name.startswith("00000000000") and f.name.endswith(".json") and int(f.name[:12]) < 16:
+            f.unlink()  # what the fold holds is not read again
+    v = s.version()
+    assert (v.number, v.last_seq, v.batches, sorted(v.files)) == (19, 17, {"b": 17}, [1, 3, 5, 7, 9, 11, 13, 15, 17]) and s.version(17).last_seq == 15
+
+
+def test_lone_files_move(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), TEXT)
+    s.write(rows(spark, ("a", "1"), ("b", "2"), ("c", "3")).coalesce(1))
+    before = [f["path"] for f in s.version().files.values()]
+    if len(before) == 1:
+        assert s.compact(rewrite=False) == 1 and [(f["path"], f["level"]) for f in s.version().files.values()] == [(before[0], 1)]
+    assert s.get("b") == "2"
+
+
+def test_outputs_are_cut(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), TEXT)
+    s.write(rows(spark, *((f"k{i:02d}", str(i)) for i in range(40))))
+    s.write(rows(spark, *((f"k{i:02d}", "new") for i in range(10))))
+    s.compact(cuts=["k07", "k20"], partitions=2)
+    spans = [(f["smallest"], f["largest"]) for f in s.version().files.values()]
+    assert all(not lo < c <= hi for lo, hi in spans for c in ("k07", "k20")) and len(spans) >= 3
+    assert s.get("k05") == "new" and s.get("k30") == "30" and s.scan().count() == 40 and s.vacuum() == 2 and s.scan().count() == 40
+
+
+def test_cursor_goes_both_ways(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), TEXT)
+    s.write(rows(spark, ("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")))
+    snap = s.snapshot()
+    s.write(rows(spark, ("b", None), ("f", "6")))
+    c = s.cursor(batch=2)
+    seen = []
+    c.seek_to_first()
+    while c.valid:
+        seen.append((c.key, c.value))
+        c.next()
+    assert seen == [("a", "1"), ("c", "3"), ("d", "4"), ("e", "5"), ("f", "6")]
+    c.seek("b")
+    assert c.key == "c" and c.prev().key == "a" and not c.prev().valid
+    assert c.seek_for_prev("cc").key == "c" and c.next().key == "d" and c.seek_to_last().key == "f"
+    assert s.cursor(snap).seek("b").key == "b"
+
+
+def test_migration_and_dump(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path / n), TEXT) for n in "ab")
+    a.write(rows(spark, ("a", "1"), ("m", "2"), ("z", "3")))
+    a.write(rows(spark, ("m", "new"), ("n", None)))
+    assert a.migrate(b, "b", "x") >= 1
+    assert [(r.k, r.v) for r in b.scan().collect()] == [("m", "new")] and b.version().last_seq == 5
+    assert sorted((r.k, r.seq) for n in b.version().files for r in b.dump(n).collect()) == [("m", 2), ("m", 4), ("n", 5)]
+
+
+def test_put_numbers_rows_that_are_written_down(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Options(value_type="double"))
+    s.put(spark.range(1000).select((F.col("id") % 300).alias("k"), F.rand().alias("v")).repartition(7))
+    log = s.log()
+    assert log.count() == 1000 and log.select("seq").distinct().count() == 1000 and s.version().last_seq == 1000
+    assert s.scan().count() == 300 and not any("staging" in str(p) and p.is_file() for p in (tmp_path / "s").rglob("*"))
