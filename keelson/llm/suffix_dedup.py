@@ -15,14 +15,15 @@ judged on the input.
    corpus order are repeats throughout.  Each task settles its own repeats
    before the shuffle, so that a passage which many documents share reaches the
    shuffle once a task.  A key with one distinct phrase is settled.
-3. Suffix array of the dictionary.  Where a key has several distinct phrases,
-   the bytes of the first occurrence of each are fetched, and their suffixes
-   are ranked to a depth of 100 bytes by prefix doubling (8, 16, 32, 64, 100).
-   Of suffixes with equal rank, all but the first in corpus order are repeats.
+3. Corpus order.  Where a key has several distinct phrases, the bytes of the first
+   occurrence of each are fetched and parsed again, at windows whose hash is 0
+   modulo `MODULUS`.  The suffix array of the distinct short phrases (the
+   dictionary) and that of their sequence (the parse) combine into the order of
+   all suffixes, in which equal 100-byte strings are neighbours and are compared
+   byte by byte.  Of equal ones, all but the first in the corpus are repeats.
 4. The spans found are brought to their documents, merged and cut out.
 
-Equality of phrases rests on two 64-bit hashes; suffixes are ranked by their
-bytes.  Shuffled are about 20 bytes a phrase (one per 35 bytes of text), the
+Equality of whole phrases in step 2 rests on two 64-bit hashes.  Shuffled are about 20 bytes a phrase (one per 35 bytes of text), the
 bytes of unsettled phrases, and the texts twice.
 
 Defined cases: ids are whole numbers, and a null id comes last; texts under 100
@@ -288,19 +289,95 @@ def fetcher(buckets: int, length: int):
     return run
 
 
-def ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """The rank, among all suffixes of `data`, of each suffix's first `length` bytes (prefix doubling)."""
-    padded = np.concatenate([data, np.zeros(2 * length, np.uint8)])
-    rank, depth = np.zeros(len(padded) - 8, np.uint64), 8
+#: Inside a bucket's bytes, a trigger is a window of `WINDOW` bytes whose hash is 0 modulo `MODULUS`.
+WINDOW, MODULUS = 8, 12
+
+
+def words8(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number in byte order; zeros stand beyond the end."""
+    padded, out = np.concatenate([data, np.zeros(8, np.uint8)]), np.zeros(len(data), np.uint64)
     for i in range(8):
-        rank = (rank << _U(8)) | padded[i : i + len(rank)]
-    while True:
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-        if depth == length:
-            return rank[: len(data)]
-        step = min(depth, length - depth)
-        rank = (rank[:-step] << _U(32)) | rank[step:]
-        depth += step
+        out = (out << _U(8)) | padded[i : i + len(data)]
+    return out
+
+
+def doubled(rank: np.ndarray, depth: int, reach: int) -> np.ndarray:
+    """Prefix doubling: from ranks of `depth` symbols from each place to ranks of at least `reach`.  Behind the end is nothing, the least."""
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64) + _U(1)
+    while depth < reach:
+        later = np.concatenate([rank[depth:], np.zeros(min(depth, len(rank)), np.uint64)])
+        rank = np.unique((rank << _U(32)) | later, return_inverse=True)[1].astype(np.uint64) + _U(1)
+        depth *= 2
+    return rank
+
+
+def corpus_order(data: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix-free parsing of strings laid end to end: the places with `length` bytes left in their string, in the order of their suffixes; and for each whether its first `length` bytes are those of the place before.
+
+    Phrases run from one trigger through the next.  The dictionary has each
+    distinct phrase once, and its suffix array is made of these alone; the parse is
+    the sequence of phrases by rank, with a suffix array of its own.  A suffix of
+    the text is a suffix of a phrase, and then a suffix of the parse, which gives
+    its place among all.
+    """
+    n = len(data)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size)), size)
+    end = (begin + size)[owner]
+    word, place = words8(data), np.arange(n)
+    # Phrases: text[t : next t + WINDOW], or to the string's end.
+    trigger = (_mix(word) % _U(MODULUS) == 0) & (place + WINDOW <= end)
+    trigger[begin] = True
+    t = np.flatnonzero(trigger)
+    last = np.append(owner[t][1:] != owner[t][:-1], True)
+    stop = np.where(last, end[t], np.append(t[1:], 0) + WINDOW)
+    phrase = np.cumsum(trigger) - 1
+    width = stop - t
+    # Dictionary: phrases are alike by a hash of their bytes, and compared with the first of their kind.
+    roller = Roller(n)
+    mark = _mix(roller.span(roller.sums(data), t, stop)) ^ (width.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    _, first, kind = np.unique(mark, return_index=True, return_inverse=True)
+    own = np.repeat(np.arange(len(t)), width)
+    inside = np.arange(len(own)) - np.repeat(np.cumsum(width) - width, width)
+    if not ((width == width[first[kind]]).all() and (data[t[own] + inside] == data[t[first[kind[own]]] + inside]).all()):
+        raise ValueError("phrases that differ share a hash")
+    # The suffix array of the dictionary: its phrases with an end mark below all bytes.
+    room = width[first] + 1
+    at = np.cumsum(room) - room
+    text = np.zeros(int(room.sum()), np.uint64)
+    own = np.repeat(np.arange(len(first)), width[first])
+    inside = np.arange(len(own)) - np.repeat(np.cumsum(width[first]) - width[first], width[first])
+    text[at[own] + inside] = data[t[first[own]] + inside].astype(np.uint64) + _U(1)
+    padded = np.concatenate([text, np.zeros(3, np.uint64)])
+    four = (padded[: len(text)] << _U(27)) | (padded[1 : len(text) + 1] << _U(18)) | (padded[2 : len(text) + 2] << _U(9)) | padded[3 : len(text) + 3]
+    # What stands behind an end mark must not count: each symbol after the first mark is one.
+    gap = np.repeat(at + room, room) - 1 - np.arange(len(text))
+    for k in range(1, 4):
+        four[gap < k] &= ~_U((1 << 9 * (4 - k)) - 1)
+    rank, depth = np.unique(four, return_inverse=True)[1].astype(np.uint64) + _U(1), 4
+    while depth < int(room.max()):
+        ahead = np.arange(len(text)) + depth
+        later = np.where(gap >= depth, rank[np.minimum(ahead, len(text) - 1)], _U(0))
+        rank = np.unique((rank << _U(32)) | later, return_inverse=True)[1].astype(np.uint64) + _U(1)
+        depth *= 2
+    # The suffix array of the parse, as deep as `length` bytes can reach; a string's last phrase has an end mark behind it.
+    parse = np.zeros(len(t) + len(size), np.uint64)
+    slot = np.arange(len(t)) + owner[t]
+    parse[slot] = rank[at[kind]]
+    suffix = doubled(parse, 1, min(length, len(parse)) + 1)
+    after = np.where(last, _U(0), suffix[np.minimum(slot + 1, len(suffix) - 1)])
+    # Both together.
+    asked = np.flatnonzero(place + length <= end)
+    j = phrase[asked]
+    order = np.lexsort((after[j], rank[at[kind[j]] + asked - t[j]]))
+    asked = asked[order]
+    same = np.zeros(len(asked), bool)
+    if len(asked):
+        same[1:] = True
+        for k in [*range(0, length - 7, 8), length - 8]:
+            w = word[asked + k]
+            same[1:] &= w[1:] == w[:-1]
+    return asked, same
 
 
 def suffixes(length: int):
@@ -336,15 +413,17 @@ def suffixes(length: int):
             lens = size[k]
             begin = np.cumsum(lens) - lens
             text = data[np.repeat(start[k] - begin, lens) + np.arange(lens.sum())]
-            rank = ranks(text, length)
+            at_, same = corpus_order(text, lens, length)
+            # Equal strings are neighbours now; k is in corpus order within a key, and equal strings have one key.
+            run = np.cumsum(~same)
+            least = np.full(int(run[-1]) + 1 if len(run) else 0, len(text))
+            np.minimum.at(least, run, at_)
+            again_at = np.zeros(len(text), bool)
+            again_at[at_[at_ != least[run]]] = True
             count = lens - length + 1
             owner = np.repeat(np.arange(len(k)), count)
             place = np.arange(count.sum()) - (np.cumsum(count) - count)[owner]
-            r = rank[begin[owner] + place]
-            # k is in corpus order within a key, and equal strings have one key and one distance to the trigger.
-            by = np.lexsort((owner, r))
-            again = np.zeros(len(by), bool)
-            again[by[1:]] = r[by[1:]] == r[by[:-1]]
+            again = again_at[begin[owner] + place]
             begins = again.copy()
             begins[1:] &= ~again[:-1] | (owner[1:] != owner[:-1])
             ends = again.copy()
@@ -373,15 +452,15 @@ def cutter(want_text: bool):
     def run(rows):
         for batch in rows:
             out = []
-            got = [batch.column(c).to_pylist() for c in ("id", "_text", "ns", "blobs")]
-            for i, text, ns, blobs in zip(*got, strict=True):
+            got = [batch.column(c).to_pylist() for c in ("none", "id", "_text", "ns", "blobs")]
+            for none, i, text, ns, blobs in zip(*got, strict=True):
                 data, spans = (text or "").encode("utf-8", "surrogatepass"), []
                 if blobs:
                     s, e = (np.concatenate(c) for c in zip(*(unpack(b, n, np.int64, np.int64) for b, n in zip(blobs, ns, strict=True)), strict=True))
                     spans = union(s, e)
                 edges = [0, *(x for span in spans for x in span), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((None if i == LAST_ID else i, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans] if want_text else None, kept if want_text else None))
+                out.append((None if none else i, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans] if want_text else None, kept if want_text else None))
             names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
@@ -396,9 +475,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not GRAM <= length < GRAM + 256:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 255}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), text.alias("_text"))
+    base = docs.select(F.col(id_col).cast("bigint").isNull().alias("none"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"), text.alias("_text"))
     total, repeated = base.groupBy("id").agg(F.sum(F.octet_length("_text")).alias("b"), F.count("*").alias("n")).agg(F.sum("b"), F.max("n")).first()
-    base = base.select("id", (F.xxhash64("_text") if (repeated or 0) > 1 else F.lit(0).cast("bigint")).alias("th"), "_text")
+    base = base.select("none", "id", (F.xxhash64("_text") if (repeated or 0) > 1 else F.lit(0).cast("bigint")).alias("th"), "_text")
     buckets = max(32, int(total or 0) // PER_BUCKET)
 
     parsed = base.mapInArrow(parser(buckets, length), ddl(SHUFFLED))
@@ -406,7 +485,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def joined(spans: DataFrame, how: str) -> DataFrame:
         lists = spans.groupBy("id", "th").agg(F.collect_list("n").alias("ns"), F.collect_list("blob").alias("blobs"))
-        return base.join(lists, ["id", "th"], how).select("id", "th", "_text", "ns", "blobs")
+        return base.join(lists, ["id", "th"], how).select("none", "id", "th", "_text", "ns", "blobs")
 
     fetched = joined(found.where(~F.col("settled")), "inner").mapInArrow(fetcher(buckets, length), ddl(BYTES))
     late = materialize(fetched.groupBy("part").applyInArrow(suffixes(length), ddl(FOUND)), "suffixes")

@@ -68,11 +68,41 @@ def test_suffix_dedup(docs, corpus, nothing, monkeypatch):
     assert suffix_dedup.remove_repeats(nothing).collect() == []
 
 
+def test_corpus_order_is_the_order_of_all_suffixes():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    pieces = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(3)] + [b"\0" * 40, b"zzzzzzzz" * 5, "déjà vu ".encode() * 5]
+    for length in (32, 40, 100):
+        strings = [b"".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(40)] + [b"", b"short"]
+        strings = [x for x in strings if x]
+        data, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings])
+        at, same = suffix_dedup.corpus_order(data, size, length)
+        begin = (np.cumsum(size) - size).tolist()
+        suffix = {b + k: x[k : k + length] for b, x in zip(begin, strings, strict=True) for k in range(len(x) - length + 1)}
+        want = sorted(suffix.values())  # what counts is the order as deep as `length`
+        assert [suffix[p] for p in at.tolist()] == want and sorted(at.tolist()) == sorted(suffix)
+        assert same.tolist() == [i > 0 and want[i] == want[i - 1] for i in range(len(want))]
+
+
 def test_suffix_dedup_repeated_rows(spark):
     text = " ".join(f"word{i}" for i in range(60))
     d = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "ab" * 200)], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(d).collect())
     assert got == [(1, 0), (1, 0), (2, len(text)), (3, 398)]
+    top = (1 << 63) - 1  # an id like any other
+    d = spark.createDataFrame([(top, text), (None, text + " and more")], "doc_id bigint, text string")
+    assert {r.doc_id for r in suffix_dedup.remove_repeats(d).collect()} == {top, None}
+
+
+def test_one_passage_in_most_documents(spark):
+    shared = " ".join(f"common{i}" for i in range(25))
+    docs = [(i, f"{i * 7919} before {i} " + shared + f" after {i * 31} " + "tail " * (i % 3)) for i in range(300)]
+    want = brute_spans(docs, 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)).collect()}
+    assert got == want
 
 
 def test_suffix_dedup_near_copy_of_a_repeated_row(spark):
