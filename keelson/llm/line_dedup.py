@@ -38,6 +38,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ SLOTS, CHUNKS = 1 << 22, 64
 PER_BUCKET = 1 << 20
 #: Characters in one numpy pass, and entries in a word's list that one task compares with each other.
 GROUP, BIG = 1 << 20, 1 << 15
+#: Entries that a task packs together.
+ENTRIES = 1 << 19
 #: A line gets all its partners in a list at once if it has so few, and none is plainly near.
 FEW = 32
 LAST_ID = (1 << 63) - 1
@@ -111,7 +114,7 @@ class Lines:
             some = np.zeros(int(owner[-1]) + 1 if len(owner) else 0, bool)
             some[owner[hit]] = True
             owner, h = owner[some[owner]], h[some[owner]]
-        known, number = np.unique(h, return_inverse=True)
+        number, known = pd.factorize(h)
         if self.level is not None:
             by = np.argsort(self.rarity(known), kind="stable")
             rank = np.empty(len(by), np.int64)
@@ -225,11 +228,23 @@ def prefixes(word: np.ndarray, start, size, mark, threshold: float):
     return line, word, place
 
 
+def flush(found: list, buckets: int) -> pa.RecordBatch:
+    """Entries as one packed row a bucket."""
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    part = (columns[0] % _U(buckets)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    columns, part = [c[order] for c in columns], part[order]
+    cut = np.searchsorted(part, np.arange(buckets + 1))
+    out = [(b, int(cut[b + 1] - cut[b]), pack(c[cut[b] : cut[b + 1]] for c in columns)) for b in np.unique(part).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
+
+
 def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted: bytes | None = None):
     """Arrow function: entries by bucket of the word; with `wanted` (a bitmap) only of lines with a word in it."""
 
     def run(rows):
         split = Lines(levels_of(levels))
+        found, held = [], 0
         bits = None if wanted is None else np.frombuffer(pa.decompress(wanted, decompressed_size=BITMAP // 8, codec="zstd", asbytes=True), np.uint8)
         for batch in rows:
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
@@ -250,14 +265,13 @@ def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted
                 first[np.unique(mark, return_index=True)[1]] = True
                 keep = first[line]
                 line, word, place = line[keep], word[keep], place[keep]
-                part = (word % _U(buckets)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                line, word, place, part = line[order], word[order], place[order], part[order]
-                columns = [c.astype(k) for c, k in zip((word, mark[line], ids[doc[line]], ths[doc[line]], number[line], size[line], place, low[line], high[line]), ENTRY, strict=True)]
-                cut = np.searchsorted(part, np.arange(buckets + 1))
-                out = [(b, int(cut[b + 1] - cut[b]), pack(c[cut[b] : cut[b + 1]] for c in columns)) for b in np.unique(part).tolist()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
+                found.append([c.astype(k) for c, k in zip((word, mark[line], ids[doc[line]], ths[doc[line]], number[line], size[line], place, low[line], high[line]), ENTRY, strict=True)])
+                held += len(word)
+                if held >= ENTRIES:
+                    yield flush(found, buckets)
+                    found, held = [], 0
+        if held:
+            yield flush(found, buckets)
 
     return run
 
