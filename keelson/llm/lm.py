@@ -49,6 +49,8 @@ from .common import crc_mod, map_arrow, materialize, pieces
 HIDDEN, HEAD, PER_CLASS, TAIL = 32, 4096, 64, 64
 KNOWN = 200_000
 TRAIN_TOKENS, WINDOW, LANES, LONG, STRETCH = 1_200_000, 32, 64, 16_384, 2_048
+#: Lanes of the pass over all rows.
+WIDE_LANES = 256
 #: Tokens that a task learns from at a time, its rate, and weights in a row of the shuffle that averages them.
 CHUNK, TASK_RATE, SLICE = 1 << 18, 0.02, 4096
 HELD_OUT_MOD, HELD_OUT = 7, 2
@@ -183,7 +185,8 @@ class Model:
         """
         if not sequences:
             return
-        lanes = LANES if sum(map(len, sequences)) >= LANES * WINDOW * 4 else 8
+        wide = WIDE_LANES if once else LANES
+        lanes = wide if sum(map(len, sequences)) >= wide * WINDOW * 4 else 8
         target = np.concatenate(sequences).astype(np.int64)
         start = np.zeros(len(target), bool)
         start[np.cumsum([0, *map(len, sequences)])[:-1]] = True
