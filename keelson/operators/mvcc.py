@@ -35,8 +35,9 @@ def tombstones(log: DataFrame, as_of: int | None = None) -> DataFrame:
 
 def history(log: DataFrame) -> DataFrame:
     """Every version with its number, from when it holds (`seq`) and to when (`valid_to`, null for the newest)."""
-    numbered = ordered.position(log, "seq", "version", by=["k"])
-    return ordered.adjacent(numbered, "seq", ["seq"], by=["k"]).withColumn("valid_to", F.col("next.seq")).drop("prev", "next")
+    cuts = ordered.bounds_of(log, "seq")
+    numbered = ordered.position(log, "seq", "version", by=["k"], cuts=cuts)
+    return ordered.adjacent(numbered, "seq", ["seq"], by=["k"], cuts=cuts).withColumn("valid_to", F.col("next.seq")).drop("prev", "next")
 
 
 def multi_get(log: DataFrame, keys: DataFrame, as_of: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a bucket, and the most buckets that a table is cut into.
-ROWS, BUCKETS = 1 << 17, 1024
+ROWS, BUCKETS = 1 << 18, 1024
 #: Rows that stand for the order column where it has no quantile function.
 SAMPLE = 1 << 14
 
@@ -33,23 +33,22 @@ def search(key: Column, bounds: list) -> Column:
 def bounds_of(df: DataFrame, order: str, rows: int | None = None) -> list:
     """Values that cut the column into buckets of about `rows` rows; none for a table that has no more."""
     rows = rows or ROWS
+    n = df.where(F.col(order).isNotNull()).select(order).count()
+    buckets = min(BUCKETS, -(-n // rows))
+    if buckets < 2:
+        return []
     if isinstance(df.schema[order].dataType, T.NumericType | T.DateType | T.TimestampType | T.TimestampNTZType):
-        shares = [i / BUCKETS for i in range(1, BUCKETS)]
-        n, cuts = df.agg(F.count(order), F.percentile_approx(order, shares, 4 * BUCKETS)).first()
+        cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], max(100, 8 * buckets))).first()[0]
     else:
         # Values with the least hashes are a sample, the same in every run.
-        n = df.agg(F.count(order)).first()[0]
-        drawn = sorted(bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(SAMPLE).collect()) if n > rows else []
-        cuts = [drawn[i * len(drawn) // BUCKETS] for i in range(1, BUCKETS)] if drawn else None
-    buckets = min(BUCKETS, -(-n // rows))
-    if buckets < 2 or not cuts:
-        return []
-    return sorted(set(cuts[i * BUCKETS // buckets - 1] for i in range(1, buckets)))
+        drawn = sorted(bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(SAMPLE).collect())
+        cuts = [drawn[i * len(drawn) // buckets] for i in range(1, buckets)]
+    return sorted(set(cuts))
 
 
-def bucketed(df: DataFrame, order: str, rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Adds `_b`, the row's bucket (equal values share one); and whether there are several."""
-    cuts = bounds_of(df, order, rows)
+def bucketed(df: DataFrame, order: str, rows: int | None = None, cuts: list | None = None) -> tuple[DataFrame, bool]:
+    """Adds `_b`, the row's bucket (equal values share one); and whether there are several.  `cuts` are bounds that are known already."""
+    cuts = bounds_of(df, order, rows) if cuts is None else cuts
     return df.withColumn("_b", search(F.col(order), cuts)), bool(cuts)
 
 
@@ -57,10 +56,10 @@ def _join(inner: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
     return inner.join(summary, [*by, "_b"]).drop("_b")
 
 
-def adjacent(df: DataFrame, order: str, carry: list[str], by: list[str] = (), rows: int | None = None) -> DataFrame:
+def adjacent(df: DataFrame, order: str, carry: list[str], by: list[str] = (), rows: int | None = None, cuts: list | None = None) -> DataFrame:
     """Adds `prev` and `next`: structs of the `carry` columns of the neighbouring rows, null at the ends."""
     by, row = list(by), F.struct(*carry)
-    cut, many = bucketed(df, order, rows)
+    cut, many = bucketed(df, order, rows, cuts)
     w = Window.partitionBy(*by, "_b").orderBy(order)
     inner = cut.withColumns({"prev": F.lag(row).over(w), "next": F.lead(row).over(w)})
     if not many:
@@ -72,11 +71,11 @@ def adjacent(df: DataFrame, order: str, carry: list[str], by: list[str] = (), ro
     return out.withColumns({"prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")}).drop("_before", "_after")
 
 
-def running(df: DataFrame, order: str, value: Column, name: str, kind: str = "sum", by: list[str] = (), rows: int | None = None, before: bool = False) -> DataFrame:
+def running(df: DataFrame, order: str, value: Column, name: str, kind: str = "sum", by: list[str] = (), rows: int | None = None, before: bool = False, cuts: list | None = None) -> DataFrame:
     """Adds the running sum, max or count of `value` in the given order; with `before`, without the row itself.  `order` is unique."""
     by, agg = list(by), {"sum": F.sum, "max": F.max, "count": F.count}[kind]
     total = F.max if kind == "max" else F.sum
-    cut, many = bucketed(df, order, rows)
+    cut, many = bucketed(df, order, rows, cuts)
     cut = cut.withColumn("_v", value)
     w = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     inner = cut.withColumn(name, agg("_v").over(w))
@@ -93,9 +92,9 @@ def running(df: DataFrame, order: str, value: Column, name: str, kind: str = "su
     return out.withColumn(name, both).drop("_v", "_carry")
 
 
-def position(df: DataFrame, order: str, name: str, by: list[str] = (), rows: int | None = None) -> DataFrame:
+def position(df: DataFrame, order: str, name: str, by: list[str] = (), rows: int | None = None, cuts: list | None = None) -> DataFrame:
     """Adds the row number (from 1) in the given order."""
-    return running(df, order, F.lit(1), name, "count", by, rows).withColumn(name, F.col(name).cast("bigint"))
+    return running(df, order, F.lit(1), name, "count", by, rows, cuts=cuts).withColumn(name, F.col(name).cast("bigint"))
 
 
 def _merged(keys: DataFrame, probes: DataFrame, key: str, probe: str, rows: int | None) -> tuple[DataFrame, bool]:
