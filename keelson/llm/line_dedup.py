@@ -24,7 +24,7 @@ without words always stay.
    few pairs a line; if none is plainly near, all do, up to `FEW`.  Their words are
    fetched, and Jaccard similarity is verified.
    A line that has more partners, and none verified, gets all of them in a second
-   pass: nothing is lost.
+   pass over the stored entries of its words: nothing is lost.
 
 Defined cases: null and empty texts have one line without words; ids are whole
 numbers, and a null id comes last; rows that repeat an id with another text follow
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chosen_path import mix
-from .common import BITMAP, map_arrow, materialize, perhaps_in
+from .common import BITMAP, discard, map_arrow, materialize, perhaps_in
 from .suffix_dedup import Roller
 
 THRESHOLD = 0.8
@@ -97,23 +97,13 @@ class Lines:
         """The order of words: the first byte is the rarity."""
         return (self.level[(hashes % _U(SLOTS)).astype(np.int64)].astype(_U) << _U(56)) | (hashes >> _U(8))
 
-    def __call__(self, pieces: list[tuple[int, int, str]], wanted: np.ndarray | None = None):
-        """Of pieces (document, number of the first line, text): document, line, start and size of the lines with words, and the hashes of all their words.
-
-        With `wanted`, a bitmap of words in order of rarity, only of the lines with any of them.
-        """
+    def __call__(self, pieces: list[tuple[int, int, str]]):
+        """Of pieces (document, number of the first line, text): document, line, start and size of the lines with words, and the hashes of all their words."""
         none = np.zeros(0, np.int64)
         data = np.frombuffer("\n".join([p[2] for p in pieces]).lower().encode("utf-8", "surrogatepass"), np.uint8)
         if not len(data):
             return none, none, none, none, none.astype(_U)
         owner, h = self.words(data)
-        if wanted is not None:
-            # Only lines with a word in the bitmap.
-            at = (self.rarity(h) % _U(BITMAP)).astype(np.int64)
-            hit = (wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            some = np.zeros(int(owner[-1]) + 1 if len(owner) else 0, bool)
-            some[owner[hit]] = True
-            owner, h = owner[some[owner]], h[some[owner]]
         number, known = pd.factorize(h)
         if self.level is not None:
             by = np.argsort(self.rarity(known), kind="stable")
@@ -239,20 +229,19 @@ def flush(found: list, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
 
 
-def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted: bytes | None = None):
-    """Arrow function: entries by bucket of the word; with `wanted` (a bitmap) only of lines with a word in it."""
+def poster(levels: bytes, buckets: int, threshold: float, signature: int):
+    """Arrow function: entries by bucket of the word."""
 
     def run(rows):
         split = Lines(levels_of(levels))
         found, held = [], 0
-        bits = None if wanted is None else np.frombuffer(pa.decompress(wanted, decompressed_size=BITMAP // 8, codec="zstd", asbytes=True), np.uint8)
         for batch in rows:
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
             order = np.lexsort((ths, ids))
             texts = batch.column("_text").take(pa.array(order)).to_pylist()
             ids, ths = ids[order], ths[order]
             for group in groups_of(texts):
-                doc, number, start, size, h = split(group, bits)
+                doc, number, start, size, h = split(group)
                 if not len(doc):
                     continue
                 mark = digests(h, start)[0]
@@ -276,6 +265,22 @@ def poster(levels: bytes, buckets: int, threshold: float, signature: int, wanted
     return run
 
 
+def picker(wanted: bytes):
+    """Arrow function: of packed entries those whose word is in a bitmap."""
+
+    def run(rows):
+        bits = np.frombuffer(pa.decompress(wanted, decompressed_size=BITMAP // 8, codec="zstd", asbytes=True), np.uint8)
+        for batch in rows:
+            for part, n, blob in zip(*(batch.column(c) for c in ("part", "n", "blob")), strict=True):
+                columns = unpack(blob.as_py(), n.as_py())
+                at = (columns[0] % _U(BITMAP)).astype(np.int64)
+                hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([len(hit)], pa.int32()), pa.array([pack(c[hit] for c in columns)], pa.binary())], names=["part", "n", "blob"])
+
+    return run
+
+
 def node_bytes(ids: np.ndarray, ths: np.ndarray, line: np.ndarray) -> pa.Array:
     """20 bytes each, whose order is the corpus order."""
     out = np.empty((len(ids), 20), np.uint8)
@@ -397,7 +402,7 @@ def completer(threshold: float):
 
 
 def places_of(levels: bytes, buckets: int, threshold: float):
-    """Arrow function: bucket, mark and word (in order of rarity) of the list entries of given sets."""
+    """Arrow function: bucket, mark and word of the list entries of given sets."""
 
     def run(rows):
         split = Lines(levels_of(levels))
@@ -407,10 +412,10 @@ def places_of(levels: bytes, buckets: int, threshold: float):
             for h in hashes:
                 mark = digests(h, np.zeros(1, np.int64))[0]
                 order = np.sort(split.rarity(h))
-                _, word, place = prefixes(order, np.zeros(1, np.int64), np.array([len(h)]), mark, threshold)
-                out.append((word, np.full(len(word), mark[0], _U), order[place]))
-            word, mark, plain = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, _U)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array((word % _U(buckets)).astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(plain.view(np.int64))], names=["part", "mark", "word"])
+                word = prefixes(order, np.zeros(1, np.int64), np.array([len(h)]), mark, threshold)[1]
+                out.append((word, np.full(len(word), mark[0], _U)))
+            word, mark = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, _U)] * 2
+            yield pa.RecordBatch.from_arrays([pa.array((word % _U(buckets)).astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(word.view(np.int64))], names=["part", "mark", "word"])
 
     return run
 
@@ -484,8 +489,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = first.hint("merge").join(sets.select(F.col("node").alias("later"), F.col("words").alias("wb")), "later").select("later", "wa", "wb")
         return materialize(map_arrow(both, verifier(threshold), "later binary").distinct(), "similar"), sets
 
-    entries = "part int, n int, blob binary"
-    chosen = map_arrow(base, poster(level, buckets, threshold, signature), entries).groupBy("part").applyInArrow(chooser(threshold), PAIRS_DDL)
+    entries_ddl = "part int, n int, blob binary"
+    entries = materialize(map_arrow(base, poster(level, buckets, threshold, signature), entries_ddl), "line-entries")
+    chosen = entries.groupBy("part").applyInArrow(chooser(threshold), PAIRS_DDL)
     pairs = materialize(chosen.groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
     found, sets = similar(pairs)
     # Lines with further partners, none of the first being similar: all their pairs.
@@ -497,9 +503,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for r in at.select(F.expr("1L").alias("one"), bit.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(one, cast(bit % 64 as int)))").alias("bits")).toLocalIterator():
             marked[r.w * 64 : r.w * 64 + 64] = np.unpackbits(np.array([r.bits], np.int64).view(np.uint8), bitorder="little").astype(bool)
         wanted_words = pa.compress(np.packbits(marked, bitorder="little").tobytes(), codec="zstd", asbytes=True)
-        again_posted = map_arrow(base, poster(level, buckets, threshold, signature, wanted_words), entries)
-        rest = again_posted.groupBy("part").cogroup(at.select("part", "mark").distinct().groupBy("part")).applyInArrow(completer(threshold), PAIRS_DDL)
+        picked = map_arrow(entries, picker(wanted_words), entries_ddl)
+        rest = picked.groupBy("part").cogroup(at.select("part", "mark").distinct().groupBy("part")).applyInArrow(completer(threshold), PAIRS_DDL)
         found = found.unionByName(similar(materialize(rest.select("later", "earlier").distinct(), "line-pairs"))[0]).distinct()
+    discard(entries)
 
     # Equal sets: all lines but the first.  Classes over the limit are at most 1000, and are broadcast.
     own = lines.where("line >= 0").select("id", "th", "line", "d1", "d2")
