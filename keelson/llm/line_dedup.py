@@ -184,16 +184,33 @@ def prefix_size(n, threshold: float):
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def pack(columns) -> bytes:
-    return pa.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), codec="zstd", asbytes=True)
+def planes(c: np.ndarray) -> bytes:
+    """A column byte by byte: all first bytes, all second bytes and so on."""
+    return np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes()
 
 
-def unpack(blob: bytes, n: int, kinds=ENTRY):
-    raw, at, out = pa.decompress(blob, decompressed_size=n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd", asbytes=True), 0, []
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+def pack(columns) -> bytes:
+    """Entries, with what entries of one line share (all but word and place) once where they follow each other."""
+    word, mark, ids, ths, line, size, place, low, high = columns
+    new = np.append(True, np.any([c[1:] != c[:-1] for c in (mark, ids, ths, line)], axis=0))
+    own = (mark[new], np.diff(ids[new].view(_U), prepend=_U(0)), ths[new], line[new], size[new], low[new], high[new])
+    raw = new.tobytes() + b"".join(map(planes, (word, place, *own)))
+    return int(new.sum()).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    """The columns of `n` packed entries."""
+    m, width = int.from_bytes(blob[:4], "little"), [np.dtype(k).itemsize for k in ENTRY]
+    shared = [k for k in range(len(ENTRY)) if k not in (0, 6)]
+    size = n * (1 + width[0] + width[6]) + m * sum(width[k] for k in shared)
+    raw = np.frombuffer(pa.decompress(blob[4:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    line, at, out = np.cumsum(raw[:n], dtype=np.int64) - 1, n, {}
+    for k in (0, 6, *shared):
+        rows = m if k in shared else n
+        out[k] = np.ascontiguousarray(raw[at : at + rows * width[k]].reshape(width[k], rows).T).view(ENTRY[k]).reshape(rows)
+        at += rows * width[k]
+    out[2] = np.cumsum(out[2].view(_U), dtype=_U).view(np.int64)
+    return [out[k][line] if k in shared else out[k] for k in range(len(ENTRY))]
 
 
 def levels_of(blob: bytes) -> np.ndarray:
@@ -207,6 +224,7 @@ def prefixes(word: np.ndarray, start, size, mark, threshold: float):
     least = math.ceil(threshold / (1 - threshold) - 1e-9)  # below this size a line can't be similar to one that differs
     keep = (place < np.repeat(prefix_size(size, threshold), size)) & (word >> _U(56) != 1) & np.repeat(size >= least, size)
     line, place, word = line[keep], place[keep], word[keep]
+    # Words are cut to 48 bits at the end: lists of different words that meet bring candidates in vain, and lose none.
     blocks = np.maximum(1, np.ceil(2 ** (((word >> _U(56)).astype(np.float64) - 1) / 8) / BIG)).astype(np.int64)
     if len(blocks) and blocks.max() > 1:
         of = np.repeat(np.arange(len(blocks)), blocks)
@@ -215,15 +233,26 @@ def prefixes(word: np.ndarray, start, size, mark, threshold: float):
         own = (mark[line] % k.astype(_U)).astype(np.int64)
         pair = np.minimum(own, other) * k + np.maximum(own, other) + 1
         word = np.where(k > 1, mix(word ^ (pair.astype(_U) * _PRIME)), word)
-    return line, word, place
+    return line, word >> _U(16), place
 
 
 def flush(found: list, buckets: int) -> pa.RecordBatch:
-    """Entries as one packed row a bucket."""
+    """Entries as one packed row a bucket; of equal sets in a word's list only the first line."""
     columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-    part = (columns[0] % _U(buckets)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    columns, part = [c[order] for c in columns], part[order]
+    word, mark, ids, ths, line, _, place = columns[:7]
+    order = np.lexsort((place, mark, word))
+    same = np.all([c[order[1:]] == c[order[:-1]] for c in (word, mark, place)], axis=0)
+    several = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    if len(several):
+        at = order[several]
+        order[several] = at[np.lexsort((line[at], ths[at], ids[at], place[at], mark[at], word[at]))]
+        order = np.sort(order[np.append(True, ~same)])
+    else:
+        order = np.arange(len(word))
+    part = (word[order] % _U(buckets)).astype(np.int32)
+    by = np.argsort(part, kind="stable")
+    order, part = order[by], part[by]
+    columns = [c[order] for c in columns]
     cut = np.searchsorted(part, np.arange(buckets + 1))
     out = [(b, int(cut[b + 1] - cut[b]), pack(c[cut[b] : cut[b + 1]] for c in columns)) for b in np.unique(part).tolist()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
@@ -300,10 +329,10 @@ class Bucket:
     def __init__(self, rows: pa.Table):
         parts = [unpack(b, n) for b, n in zip(rows.column("blob").to_pylist(), rows.column("n").to_pylist(), strict=True)]
         word, mark, ids, ths, line, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((line, ths, ids, mark, word))
-        new = np.append(True, (word[order][1:] != word[order][:-1]) | (mark[order][1:] != mark[order][:-1]))[: len(order)]
-        order = order[new]  # the first line of each set
-        n = rest[0]
+        n, place = rest[:2]
+        order = np.lexsort((line, ths, ids, place, mark, word))
+        new = np.append(True, np.any([c[order[1:]] != c[order[:-1]] for c in (word, mark, place)], axis=0))[: len(order)]
+        order = order[new]  # the first line of each set; its words that share a cut number differ in place
         order = order[np.lexsort((mark[order], n[order], word[order]))]
         self.word, self.mark, self.ids, self.ths, self.line, n, place, self.low, self.high = (c[order] for c in (word, mark, ids, ths, line, *rest))
         self.n, self.place = n.astype(np.int64), place.astype(np.int64)
