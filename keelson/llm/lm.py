@@ -57,6 +57,12 @@ HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Stands for the end token; no word holds a space.
 END = b" "
 SCORE_LANES, SCORE_STEPS = 512, 64
+#: States whose class softmax is taken at a time, so that it stays in a core's cache.
+BLOCK = 1024
+#: Words outside the head whose class a task remembers.
+REMEMBERED = 200_000
+#: Rows from which a key's gradients are summed on their own.
+OFTEN = 8
 
 
 def words_of(text: str | None):
@@ -69,6 +75,23 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
+class Codes(dict):
+    """Model input of any word: its place in the head, else its tail class."""
+
+    def __init__(self, head: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.bound = len(head) + REMEMBERED
+
+    def __missing__(self, word: bytes) -> int:
+        code = HEAD + tail_class(word)
+        if len(self) < self.bound:
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def counter(rows):
     """Arrow function: (word, c) of a task's tokens."""
     total: Counter = Counter()
@@ -109,8 +132,37 @@ def encoder(head: list[bytes], bound: int):
     return run
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sum of the rows of `values` of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    n = np.diff(first, append=len(keys))
+    out = values[first]
+    # Frequent keys have a sum each; of the others, all second rows are added at once, then all third rows.
+    for i in np.flatnonzero(n > OFTEN):
+        out[i] = values[first[i] : first[i] + n[i]].sum(0)
+    for k in range(1, OFTEN):
+        rows = np.flatnonzero((n > k) & (n <= OFTEN))
+        out[rows] += values[first[rows] + k]
+    return keys[first], out
+
+
+def less_truth(logits: np.ndarray, truth: np.ndarray, lanes: int) -> None:
+    """Turns rows of logits, in place, into their softmax less the truth, divided by `lanes`."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= 1 / (np.float32(lanes) * (logits @ np.ones((logits.shape[1], 1), np.float32)))
+    logits[np.arange(len(truth)), truth] -= np.float32(1 / lanes)
 
 
 class Model:
@@ -159,11 +211,13 @@ class Model:
     def log_probability(self, state: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log of each token's class, and of the word in it for head tokens."""
         cls = np.where(tokens < HEAD, tokens // PER_CLASS, tokens - HEAD + HEAD // PER_CLASS)
-        logits = state @ self.cls
-        logits += self.cls_b
-        out = logits[np.arange(len(cls)), cls].astype(np.float64)
-        np.exp(logits, out=logits)
-        out -= np.log(logits.sum(1))
+        out = np.empty(len(cls))
+        for k in range(0, len(cls), BLOCK):
+            logits, own = state[k : k + BLOCK] @ self.cls, cls[k : k + BLOCK]
+            logits += self.cls_b
+            out[k : k + BLOCK] = logits[np.arange(len(own)), own]
+            np.exp(logits, out=logits)
+            out[k : k + BLOCK] -= np.log(logits.sum(1))
         for c, at in self.word_groups(tokens):
             own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
             logits = state[at] @ self.word[own].T
@@ -200,77 +254,99 @@ class Model:
         seen = self.fresh_sums() if seen is None else seen
         total, done = epochs * steps_per, 0
 
-        def update(name, grad, rows=None):
+        def update(name, grad, rows=slice(None)):
             w, s = getattr(self, name), seen[name]
             r = np.float32(rate if once else rate * max(0.1, 1 - done / total))
-            if rows is None:
-                s += grad * grad
-                w -= r * grad / np.sqrt(s)
-            else:
-                s[rows] += grad * grad
-                w[rows] -= r * grad / np.sqrt(s[rows])
-
+            s[rows] += grad * grad
+            step = np.sqrt(s[rows])
+            np.divide(grad, step, out=step)
+            step *= r
+            w[rows] -= step
+
+        # Fresh pages cost more than what is computed in them, so all windows share these.
+        room = [np.empty((WINDOW, lanes, k * HIDDEN), np.float32) for k in (3, 3, 3, 1, 1, 1)]
         for _ in range(epochs):
             state = np.zeros((lanes, HIDDEN), np.float32)
             for t0 in range(0, n, WINDOW):
-                state = self._window(target[:, t0 : t0 + WINDOW], given[:, t0 : t0 + WINDOW], start[:, t0 : t0 + WINDOW], state, update)
+                state = self._window(target[:, t0 : t0 + WINDOW], given[:, t0 : t0 + WINDOW], start[:, t0 : t0 + WINDOW], state, update, room)
                 done += 1
 
-    def _window(self, target, given, start, state, update):
+    def _window(self, target, given, start, state, update, room):
         lanes, steps = target.shape
-        hs, zs, rs, ns, us = [], [], [], [], []
-        before = []
+        two, m = 2 * HIDDEN, lanes * steps
+        tokens, inputs, goes_on = target.T.reshape(-1), given.T.reshape(-1), ~start.T[:, :, None]
+        # The gates z, r, n take the place of the inputs that they come from.
+        gates, dx, du, before, after, us = (x[:steps] for x in room)
+        np.take(self.inp, inputs.reshape(steps, lanes), axis=0, out=gates, mode="clip")
         for t in range(steps):
-            state = state * ~start[:, t, None]
-            x, u = self.inp[given[:, t]], state @ self.rec
-            zr = sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            new = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-            before.append(state)
-            state = (1 - z) * new + z * state
-            for kept, value in zip((hs, zs, rs, ns, us), (state, z, r, new, u[:, 2 * HIDDEN :]), strict=True):
-                kept.append(value)
-        h, tokens = np.concatenate(hs), target.T.reshape(-1)
+            np.multiply(state, goes_on[t], out=before[t])
+            u = before[t] @ self.rec
+            zr, n = gates[t, :, :two], gates[t, :, two:]
+            zr += u[:, :two]
+            sigmoid(zr)
+            us[t] = u[:, two:]
+            n += zr[:, HIDDEN:] * us[t]
+            np.tanh(n, out=n)
+            state = after[t]
+            np.subtract(before[t], n, out=state)
+            state *= zr[:, :HIDDEN]
+            state += n
+        h = after.reshape(m, HIDDEN)
+        dh = self._softmaxes(h, tokens, lanes, update).reshape(steps, lanes, HIDDEN)
+        z, r, n = (gates[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        # What a gradient of the state is multiplied by on its way to the gates.
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = us * r * (1 - r)
+        back = np.zeros((lanes, HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            back += dh[t]
+            dz, dr, dn = (dx[t, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            np.multiply(back, to_z[t], out=dz)
+            np.multiply(back, to_n[t], out=dn)
+            np.multiply(dn, to_r[t], out=dr)
+            du[t, :, :two] = dx[t, :, :two]
+            np.multiply(dn, r[t], out=du[t, :, two:])
+            back *= z[t]
+            back += du[t] @ self.rec.T
+            back *= goes_on[t]
+        update("rec", np.clip(before.reshape(m, HIDDEN).T @ du.reshape(m, -1), -1, 1))
+        rows, grad = sums_by(inputs, dx.reshape(m, -1))
+        update("inp", np.clip(grad, -1, 1, out=grad), rows)
+        return state.copy()
+
+    def _softmaxes(self, h, tokens, lanes, update):
+        """Learns both softmaxes from the states before `tokens`; the gradient of the states."""
         m = len(tokens)
         cls = np.where(tokens < HEAD, tokens // PER_CLASS, tokens - HEAD + HEAD // PER_CLASS)
-        p = h @ self.cls + self.cls_b
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(m), cls] -= 1
-        p /= lanes
-        dh = p @ self.cls.T
-        update("cls", h.T @ p)
-        update("cls_b", p.sum(0))
-        for c, at in self.word_groups(tokens):
-            own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            q = h[at] @ self.word[own].T + self.word_b[own]
-            q = np.exp(q - q.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(at)), tokens[at] - c * PER_CLASS] -= 1
-            q /= lanes
-            dh[at] += q @ self.word[own]
-            update("word", q.T @ h[at], own)
-            update("word_b", q.sum(0), own)
-        dh = dh.reshape(steps, lanes, HIDDEN)
-        back, drec = np.zeros((lanes, HIDDEN), np.float32), np.zeros_like(self.rec)
-        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            g = dh[t] + back
-            z, r, new, u, h0 = zs[t], rs[t], ns[t], us[t], before[t]
-            dn = g * (1 - z) * (1 - new * new)
-            dz = g * (h0 - new) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            drec += h0.T @ du
-            back = (g * z + du @ self.rec.T) * ~start[:, t, None]
-        np.clip(drec, -1, 1, out=drec)
-        update("rec", drec)
-        rows, place = np.unique(given.T.reshape(-1), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        grad = np.add.reduceat(dx.reshape(m, -1)[order], np.searchsorted(place[order], np.arange(len(rows))), axis=0)
-        update("inp", np.clip(grad, -1, 1), rows)
-        return state
+        dh, dcls, dcls_b = np.empty_like(h), np.zeros_like(self.cls), np.zeros_like(self.cls_b)
+        for k in range(0, m, BLOCK):
+            p = h[k : k + BLOCK] @ self.cls
+            p += self.cls_b
+            less_truth(p, cls[k : k + BLOCK], lanes)
+            dh[k : k + BLOCK] = p @ self.cls.T
+            dcls += h[k : k + BLOCK].T @ p
+            dcls_b += p.sum(0)
+        groups = list(self.word_groups(tokens))
+        if groups:
+            order = np.concatenate([at for _, at in groups])
+            states, own_word, k = h[order], tokens[order] % PER_CLASS, 0
+            back, dword, dword_b = np.empty_like(states), np.zeros_like(self.word), np.zeros_like(self.word_b)
+            for c, at in groups:
+                own, here = slice(c * PER_CLASS, (c + 1) * PER_CLASS), slice(k, k + len(at))
+                q = states[here] @ self.word[own].T
+                q += self.word_b[own]
+                less_truth(q, own_word[here], lanes)
+                np.matmul(q, self.word[own], out=back[here])
+                np.matmul(q.T, states[here], out=dword[own])
+                dword_b[own] = q.sum(0)
+                k += len(at)
+            dh[order] += back
+            update("word", dword)
+            update("word_b", dword_b)
+        update("cls", dcls)
+        update("cls_b", dcls_b)
+        return dh
 
     def score(self, documents: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log of class and head-word probability of each document, stepped side by side in lanes."""
@@ -333,7 +409,7 @@ def trainer(head: list[bytes], end: int, weights: dict[str, np.ndarray], seen: d
     """Arrow function: the weights after learning from all of a task's texts, in slices, times the number of tokens."""
 
     def run(rows):
-        number = {w: i for i, w in enumerate(head)}
+        codes = Codes(head)
         net = Model.__new__(Model)
         net.classes = HEAD // PER_CLASS + TAIL
         for name, w in weights.items():
@@ -344,7 +420,7 @@ def trainer(head: list[bytes], end: int, weights: dict[str, np.ndarray], seen: d
             for text in batch.column(0).to_pylist():
                 parts = []
                 for words in (*words_of(text), [END]):
-                    parts.append(np.array([number[w] if w in number else HEAD + tail_class(w) for w in words], np.int32))
+                    parts.append(codes.of(words))
                     size += len(words)
                     if size >= CHUNK:
                         net.train([*sequences, np.concatenate(parts)], end, 0, rate=TASK_RATE, seen=sums, once=True)
