@@ -41,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize, release_memory
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text in one numpy pass, and the bits that number its places.
-BLOCK, BITS = 1 << 19, 20
+BLOCK, BITS = 1 << 18, 20
+#: Phrases that a task gathers before it sends them, and the bytes of one batch of them.
+GATHERED, BATCH = 1 << 20, 4 << 20
 #: Bytes of text for one bucket of phrases.
 PER_BUCKET = 8 << 20
 LAST_ID = (1 << 63) - 1
@@ -186,45 +188,83 @@ def parser(buckets: int, length: int):
     """Arrow function of step 1: phrases by bucket, and the spans that repeat within the task."""
 
     def flush(found):
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        # The columns are the bulk of a task's memory: each has one copy at a time.
+        columns = []
+        for c in found:
+            columns.append(np.concatenate(c))
+            c.clear()
+
+        def take(which):
+            for i in range(len(columns)):
+                columns[i] = columns[i][which]
+
         order, first = repeats(*columns[:5])
-        key, mark, ids, ths, at, before, after = (c[order] for c in columns)
+        take(order)
+        del order
+        ids, ths, at, before, after = columns[2:]
         rest = ~first
         # An occurrence seen twice (rows that repeat id and text) is no repeat of itself.
         same = np.zeros(len(first), bool)
         same[1:] = rest[1:] & (ids[1:] == ids[:-1]) & (ths[1:] == ths[:-1]) & (at[1:] == at[:-1])
         owner = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         rest &= ~((ids == ids[owner]) & (ths == ths[owner]) & (at == at[owner])) & ~same
-        out = []
+        del owner, same
         for i, t, (s, e) in by_document(ids[rest], ths[rest], (at - before)[rest], (at - after)[rest] + length):
-            out.append((-1 - (hash((i, t)) % buckets), i, t, len(s), pack(s, e)))
-        keep = [c[first] for c in (key, mark, ids, ths, at, before, after)]
-        part = (keep[0] % _U(buckets)).astype(np.int64)
-        order = np.lexsort((keep[4], keep[2], part))
-        keep, part = [c[order] for c in keep], part[order]
+            yield -1 - (hash((i, t)) % buckets), i, t, len(s), pack(s, e)
+        del ids, ths, at, before, after, rest
+        take(first)
+        part = (columns[0] % _U(buckets)).astype(np.int64)
+        order = np.lexsort((columns[4], columns[2], part))
+        part = part[order]
+        take(order)
         cut = np.searchsorted(part, np.arange(buckets + 1))
-        out += [(b, None, None, int(e - s), pack(*(c[s:e] for c in keep))) for b, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > s]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SHUFFLED, strict=True)], schema=SHUFFLED)
+        for b, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if e > s:
+                yield b, None, None, int(e - s), pack(*(c[s:e] for c in columns))
+
+    def batched(rows):
+        out, size = [], 0
+        for row in rows:
+            out.append(row)
+            size += len(row[-1]) + 64
+            if size >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SHUFFLED, strict=True)], schema=SHUFFLED)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SHUFFLED, strict=True)], schema=SHUFFLED)
 
     def run(rows):
-        roller, found, n = Roller(2 * BLOCK + length), [], 0
+        roller, found, n = Roller(2 * BLOCK + length), [[] for _ in PHRASE], 0
         for batch in rows:
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
             texts = [x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()]
             for group in segments_of(texts, length):
                 own, a, s, e, key, mark = phrases([x[2] for x in group], roller, length)
                 doc, offset = (np.array([x[i] for x in group], np.int64)[own] for i in (0, 1))
-                found.append((key, mark, ids[doc], ths[doc], a + offset, (a - s).astype(np.uint8), (a - e).astype(np.uint8)))
+                for column, c in zip(found, (key, mark, ids[doc], ths[doc], a + offset, (a - s).astype(np.uint8), (a - e).astype(np.uint8)), strict=True):
+                    column.append(c)
                 n += len(a)
-            if n >= 1 << 20:
-                yield flush(found)
-                found, n = [], 0
+                if n >= GATHERED:
+                    yield from batched(flush(found))
+                    n = 0
         if n:
-            yield flush(found)
+            yield from batched(flush(found))
 
     return run
 
 
+def tidy(run):
+    """A function over a bucket, after which the worker gives its memory back."""
+
+    def tidied(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            release_memory()
+
+    return tidied
+
+
 def dictionary(length: int):
     """Function of step 2 over one bucket: spans of repeated phrases, and the phrases left to compare."""
 
@@ -480,14 +520,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = base.select("none", "id", (F.xxhash64("_text") if (repeated or 0) > 1 else F.lit(0).cast("bigint")).alias("th"), "_text")
     buckets = max(32, int(total or 0) // PER_BUCKET)
 
-    parsed = base.mapInArrow(parser(buckets, length), ddl(SHUFFLED))
-    found = materialize(parsed.groupBy("part").applyInArrow(dictionary(length), ddl(FOUND)), "phrases")
+    parsed = map_arrow(base, parser(buckets, length), ddl(SHUFFLED))
+    found = materialize(parsed.groupBy("part").applyInArrow(tidy(dictionary(length)), ddl(FOUND)), "phrases")
 
     def joined(spans: DataFrame, how: str) -> DataFrame:
         lists = spans.groupBy("id", "th").agg(F.collect_list("n").alias("ns"), F.collect_list("blob").alias("blobs"))
         return base.join(lists, ["id", "th"], how).select("none", "id", "th", "_text", "ns", "blobs")
 
-    fetched = joined(found.where(~F.col("settled")), "inner").mapInArrow(fetcher(buckets, length), ddl(BYTES))
-    late = materialize(fetched.groupBy("part").applyInArrow(suffixes(length), ddl(FOUND)), "suffixes")
+    fetched = map_arrow(joined(found.where(~F.col("settled")), "inner"), fetcher(buckets, length), ddl(BYTES))
+    late = materialize(fetched.groupBy("part").applyInArrow(tidy(suffixes(length)), ddl(FOUND)), "suffixes")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", spans array<struct<start: bigint, end: bigint>>, kept binary" * want_text
-    return joined(found.where("settled").unionByName(late), "left").mapInArrow(cutter(want_text), schema)
+    return map_arrow(joined(found.where("settled").unionByName(late), "left"), cutter(want_text), schema)

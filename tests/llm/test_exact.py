@@ -105,6 +105,25 @@ def test_one_passage_in_most_documents(spark):
     assert got == want
 
 
+def test_suffix_parser_memory_is_bounded():
+    """A task gathers a million phrases, and holds little more than one copy of them; what it sends comes in small batches."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    tasks = [pa.RecordBatch.from_pydict({"id": [k], "th": [0], "_text": [rng.randbytes(500_000).hex()]}) for k in range(45)]
+    tracemalloc.start()
+    try:
+        sent = [(b.num_rows, b.nbytes) for b in suffix_dedup.parser(8, 100)(iter(tasks))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for n, _ in sent) == 16 and max(b for _, b in sent) < 16 << 20  # a blob each for eight buckets, twice
+    assert peak < 150 << 20
+
+
 def test_suffix_dedup_near_copy_of_a_repeated_row(spark):
     shared = " ".join(f"w{i}" for i in range(38))
     one, two = shared + "".join(f" x{i * 7}" for i in range(50)), shared + "".join(f" y{i * 5}" for i in range(50))
