@@ -153,8 +153,8 @@ def drawn(path: int, threshold: float) -> list[int]:
     return [one]
 
 
-ROWS = pa.schema([("key", pa.int64()), ("parent", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("short", pa.binary())])
-ROWS_DDL = "key bigint, parent bigint, node binary, n int, short binary"
+ROWS = pa.schema([("key", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("short", pa.binary())])
+ROWS_DDL = "key bigint, node binary, n int, short binary"
 
 
 def shorten(values: np.ndarray) -> bytes:
@@ -163,8 +163,8 @@ def shorten(values: np.ndarray) -> bytes:
     return (low[0::2] | low[1::2] << 4).tobytes()
 
 
-def paths(runs: int, depth: int, threshold: float):
-    """Arrow function: (key, parent) of every set's tree nodes at a depth, with the set's size and shortened min-hashes."""
+def paths(runs: int, threshold: float):
+    """Arrow function: the next tree nodes of every set's paths, with the set's size and shortened min-hashes.  Paths go on from the set's `parents`; where it has none, from the roots of the runs."""
 
     def child(key: int, i: int, value: int) -> int:
         return int.from_bytes(hashlib.blake2b(b"%d %d %d" % (key, i, value), digest_size=8).digest(), "little") >> 1
@@ -172,15 +172,13 @@ def paths(runs: int, depth: int, threshold: float):
     def run(rows):
         for batch in rows:
             out = []
-            for node, n, sig in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "sig")), strict=True):
+            for node, n, sig, parents in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "sig", "parents")), strict=True):
                 values = np.frombuffer(sig, np.uint32)
                 short = shorten(values)
                 values = values.tolist()
-                level = [(0, r) for r in range(runs)]
-                for _ in range(depth):
-                    level = [(key, child(key, i, values[i])) for _, key in level for i in drawn(key, threshold)]
-                out += [(key, parent, node, n, short) for key, parent in {k: p for p, k in level}.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, ROWS, strict=True)], schema=ROWS)
+                keys = dict.fromkeys(child(key, i, values[i]) for key in (range(runs) if parents is None else parents) for i in drawn(key, threshold))
+                out += [(key, node, n, short) for key in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, ROWS, strict=True)], schema=ROWS)
 
     return run
 
@@ -326,12 +324,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = materialize(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
 
     # 1. Candidates, level by level.  Joins whose sides grow with the corpus are shuffled at any size.
-    runs, edges, large = runs_needed(threshold, target_recall) + MORE_RUNS, [], None
+    runs, edges = runs_needed(threshold, target_recall) + MORE_RUNS, []
+    start = nodes.withColumn("parents", F.lit(None).cast("array<bigint>"))
     for depth in range(1, DEPTH + 1):
         last = depth == DEPTH
-        rows = map_arrow(nodes if large is None else nodes.hint("merge").join(open_nodes, "node", "left_semi"), paths(runs, depth, threshold), ROWS_DDL)
-        if large is not None:
-            rows = rows.join(large.select(F.col("key").alias("parent")), "parent", "left_semi")
+        rows = map_arrow(start.select("node", "n", "sig", "parents"), paths(runs, threshold), ROWS_DDL)
         sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > (BIG if last else LIMIT)), "buckets")
         # Buckets with over a thousandth of all rows are at most 1000 and are broadcast: none of their rows goes to one task.
         hot = F.broadcast(sizes.where(F.col("size") > max(LIMIT, nodes.count() * runs // 1000))) if not last else sizes
@@ -340,10 +337,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             usual = usual.select("bucket", "node", "n", "short").unionByName(blocked(rows.join(sizes, "key"), "key", "size", BIG).select("bucket", "node", "n", "short"))
         found = map_arrow(usual.select("bucket", "node", "n", "short").repartition("bucket").sortWithinPartitions("bucket"), searcher(threshold, None if last else LIMIT), "a binary, b binary")
         edges.append(materialize(found, "candidates"))
-        large = sizes
-        if last or large.isEmpty():
+        if last or sizes.isEmpty():
             break
-        open_nodes = materialize(rows.join(large, "key", "left_semi").select("node").distinct(), "open")
+        # Only the paths in large buckets go on, a row for each set: what is joined grows with the sets, not with their paths.
+        parents = materialize(rows.join(sizes, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("parents")), "open")
+        start = nodes.hint("merge").join(parents, "node")
 
     # 2. Groups.
     candidates = edges[0]

@@ -192,6 +192,35 @@ def test_similarity_classes(spark, docs, corpus, nothing, monkeypatch):
     assert sorted(tuple(r) for r in chosen_path.similarity_classes(twice).collect()) == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (9, 1, 1)]
 
 
+def test_deeper_paths_go_on_from_large_buckets(spark, monkeypatch):
+    """Every set comes once with its open paths: semi joins make a few rows a path, however often a bucket is split."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(120)]
+    docs = [(k, " ".join(words[:j] + [f"x{k}"] + words[j:])) for k in range(300) for j in [rng.randrange(100)]]
+    monkeypatch.setattr(chosen_path, "LIMIT", 8)
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def joined():
+        total = 0
+        for e in range(store.executionsList().size()):
+            x = store.executionsList().apply(e)
+            nodes, values = store.planGraph(x.executionId()).allNodes(), store.executionMetrics(x.executionId())
+            for i in range(nodes.size()):
+                if "Join" in nodes.apply(i).name() and "LeftSemi" in nodes.apply(i).desc():
+                    metrics = nodes.apply(i).metrics()
+                    got = [values.get(metrics.apply(m).accumulatorId()) for m in range(metrics.size()) if metrics.apply(m).name() == "number of output rows"]
+                    total += sum(int(v.get().replace(",", "")) for v in got if v.isDefined())
+        return total
+
+    before = joined()
+    got = chosen_path.similarity_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 299)}
+    runs = chosen_path.runs_needed(0.8) + chosen_path.MORE_RUNS
+    assert 300 * runs < joined() - before < 300 * runs * 4
+
+
 def test_components(spark):
     edges = [(f"{i}".encode(), f"{i + 1}".encode()) for i in range(100, 140) if i != 120] + [(b"7", b"7"), (b"x", b"a"), (b"a", b"x")]
     rows = spark.createDataFrame(edges, "a binary, b binary").repartition(4)
