@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .chosen_path import mix
 from .common import BITMAP, discard, map_arrow, materialize, perhaps_in
-from .suffix_dedup import Roller
+from .suffix_dedup import Roller, tidy
 
 THRESHOLD = 0.8
 SLOTS, CHUNKS = 1 << 22, 64
@@ -55,6 +55,8 @@ PER_BUCKET = 1 << 20
 GROUP, BIG = 1 << 20, 1 << 15
 #: Entries that a task packs together.
 ENTRIES = 1 << 19
+#: Bytes of entries that a task sends at a time.
+BATCH = 4 << 20
 #: A line gets all its partners in a list at once if it has so few, and none is plainly near.
 FEW = 32
 LAST_ID = (1 << 63) - 1
@@ -144,6 +146,11 @@ def digests(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.add.reduceat(mix(hashes ^ _U(seed)), start) if len(start) else np.zeros(0, _U) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
+def tally(total: np.ndarray, hashes: np.ndarray) -> None:
+    """Count words in their slots.  A one of the table's own type: of any other, numpy converts at every word."""
+    np.add.at(total, (hashes % _U(SLOTS)).astype(np.int64), total.dtype.type(1))
+
+
 LINES = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("chunk", pa.int32()), ("blob", pa.binary())])
 LINES_DDL = "id bigint, th bigint, line int, n int, d1 bigint, d2 bigint, chunk int, blob binary"
 
@@ -161,7 +168,7 @@ def liner(rows):
         for group in groups_of(texts):
             doc, line, start, size, h = split(group)
             if len(doc):
-                np.add.at(total, (h % _U(SLOTS)).astype(np.int64), 1)
+                tally(total, h)
                 d1, d2 = digests(h, start)
                 m = len(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(ths[doc]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), blank(m, pa.int32()), blank(m, pa.binary())], schema=LINES)
@@ -236,8 +243,8 @@ def prefixes(word: np.ndarray, start, size, mark, threshold: float):
     return line, word >> _U(16), place
 
 
-def flush(found: list, buckets: int) -> pa.RecordBatch:
-    """Entries as one packed row a bucket; of equal sets in a word's list only the first line."""
+def flush(found: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries as one packed row a bucket, in batches of about `BATCH` bytes; of equal sets in a word's list only the first line."""
     columns = [np.concatenate(c) for c in zip(*found, strict=True)]
     word, mark, ids, ths, line, _, place = columns[:7]
     order = np.lexsort((place, mark, word))
@@ -255,7 +262,10 @@ def flush(found: list, buckets: int) -> pa.RecordBatch:
     columns = [c[order] for c in columns]
     cut = np.searchsorted(part, np.arange(buckets + 1))
     out = [(b, int(cut[b + 1] - cut[b]), pack(c[cut[b] : cut[b + 1]] for c in columns)) for b in np.unique(part).tolist()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "n", "blob"])
+    step = max(1, len(batch) * BATCH // batch.nbytes)
+    for at in range(0, len(batch), step):
+        yield batch.slice(at, step)
 
 
 def poster(levels: bytes, buckets: int, threshold: float, signature: int):
@@ -286,10 +296,10 @@ def poster(levels: bytes, buckets: int, threshold: float, signature: int):
                 found.append([c.astype(k) for c, k in zip((word, mark[line], ids[doc[line]], ths[doc[line]], number[line], size[line], place, low[line], high[line]), ENTRY, strict=True)])
                 held += len(word)
                 if held >= ENTRIES:
-                    yield flush(found, buckets)
+                    yield from flush(found, buckets)
                     found, held = [], 0
         if held:
-            yield flush(found, buckets)
+            yield from flush(found, buckets)
 
     return run
 
@@ -502,7 +512,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = lines.where("line >= 0").agg(F.sum("n")).first()[0] or 0
     buckets = max(32, int(total) // PER_BUCKET)
     # One row a chunk: the table of counters is of fixed size.
-    levels = {r.chunk: bytes(r.blob) for r in lines.where("line = -2").select("chunk", "blob").groupBy("chunk").applyInArrow(chunk_sum, "chunk int, blob binary").collect()}
+    levels = {r.chunk: bytes(r.blob) for r in lines.where("line = -2").select("chunk", "blob").groupBy("chunk").applyInArrow(tidy(chunk_sum), "chunk int, blob binary").collect()}
     level = pa.compress(b"".join(levels.get(i, bytes(SLOTS // CHUNKS)) for i in range(CHUNKS)), codec="zstd", asbytes=True)
 
     def similar(pairs: DataFrame):
@@ -520,7 +530,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     entries_ddl = "part int, n int, blob binary"
     entries = materialize(map_arrow(base, poster(level, buckets, threshold, signature), entries_ddl), "line-entries")
-    chosen = entries.groupBy("part").applyInArrow(chooser(threshold), PAIRS_DDL)
+    chosen = entries.groupBy("part").applyInArrow(tidy(chooser(threshold)), PAIRS_DDL)
     pairs = materialize(chosen.groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
     found, sets = similar(pairs)
     # Lines with further partners, none of the first being similar: all their pairs.
