@@ -17,11 +17,15 @@ state carried from window to window.  A first model learns on the driver from
 about `TRAIN_TOKENS` tokens: documents drawn by a hash of the id, and of a text
 over `LONG` tokens stretches of `STRETCH` tokens by a hash of their place.  From
 this start each task on the executors learns from all of its training documents,
-`CHUNK` tokens at a time, and the weights are averaged by the tokens behind them.
+in chunks of `CHUNK` tokens that end with a document (a longer one is cut), and the weights are averaged by the tokens behind them.
 So every training token is learned from, in bounded memory; the state starts anew
 where a chunk or a lane begins.  Scoring steps many documents side by side on the
 executors.
 
+Texts are cut into words twice: to count them, and, once the vocabulary is known, to
+write each document's model inputs (16 bits a token) to the shared folder, which
+learning and scoring read.
+
 What goes to executors is bounded: the model, and the counts of the `KNOWN` most
 frequent tokens.  The counts of rarer tokens come by a shuffled join, one row
 for each document and distinct rare token.
@@ -59,10 +63,10 @@ END = b" "
 SCORE_LANES, SCORE_STEPS = 512, 64
 #: States whose class softmax is taken at a time, so that it stays in a core's cache.
 BLOCK = 1024
-#: Words outside the head whose class a task remembers.
-REMEMBERED = 200_000
 #: Rows from which a key's gradients are summed on their own.
 OFTEN = 8
+#: Logits of no greater size need no maximum taken off before exp.
+SMALL = 80
 
 
 def words_of(text: str | None):
@@ -75,21 +79,16 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAIL
 
 
-class Codes(dict):
-    """Model input of any word: its place in the head, else its tail class."""
+class Numbers(dict):
+    """Places of the known words; any other word is noted in `rare` and has the place of its tail class behind them."""
 
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.bound = len(head) + REMEMBERED
+    def __init__(self, vocabulary: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(vocabulary))
+        self.known, self.rare = len(self), []
 
     def __missing__(self, word: bytes) -> int:
-        code = HEAD + tail_class(word)
-        if len(self) < self.bound:
-            self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        self.rare.append(word)
+        return self.known + zlib.crc32(word[-2:]) % TAIL
 
 
 def counter(rows):
@@ -133,33 +132,40 @@ def encoder(head: list[bytes], bound: int):
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    np.clip(x, -30, 30, out=x)
+    """The logistic function, in place; exp may overflow, which gives 0."""
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def sums_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and the sum of the rows of `values` of each."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
+def sums_by(keys: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (16 bits), and the sum of the rows of each: row i is what `planes` have at i, side by side."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    keys, many = keys[order], len(planes)
+    values = np.take(planes.reshape(-1, planes.shape[2]), order[:, None] + np.arange(many) * len(keys), axis=0, mode="clip").reshape(len(keys), -1)
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     n = np.diff(first, append=len(keys))
-    out = values[first]
+    out, ones = values[first], np.ones(len(keys), np.float32)
     # Frequent keys have a sum each; of the others, all second rows are added at once, then all third rows.
     for i in np.flatnonzero(n > OFTEN):
-        out[i] = values[first[i] : first[i] + n[i]].sum(0)
+        np.dot(ones[: n[i]], values[first[i] : first[i] + n[i]], out=out[i])
+    rows = np.flatnonzero(n <= OFTEN)
     for k in range(1, OFTEN):
-        rows = np.flatnonzero((n > k) & (n <= OFTEN))
+        rows = rows[n[rows] > k]
         out[rows] += values[first[rows] + k]
     return keys[first], out
 
 
-def less_truth(logits: np.ndarray, truth: np.ndarray, lanes: int) -> None:
+def is_small(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state in -1 to 1 gives a logit whose exp leaves the range of 32-bit floats; a row of `weights` for each logit."""
+    return bool((np.abs(weights).sum(1) + np.abs(bias)).max() < SMALL)
+
+
+def less_truth(logits: np.ndarray, truth: np.ndarray, lanes: int, small: bool) -> None:
     """Turns rows of logits, in place, into their softmax less the truth, divided by `lanes`."""
-    logits -= logits.max(1, keepdims=True)
+    if not small:
+        logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
     logits *= 1 / (np.float32(lanes) * (logits @ np.ones((logits.shape[1], 1), np.float32)))
     logits[np.arange(len(truth)), truth] -= np.float32(1 / lanes)
@@ -202,29 +208,32 @@ class Model:
         """(class, places of the tokens of this class) for head tokens."""
         at = np.flatnonzero(tokens < HEAD)
         cls = tokens[at] // PER_CLASS
-        order = np.argsort(cls, kind="stable")
-        at, cls = at[order], cls[order]
-        cut = np.searchsorted(cls, np.arange(HEAD // PER_CLASS + 1))
-        for c in np.unique(cls):
-            yield int(c), at[cut[c] : cut[c + 1]]
+        at = at[np.argsort(cls.astype(np.uint8), kind="stable")]
+        cut = np.cumsum(np.bincount(cls, minlength=HEAD // PER_CLASS))
+        for c, (i, k) in enumerate(zip([0, *cut[:-1]], cut, strict=True)):
+            if i < k:
+                yield c, at[i:k]
 
     def log_probability(self, state: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log of each token's class, and of the word in it for head tokens."""
         cls = np.where(tokens < HEAD, tokens // PER_CLASS, tokens - HEAD + HEAD // PER_CLASS)
         out = np.empty(len(cls))
         for k in range(0, len(cls), BLOCK):
-            logits, own = state[k : k + BLOCK] @ self.cls, cls[k : k + BLOCK]
-            logits += self.cls_b
-            out[k : k + BLOCK] = logits[np.arange(len(own)), own]
-            np.exp(logits, out=logits)
-            out[k : k + BLOCK] -= np.log(logits.sum(1))
-        for c, at in self.word_groups(tokens):
+            out[k : k + BLOCK] = self._log_softmax(state[k : k + BLOCK], self.cls, self.cls_b, cls[k : k + BLOCK])
+        for c, group in self.word_groups(tokens):
             own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            logits = state[at] @ self.word[own].T
-            logits += self.word_b[own]
-            out[at] += logits[np.arange(len(at)), tokens[at] - c * PER_CLASS]
-            np.exp(logits, out=logits)
-            out[at] -= np.log(logits.sum(1))
+            for k in range(0, len(group), BLOCK):
+                at = group[k : k + BLOCK]
+                out[at] += self._log_softmax(state.take(at, 0), self.word[own].T, self.word_b[own], tokens[at] - c * PER_CLASS)
+        return out
+
+    @staticmethod
+    def _log_softmax(state, weights, bias, truth):
+        logits = state @ weights
+        logits += bias
+        out = logits[np.arange(len(truth)), truth]
+        np.exp(logits, out=logits)
+        out -= np.log(logits @ np.ones(logits.shape[1], np.float32))
         return out
 
     def fresh_sums(self) -> dict[str, np.ndarray]:
@@ -241,14 +250,15 @@ class Model:
             return
         wide = WIDE_LANES if once else LANES
         lanes = wide if sum(map(len, sequences)) >= wide * WINDOW * 4 else 8
-        target = np.concatenate(sequences).astype(np.int64)
+        target = np.concatenate(sequences)
         start = np.zeros(len(target), bool)
         start[np.cumsum([0, *map(len, sequences)])[:-1]] = True
-        given = np.concatenate([[end], target[:-1]])
+        given = np.roll(target, 1)
         given[start] = end
         n = -(-len(target) // lanes)
         fill = lanes * n - len(target)
-        target, given, start = (np.concatenate([x, x[:fill]] if fill <= len(x) else [np.resize(x, lanes * n)]).reshape(lanes, n) for x in (target, given, start))
+        # Step after step, as they are learned from.
+        target, given, start = (np.ascontiguousarray((np.concatenate([x, x[:fill]]) if fill <= len(x) else np.resize(x, lanes * n)).reshape(lanes, n).T) for x in (target, given, start))
         steps_per = -(-n // WINDOW)
         epochs = 1 if once else min(20, max(2, -(-least_steps // steps_per)))
         seen = self.fresh_sums() if seen is None else seen
@@ -257,89 +267,122 @@ class Model:
         def update(name, grad, rows=slice(None)):
             w, s = getattr(self, name), seen[name]
             r = np.float32(rate if once else rate * max(0.1, 1 - done / total))
-            s[rows] += grad * grad
-            step = np.sqrt(s[rows])
+            step = grad * grad
+            step += s[rows]
+            s[rows] = step
+            np.sqrt(step, out=step)
             np.divide(grad, step, out=step)
             step *= r
             w[rows] -= step
 
         # Fresh pages cost more than what is computed in them, so all windows share these.
-        room = [np.empty((WINDOW, lanes, k * HIDDEN), np.float32) for k in (3, 3, 3, 1, 1, 1)]
-        for _ in range(epochs):
-            state = np.zeros((lanes, HIDDEN), np.float32)
-            for t0 in range(0, n, WINDOW):
-                state = self._window(target[:, t0 : t0 + WINDOW], given[:, t0 : t0 + WINDOW], start[:, t0 : t0 + WINDOW], state, update, room)
-                done += 1
+        room = [np.empty(WINDOW * lanes * k * HIDDEN, np.float32) for k in (3, 4, 1, 1, 1, 1, 1, 1)]
+        with np.errstate(over="ignore"):
+            for _ in range(epochs):
+                state = np.zeros((lanes, HIDDEN), np.float32)
+                for t0 in range(0, n, WINDOW):
+                    state = self._window(target[t0 : t0 + WINDOW], given[t0 : t0 + WINDOW], start[t0 : t0 + WINDOW], state, update, room)
+                    done += 1
 
     def _window(self, target, given, start, state, update, room):
-        lanes, steps = target.shape
-        two, m = 2 * HIDDEN, lanes * steps
-        tokens, inputs, goes_on = target.T.reshape(-1), given.T.reshape(-1), ~start.T[:, :, None]
+        steps, lanes = target.shape
+        m = lanes * steps
+        tokens, inputs = target.reshape(-1).astype(np.int64), given.reshape(-1).astype(np.int64)
+        # What belongs to one gate lies together: arithmetic on parts of rows takes several times as long.
+        gates, d, before, after, us, to_z, to_r, to_n = (x[: x.size // WINDOW * steps].reshape(-1, steps, lanes, HIDDEN) for x in room)
+        before, after, us, to_z, to_r, to_n = (x[0] for x in (before, after, us, to_z, to_r, to_n))
         # The gates z, r, n take the place of the inputs that they come from.
-        gates, dx, du, before, after, us = (x[:steps] for x in room)
-        np.take(self.inp, inputs.reshape(steps, lanes), axis=0, out=gates, mode="clip")
+        np.take(self.inp.reshape(-1, HIDDEN), 3 * inputs + np.arange(3)[:, None], axis=0, out=gates.reshape(3, m, HIDDEN), mode="clip")
+        rec = np.ascontiguousarray(self.rec.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+        at, fresh = np.nonzero(start)
+        cut = np.searchsorted(at, np.arange(steps + 1))
+        fresh = [fresh[i:k] for i, k in zip(cut[:-1], cut[1:], strict=True)]
+        u = np.empty((2, lanes, HIDDEN), np.float32)
         for t in range(steps):
-            np.multiply(state, goes_on[t], out=before[t])
-            u = before[t] @ self.rec
-            zr, n = gates[t, :, :two], gates[t, :, two:]
-            zr += u[:, :two]
+            was, zr, n = before[t], gates[:2, t], gates[2, t]
+            was[:] = state
+            if len(fresh[t]):
+                was[fresh[t]] = 0
+            np.matmul(was, rec[:2], out=u)
+            zr += u
             sigmoid(zr)
-            us[t] = u[:, two:]
-            n += zr[:, HIDDEN:] * us[t]
-            np.tanh(n, out=n)
+            np.matmul(was, rec[2], out=us[t])
+            n += np.multiply(zr[1], us[t], out=u[0])
+            # tanh(x) = 2 / (1 + exp(-2 x)) - 1
+            n *= -2
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
             state = after[t]
-            np.subtract(before[t], n, out=state)
-            state *= zr[:, :HIDDEN]
+            np.subtract(was, n, out=state)
+            state *= zr[0]
             state += n
+        state = state.copy()
         h = after.reshape(m, HIDDEN)
         dh = self._softmaxes(h, tokens, lanes, update).reshape(steps, lanes, HIDDEN)
-        z, r, n = (gates[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
-        # What a gradient of the state is multiplied by on its way to the gates.
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = us * r * (1 - r)
-        back = np.zeros((lanes, HIDDEN), np.float32)
+        z, r, n = gates
+        # What a gradient of the state is multiplied by on its way to the gates; the states and `us` are not needed any more.
+        spare = np.subtract(1, z, out=after)
+        np.subtract(before, n, out=to_z)
+        to_z *= z
+        to_z *= spare
+        np.multiply(n, n, out=to_n)
+        np.subtract(1, to_n, out=to_n)
+        to_n *= spare
+        np.subtract(1, r, out=to_r)
+        to_r *= r
+        to_r *= us
+        # Gradients: n at the input, z, r, n at the state.
+        back, rec_back, u = np.zeros((lanes, HIDDEN), np.float32), rec.transpose(0, 2, 1), np.empty((3, lanes, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
             back += dh[t]
-            dz, dr, dn = (dx[t, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
-            np.multiply(back, to_z[t], out=dz)
-            np.multiply(back, to_n[t], out=dn)
-            np.multiply(dn, to_r[t], out=dr)
-            du[t, :, :two] = dx[t, :, :two]
-            np.multiply(dn, r[t], out=du[t, :, two:])
+            dn = np.multiply(back, to_n[t], out=d[0, t])
+            np.multiply(back, to_z[t], out=d[1, t])
+            np.multiply(dn, to_r[t], out=d[2, t])
+            np.multiply(dn, r[t], out=d[3, t])
             back *= z[t]
-            back += du[t] @ self.rec.T
-            back *= goes_on[t]
-        update("rec", np.clip(before.reshape(m, HIDDEN).T @ du.reshape(m, -1), -1, 1))
-        rows, grad = sums_by(inputs, dx.reshape(m, -1))
+            np.matmul(d[1:, t], rec_back, out=u)
+            for x in u:
+                back += x
+            if len(fresh[t]):
+                back[fresh[t]] = 0
+        d = d.reshape(4, m, HIDDEN)
+        grad = np.matmul(before.reshape(m, HIDDEN).T, d[1:]).transpose(1, 0, 2).reshape(HIDDEN, -1)
+        update("rec", np.clip(grad, -1, 1))
+        rows, grad = sums_by(inputs, d[:3])
+        # From n, z, r to z, r, n.
+        grad = np.roll(grad, -HIDDEN, 1)
         update("inp", np.clip(grad, -1, 1, out=grad), rows)
-        return state.copy()
+        return state
 
     def _softmaxes(self, h, tokens, lanes, update):
         """Learns both softmaxes from the states before `tokens`; the gradient of the states."""
         m = len(tokens)
         cls = np.where(tokens < HEAD, tokens // PER_CLASS, tokens - HEAD + HEAD // PER_CLASS)
         dh, dcls, dcls_b = np.empty_like(h), np.zeros_like(self.cls), np.zeros_like(self.cls_b)
+        small, ones = is_small(self.cls.T, self.cls_b), np.ones(m, np.float32)
         for k in range(0, m, BLOCK):
             p = h[k : k + BLOCK] @ self.cls
             p += self.cls_b
-            less_truth(p, cls[k : k + BLOCK], lanes)
-            dh[k : k + BLOCK] = p @ self.cls.T
+            less_truth(p, cls[k : k + BLOCK], lanes, small)
+            np.matmul(p, self.cls.T, out=dh[k : k + BLOCK])
             dcls += h[k : k + BLOCK].T @ p
-            dcls_b += p.sum(0)
+            dcls_b += ones[: len(p)] @ p
         groups = list(self.word_groups(tokens))
         if groups:
             order = np.concatenate([at for _, at in groups])
-            states, own_word, k = h[order], tokens[order] % PER_CLASS, 0
+            states, own_word, k = h.take(order, 0), tokens[order] % PER_CLASS, 0
+            small = is_small(self.word, self.word_b)
             back, dword, dword_b = np.empty_like(states), np.zeros_like(self.word), np.zeros_like(self.word_b)
             for c, at in groups:
                 own, here = slice(c * PER_CLASS, (c + 1) * PER_CLASS), slice(k, k + len(at))
                 q = states[here] @ self.word[own].T
                 q += self.word_b[own]
-                less_truth(q, own_word[here], lanes)
+                less_truth(q, own_word[here], lanes, small)
                 np.matmul(q, self.word[own], out=back[here])
                 np.matmul(q.T, states[here], out=dword[own])
-                dword_b[own] = q.sum(0)
+                np.dot(ones[: len(at)], q, out=dword_b[own])
                 k += len(at)
             dh[order] += back
             update("word", dword)
@@ -371,66 +414,120 @@ class Model:
         begin = np.cumsum(length) - length
         # z and r come from exp(-x), n from exp(-2x), so the signs are folded into the weights.
         sign = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
-        inp, rec = self.inp * sign, self.rec * sign
-        state, out = np.zeros((lanes, HIDDEN), np.float32), np.zeros(len(documents))
-        two = 2 * HIDDEN
+        inp, rec = (self.inp * sign).reshape(-1, HIDDEN), np.ascontiguousarray((self.rec * sign).reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+        state, out, ends = np.zeros((lanes, HIDDEN), np.float32), np.zeros(len(documents)), -length
+        # As in learning, what belongs to one gate lies together.
+        gate, room = np.arange(3)[:, None], np.empty((2, 3 * lanes * HIDDEN), np.float32)
+        states = np.empty((SCORE_STEPS * lanes, HIDDEN), np.float32)
         for t0 in range(0, int(length[0]), SCORE_STEPS):
-            states, places = [], []
+            places, k = [], 0
             for t in range(t0, min(t0 + SCORE_STEPS, int(length[0]))):
-                active = int(np.searchsorted(-length, -t))
+                active = int(np.searchsorted(ends, -t))
                 place = begin[:active] + t
                 h = state[:active]
                 if (new := fresh[place]).any():
                     h[new] = 0
-                x, u = inp[given[place]], h @ rec
-                zr = x[:, :two]
-                zr += u[:, :two]
+                x, u = room[:, : 3 * active * HIDDEN].reshape(2, 3, active, HIDDEN)
+                np.take(inp, 3 * given[place] + gate, axis=0, out=x, mode="clip")
+                np.matmul(h, rec, out=u)
+                zr, n = x[:2], x[2]
+                zr += u[:2]
                 np.exp(zr, out=zr)
                 zr += 1
                 np.reciprocal(zr, out=zr)
-                z, n = zr[:, :HIDDEN], x[:, two:]
-                u[:, two:] *= zr[:, HIDDEN:]
-                n += u[:, two:]
+                u[2] *= zr[1]
+                n += u[2]
                 np.exp(n, out=n)
                 n += 1
                 np.divide(2, n, out=n)
                 n -= 1
                 h -= n
-                h *= z
+                h *= zr[0]
                 h += n
-                states.append(h.copy())
+                states[k : k + active] = h
+                k += active
                 places.append(place)
             place = np.concatenate(places)
-            out += np.bincount(owner[place], self.log_probability(np.concatenate(states), target[place]), len(documents))
+            out += np.bincount(owner[place], self.log_probability(states[:k], target[place]), len(documents))
         return out
 
 
-def trainer(head: list[bytes], end: int, weights: dict[str, np.ndarray], seen: dict[str, np.ndarray]):
-    """Arrow function: the weights after learning from all of a task's texts, in slices, times the number of tokens."""
+def numberer(known: tuple[bytes, bytes], tail_total: bytes, total: int, distinct: int):
+    """Arrow function: per document its model inputs as 16-bit integers, n_tokens, n_known, base, the tails' part of the score, and its rare words with their numbers of occurrences."""
+
+    def run(rows):
+        vocabulary = zlib.decompress(known[0]).split(b"\n")
+        counts = np.frombuffer(zlib.decompress(known[1]), np.int64)
+        number = Numbers(vocabulary)
+        head = min(HEAD, len(vocabulary))
+        token = np.array([i if i < head else HEAD + tail_class(w) for i, w in enumerate(vocabulary)], np.int16)
+        base = np.log10((counts + 1) / (total + distinct + 1))
+        local = np.where(token < HEAD, 0.0, np.log10((counts + 1) / np.frombuffer(tail_total, np.float64)[np.maximum(token - HEAD, 0)]))
+        # Rare words have a number for each tail class; their sums come later, by the join.
+        token = np.concatenate([token, np.arange(HEAD, HEAD + TAIL, dtype=np.int16)])
+        base, local = (np.concatenate([x, np.zeros(TAIL)]) for x in (base, local))
+        end = number[END]
+        for batch in rows:
+            ids, ths, texts = (batch.column(c) for c in ("id", "th", "_text"))
+            documents, sums, rare_words, rare_n, offsets = [], [], [], [], [0]
+            for text in texts.to_pylist():
+                parts, rare, n, seen, b, s = [], Counter(), 1, int(counts[end] > 0), base[end], local[end]
+                for words in words_of(text):
+                    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                    n += len(at)
+                    seen += len(at) - len(number.rare)
+                    rare.update(number.rare)
+                    number.rare.clear()
+                    b += base[at].sum()
+                    s += local[at].sum()
+                    parts.append(token[at].tobytes())
+                documents.append(b"".join([*parts, token[end].tobytes()]))
+                sums.append((n, seen, b, s))
+                rare_words += rare.keys()
+                rare_n += rare.values()
+                offsets.append(len(rare_words))
+            if not documents:
+                continue
+            n, seen, b, s = (np.array(x) for x in zip(*sums, strict=True))
+            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int64())], ["word", "n"]))
+            columns = {"id": ids, "th": ths, "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()), "base": pa.array(b), "local": pa.array(s), "tokens": pa.array(documents, pa.binary()), "rare": rare}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
+
+
+def inputs_of(column: pa.Array) -> list[np.ndarray]:
+    """The model inputs of each row of `tokens`."""
+    return [np.frombuffer(x.as_buffer(), np.int16) for x in column]
+
+
+def trainer(end: int, weights: dict[str, np.ndarray], seen: dict[str, np.ndarray]):
+    """Arrow function: the weights after learning from all of a task's documents, in slices, times the number of tokens."""
 
     def run(rows):
-        codes = Codes(head)
         net = Model.__new__(Model)
         net.classes = HEAD // PER_CLASS + TAIL
         for name, w in weights.items():
             setattr(net, name, w.copy())
         sums = {name: x.copy() for name, x in seen.items()}
         sequences, size, total = [], 0, 0
+
+        def learn():
+            nonlocal sequences, size, total
+            if sequences:
+                net.train(sequences, end, 0, rate=TASK_RATE, seen=sums, once=True)
+            sequences, size, total = [], 0, total + size
+
         for batch in rows:
-            for text in batch.column(0).to_pylist():
-                parts = []
-                for words in (*words_of(text), [END]):
-                    parts.append(codes.of(words))
-                    size += len(words)
+            for document in inputs_of(batch.column(0)):
+                # A document may be longer than what is learned from at a time.
+                for k in range(0, len(document), CHUNK):
+                    part = document[k : k + CHUNK]
+                    sequences.append(part)
+                    size += len(part)
                     if size >= CHUNK:
-                        net.train([*sequences, np.concatenate(parts)], end, 0, rate=TASK_RATE, seen=sums, once=True)
-                        sequences, parts, total, size = [], [], total + size, 0
-                if parts:
-                    sequences.append(np.concatenate(parts))
-        sequences = [x for x in sequences if len(x)]
-        if sequences:
-            net.train(sequences, end, 0, rate=TASK_RATE, seen=sums, once=True)
-            total += size
+                        learn()
+        learn()
         if total:
             flat = np.concatenate([getattr(net, n).reshape(-1) for n in Model.NAMES]).astype(np.float64) * total
             cut = [flat[k : k + SLICE].tobytes() for k in range(0, len(flat), SLICE)]
@@ -446,10 +543,10 @@ def add_slices(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([group.column("slice")[:1], pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n", "w"])
 
 
-def learn_all(model: Model, texts: DataFrame, head: list[bytes], seen: dict[str, np.ndarray]) -> None:
-    """One pass over all `texts` from the weights of `model`, which become the tasks' average."""
+def learn_all(model: Model, documents: DataFrame, end: int, seen: dict[str, np.ndarray]) -> None:
+    """One pass over all `documents` (model inputs) from the weights of `model`, which become the tasks' average."""
     schema = "slice int, n bigint, w binary"
-    learned = map_arrow(texts, trainer(head, head.index(END), {n: getattr(model, n) for n in Model.NAMES}, seen), schema)
+    learned = map_arrow(documents, trainer(end, {n: getattr(model, n) for n in Model.NAMES}, seen), schema)
     rows = sorted(learned.groupBy("slice").applyInArrow(add_slices, schema).collect())
     if rows:
         flat, at = np.concatenate([np.frombuffer(r.w, np.float64) / r.n for r in rows]).astype(np.float32), 0
@@ -459,55 +556,17 @@ def learn_all(model: Model, texts: DataFrame, head: list[bytes], seen: dict[str,
             at += w.size
 
 
-def scorer(known: tuple[bytes, bytes], model: bytes, tail_total: bytes, total: int, distinct: int):
-    """Arrow function: per document n_tokens, n_known, base, score and its rare words with their numbers of occurrences."""
+def scorer(model: bytes, end: int):
+    """Arrow function: the columns but `tokens`, and the score of class and head word."""
 
     def run(rows):
         np.seterr(over="ignore")
         net = Model.unpack(model)
-        vocabulary = zlib.decompress(known[0]).split(b"\n")
-        counts = np.frombuffer(zlib.decompress(known[1]), np.int64)
-        number = {w: i for i, w in enumerate(vocabulary)}
-        head = min(HEAD, len(vocabulary))
-        token = np.array([i if i < head else HEAD + tail_class(w) for i, w in enumerate(vocabulary)], np.int32)
-        base = np.log10((counts + 1) / (total + distinct + 1))
-        local = np.where(token < HEAD, 0.0, np.log10((counts + 1) / np.frombuffer(tail_total, np.float64)[np.maximum(token - HEAD, 0)]))
-        end = number[END]
         for batch in rows:
-            ids, ths, texts = (batch.column(c) for c in ("id", "th", "_text"))
-            documents, sums, rare_words, rare_n, offsets = [], [], [], [], [0]
-            for text in texts.to_pylist():
-                parts, rare, n, seen, b, s = [], Counter(), 1, int(counts[end] > 0), base[end], local[end]
-                for words in words_of(text):
-                    got = list(map(number.get, words))
-                    n += len(got)
-                    if None in got:
-                        own = [w for w, k in zip(words, got) if k is None]
-                        rare.update(own)
-                        cls = iter([HEAD + tail_class(w) for w in own])
-                        at = np.array([-1 if k is None else k for k in got], np.int64)
-                        t = token[at]
-                        miss = at < 0
-                        t[miss] = np.fromiter(cls, np.int32, len(own))
-                        at = at[~miss]
-                    else:
-                        at = np.array(got, np.int64)
-                        t = token[at]
-                    seen += len(at)
-                    b += base[at].sum()
-                    s += local[at].sum()
-                    parts.append(t)
-                documents.append(np.concatenate([*parts, token[end : end + 1]]))
-                sums.append((n, seen, b, s))
-                rare_words += rare.keys()
-                rare_n += rare.values()
-                offsets.append(len(rare_words))
-            if not documents:
-                continue
-            score = net.score(documents, int(token[end])) / math.log(10)
-            n, seen, b, s = (np.array(x) for x in zip(*sums, strict=True))
-            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int64())], ["word", "n"]))
-            yield pa.RecordBatch.from_arrays([ids, ths, pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(b), pa.array(s + score), rare], names=["id", "th", "n_tokens", "n_known", "base", "score", "rare"])
+            if batch.num_rows:
+                score = net.score(inputs_of(batch.column("tokens")), end) / math.log(10)
+                names = [n for n in batch.schema.names if n != "tokens"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
 
     return run
 
@@ -558,30 +617,31 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = model.fresh_sums()
     model.train([np.frombuffer(r.tokens, np.int32) for r in rows], head.index(END), train_tokens, seen=seen)
     del rows
-    learn_all(model, training.select("_text"), head, seen)
-
+    # Texts are cut into words once, for learning and for scoring.
     packed = (zlib.compress(b"\n".join(w for _, w in top), 1), zlib.compress(np.array([c for c, _ in top], np.int64).tobytes(), 1))
     repeated = base.groupBy("id").count().agg(F.max("count")).first()[0] or 0
     keyed = base.select("id", (F.xxhash64("_text") if repeated > 1 else F.lit(0).cast("bigint")).alias("th"), "_text")
-    scored = map_arrow(
-        keyed,
-        scorer(packed, model.pack(), tail_total.tobytes(), total, distinct),
-        "id bigint, th bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word: binary, n: bigint>>",
-    )
-    # A document's own sums travel with its rare words, under a word that no text holds and that spreads over all partitions.
-    own = F.array(F.struct(F.concat(F.lit(" "), F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit(" "), F.col("th").cast("string")).cast("binary").alias("word"), F.lit(0).cast("bigint").alias("n")))
-    item = scored.select("id", "th", F.struct("n_tokens", "n_known", "base", "score").alias("sums"), F.explode(F.concat(own, "rare")).alias("x"))
-    item = item.select("id", "th", F.when(F.col("x.n") == 0, F.col("sums")).alias("sums"), F.col("x.word").alias("word"), F.col("x.n").alias("n"))
+    own = "id bigint, th bigint, n_tokens bigint, n_known bigint, base double, local double"
+    numbered = map_arrow(keyed, numberer(packed, tail_total.tobytes(), total, distinct), f"{own}, tokens binary, rare array<struct<word: binary, n: bigint>>")
+    numbered = materialize(numbered, "numbered")
+    end = head.index(END)
+    learn_all(model, numbered.where(F.col("id").isNotNull() & ~held).select("tokens"), end, seen)
+
+    scored = map_arrow(numbered.drop("rare"), scorer(model.pack(), end), f"{own}, score double")
+    scored = scored.select("id", "th", F.lit(1).alias("m"), "n_tokens", "n_known", "base", (F.col("score") + F.col("local")).alias("score"))
+    item = numbered.select("id", "th", F.explode("rare").alias("x")).select("id", "th", "x.word", "x.n")
     c = F.coalesce(F.col("c"), F.lit(0))
     weight = F.element_at(F.lit(tail_total.tolist()).cast("array<double>"), (cls + 1).cast("int"))
-    joined = item.join(counts.where(F.col("c") < least), "word", "left")
-    out = joined.groupBy("id", "th").agg(
-        F.count("sums").alias("m"),
-        F.sum("sums.n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("sums.n_known", F.lit(0)) + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("sums.base", F.lit(0.0)) + F.col("n") * F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("base"),
-        F.sum(F.coalesce("sums.score", F.lit(0.0)) + F.col("n") * F.log10((c + 1) / weight)).alias("score"),
+    rare = item.join(counts.where(F.col("c") < least), "word", "left").select(
+        "id",
+        "th",
+        F.lit(0).alias("m"),
+        F.lit(0).cast("bigint").alias("n_tokens"),
+        F.when(c > 0, F.col("n")).otherwise(0).alias("n_known"),
+        (F.col("n") * F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("base"),
+        (F.col("n") * F.log10((c + 1) / weight)).alias("score"),
     )
+    out = scored.unionByName(rare).groupBy("id", "th").agg(*(F.sum(x).alias(x) for x in ("m", "n_tokens", "n_known", "base", "score")))
     m = F.col("m")
     if repeated > 1:  # rows that repeat id and text have a result each
         out = out.withColumn("_again", F.explode(F.sequence(F.lit(1), m))).drop("_again")

@@ -77,6 +77,63 @@ def test_state_is_carried_over_windows():
     assert math.isclose(total, together[2], rel_tol=1e-4)
 
 
+def test_texts_are_cut_once_for_learning_and_scoring(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    cut = []
+    words_of = lm.words_of
+    monkeypatch.setattr(lm, "words_of", lambda text: cut.append(text) or words_of(text))
+    monkeypatch.setattr(lm, "CHUNK", 50)  # documents go over its end, and one is longer
+    texts = ["b A a zz", None, "q zz\n b  zz", "a b " * 70]
+    known, counts = [lm.END, b"a", b"b"], np.array([4, 9, 7])
+    packed = (zlib.compress(b"\n".join(known)), zlib.compress(counts.tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([0] * 4), pa.array(texts)], names=["id", "th", "_text"])
+    (got,) = lm.numberer(packed, np.full(lm.TAIL, 5.0).tobytes(), 20, 3)(iter([batch]))
+    assert got.column("n_tokens").to_pylist() == [5, 1, 5, 141] and got.column("n_known").to_pylist() == [4, 1, 2, 141]
+    assert [sorted((x["word"], x["n"]) for x in r) for r in got.column("rare").to_pylist()] == [[(b"zz", 1)], [], [(b"q", 1), (b"zz", 2)], []]
+    zz, q = (lm.HEAD + lm.tail_class(w) for w in (b"zz", b"q"))
+    inputs = [x.tolist() for x in lm.inputs_of(got.column("tokens"))]
+    assert inputs == [[2, 1, 1, zz, 0], [0], [q, zz, 2, zz, 0], [1, 2] * 70 + [0]]
+
+    model = lm.Model(counts, np.full(lm.TAIL, 4.0))
+    (learned,) = lm.trainer(0, {n: getattr(model, n) for n in lm.Model.NAMES}, model.fresh_sums())(iter([got.select(["tokens"])]))
+    assert learned.column("n").to_pylist()[0] == 152  # every token
+    (scored,) = lm.scorer(model.pack(), 0)(iter([got.drop_columns(["rare"])]))
+    assert np.allclose(scored.column("score").to_numpy() * math.log(10), model.score([np.array(x) for x in inputs], 0), rtol=1e-5)
+    assert cut == texts
+
+
+def test_gradients():
+    """What a window learns is the slope of the score, also where a document starts within it and where logits are large."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    documents = [rng.integers(0, 90, n) for n in (20, 5, 15, 20, 1, 19, 20, 20, 20, 7, 13)]  # fills eight lanes of 20
+    start = lm.Model(np.arange(90, 0, -1), np.full(lm.TAIL, 3.0))
+    start.word = rng.normal(0, 0.3, start.word.shape).astype(np.float32)
+
+    def moved(name, change):
+        out = lm.Model.unpack(start.pack())
+        for n in lm.Model.NAMES:
+            setattr(out, n, getattr(out, n) + np.float32(change if n == name else 0))
+        return out
+
+    def slopes(shift):
+        net = moved("cls_b", shift)
+        before = {n: getattr(net, n).copy() for n in lm.Model.NAMES}
+        # With such sums of squares a step is a hundredth of the gradient.
+        net.train(documents, 0, 0, rate=1.0, seen={n: np.full_like(w, 1e4) for n, w in before.items()}, once=True)
+        return {n: (before[n].astype(float) - getattr(net, n)) * 100 for n in before}
+
+    found, large = slopes(0), slopes(200)
+    for name, g in found.items():
+        size = np.sqrt((g * g).sum())
+        assert size > 0.01 and np.allclose(g, large[name], atol=0.01 * np.abs(g).max() + (0.002 if name == "cls_b" else 0))
+        up, down = (sum(moved(name, sign * 0.02 * g / size).score(documents, 0)) for sign in (1, -1))
+        assert math.isclose((down - up) / 8 / 0.04, size, rel_tol=0.03), name
+
+
 def test_quality_classifier(spark, data):
     docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     out = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "quality", "score").collect()
